@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's White_Space, which the pattern's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHED = 500_000  # units and matches that a worker keeps
-BLOCK = 1 << 21  # characters of the texts that are encoded together
-WORDS = 20_000  # matches of a recursive query
+CACHED = 800_000  # units and matches that a worker keeps
+BLOCK = 1 << 23  # characters of the texts that are encoded together
+WORDS = 100_000  # matches of a recursive query
 LONG = 128  # bytes; a longer match is merged with a heap, as a round for each of its merges costs its square
 
 ENCODE = """
@@ -42,7 +43,7 @@ WITH RECURSIVE s(w, pos, tok, done) AS (
   WHERE best IS NULL OR before IS DISTINCT FROM best % 65536)
 SELECT w, pos, tok FROM s WHERE done
 """
-DECODE = "SELECT w, count(*) AS n, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS raw FROM tokens JOIN vocabulary ON tok = id GROUP BY w ORDER BY w"
+DECODE = "SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS raw FROM tokens JOIN vocabulary ON tok = id GROUP BY w ORDER BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,15 +61,17 @@ class Tokenizer:
 
         self.ranks = read_ranks(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.units: dict[str, tuple[int, str, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes]] = {}  # ids joined by spaces, and the bytes that they decode to
+        self.ids: dict[str, str] = {}  # the same of units
+        self.raw: dict[str, bytes] = {}
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table(dict(zip(("l", "r", "id"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))  # noqa: F841
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.size = max(self.ranks.values()) + 1
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def heap_merge(self, raw: bytes) -> list[int]:
         """The same contraction for one long word: pairs in a heap by rank, then place."""
@@ -98,57 +101,48 @@ class Tokenizer:
     def tokens(self, words: list[bytes]) -> pa.Table:
         """(w, pos, tok): the tokens of words[w] in order."""
         short = [i for i, x in enumerate(words) if len(x) <= LONG]
-        single = self.single
-        bytes_ = pa.table({  # noqa: F841
-            "w": pa.array([i for i in short for _ in words[i]], pa.int32()),
-            "pos": pa.array([p for i in short for p in range(len(words[i]))], pa.int32()),
-            "tok": pa.array([single[b] for i in short for b in words[i]], pa.int32()),
-        })
+        sizes = np.fromiter((len(words[i]) for i in short), np.int32, len(short))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        raw = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        bytes_ = pa.table({"w": np.repeat(np.array(short, np.int32), sizes), "pos": (np.arange(len(raw)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "tok": self.single[raw]})  # noqa: F841
         done = self.con.sql(ENCODE.replace("FROM bytes", "FROM bytes_")).to_arrow_table()
         long = [(i, p, t) for i, x in enumerate(words) if len(x) > LONG for p, t in enumerate(self.heap_merge(x))]
         more = pa.table(dict(zip(("w", "pos", "tok"), (pa.array(x, pa.int32()) for x in (zip(*long) if long else ((), (), ()))))))
         return pa.concat_tables([done.cast(more.schema), more])
 
-    def decode(self, tokens: pa.Table) -> list[tuple[int, str, bytes]]:
-        """By w, which tokens have from 0 on: number of tokens, ids joined by spaces, bytes."""
+    def decode(self, tokens: pa.Table) -> list[tuple[str, bytes]]:
+        """By w, which tokens have from 0 on: ids joined by spaces, bytes."""
         got = self.con.sql(DECODE).to_arrow_table()
-        return list(zip(got["n"].to_pylist(), got["ids"].to_pylist(), got["raw"].to_pylist()))
+        return list(zip(got["ids"].to_pylist(), got["raw"].to_pylist()))
 
     def learn(self, units: set[str]) -> None:
-        if len(self.units) > CACHED:
-            self.units.clear()
-        if len(self.words) > CACHED:
+        """Tokens of units that aren't kept yet; all that is kept goes when it would be more than CACHED units."""
+        new = units.difference(self.ids)
+        if len(self.ids) + len(new) > CACHED:
+            self.ids.clear()
+            self.raw.clear()
             self.words.clear()
-        new = [u for u in units if u not in self.units]
-        split = [self.pattern.findall(u) for u in new]
-        missing = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
+            new = units
+        words = self.words
+        split = [(u, self.pattern.findall(u)) for u in new]
+        missing = list({w for _, ws in split for w in ws}.difference(words))
         for at in range(0, len(missing), WORDS):
             block = missing[at : at + WORDS]
-            self.words.update(zip(block, self.decode(self.tokens([w.encode("utf-8", "replace") for w in block]))))
-        words = self.words
-        for u, ws in zip(new, split):
+            words.update(zip(block, self.decode(self.tokens([w.encode("utf-8", "replace") for w in block]))))
+        for u, ws in split:
             if len(ws) == 1:
-                self.units[u] = words[ws[0]]
+                self.ids[u], self.raw[u] = words[ws[0]]
             else:
-                got = [words[w] for w in ws]
-                self.units[u] = sum(g[0] for g in got), " ".join(g[1] for g in got), b"".join(g[2] for g in got)
+                self.ids[u] = " ".join([words[w][0] for w in ws])
+                self.raw[u] = b"".join([words[w][1] for w in ws])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces, and the bytes that they decode to, for each text."""
         cut = [UNIT.findall(t) for t in texts]
-        seen: set[str] = set()
-        for units in cut:
-            seen.update(units)
-        kept = self.units
-        if len(kept) + len(seen) > 1.5 * CACHED:
-            kept.clear()
-        self.learn(seen)
-        missing = [u for u in seen if u not in kept]
-        if missing:
-            self.learn(set(missing))
+        self.learn(set().union(*cut))
         for units in cut:
-            got = [kept[u] for u in units]
-            yield sum(g[0] for g in got), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])
+            ids = " ".join(map(self.ids.__getitem__, units))
+            yield (ids.count(" ") + 1 if ids else 0), ids, b"".join(map(self.raw.__getitem__, units))
 
 
 @lru_cache(2)
@@ -203,10 +197,10 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabu
             lists = [[] if x is None else list(x) for x in pdf["_ids"]]
             flat = [(w, p, t) for w, x in enumerate(lists) for p, t in enumerate(x)]
             tokens = pa.table(dict(zip(("w", "pos", "tok"), (pa.array(x, pa.int32()) for x in (zip(*flat) if flat else ((), (), ()))))))
-            got = {w: x for w, x in zip((w for w, x in enumerate(lists) if x), model.decode(tokens))}
-            if any(got[w][0] != len(x) for w, x in enumerate(lists) if x):
+            if any(min(x) < 0 or max(x) >= model.size for x in lists if len(x)):
                 raise ValueError("an id is not in the vocabulary")
-            yield pd.DataFrame({"_id": pdf["_id"], "decoded": [got[w][2] if x else b"" for w, x in enumerate(lists)]})
+            got = dict(zip((w for w, x in enumerate(lists) if x), model.decode(tokens)))
+            yield pd.DataFrame({"_id": pdf["_id"], "decoded": [got[w][1] if x else b"" for w, x in enumerate(lists)]})
 
     given = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col).alias("_ids"))
     return given.mapInPandas(run, "_id long, decoded binary").withColumnRenamed("_id", id_col)
