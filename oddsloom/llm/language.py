@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -47,8 +48,8 @@ def table() -> np.ndarray:
     return out
 
 
-def automaton(texts: list[str]) -> np.ndarray:
-    """Steps of the suffix automaton of texts, flat by state * ALPHABET + symbol: 2 * next state, plus 1 where a new phrase begins."""
+def automaton(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Steps of the suffix automaton of texts, flat by state * width + column: 2 * next state, plus 1 where a new phrase begins; columns by symbol; width."""
     joined = np.concatenate([np.append(symbols(t), np.uint8(0)) for t in texts]).tolist()
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -81,9 +82,10 @@ def automaton(texts: list[str]) -> np.ndarray:
     column = np.full(ALPHABET, len(used), dtype=np.int64)  # symbols that the texts lack share the last column
     column[used] = np.arange(len(used))
     width = len(used) + 1
-    steps = np.empty((len(nexts), width), dtype=np.int32)
+    fresh = len(nexts)  # one more state, in which any symbol begins a phrase: the start, and after a symbol that the texts lack
+    steps = np.empty((fresh + 1, width), dtype=np.int32)
     steps[:, :-1] = root[used] * 2 + 1
-    steps[:, -1] = 1
+    steps[:, -1] = 2 * fresh + 1
     for s, edges in enumerate(nexts):
         for c, t in edges.items():
             steps[s, column[c]] = 2 * t
@@ -111,7 +113,7 @@ class Parser:
             live = np.searchsorted(-size, -np.arange(len(grid)), side="left")
             for j, (steps, column, width) in enumerate(self.automata):
                 mapped = column[grid]
-                state, count = np.zeros(len(lanes), dtype=np.int32), np.ones(len(lanes), dtype=np.int32)
+                state, count = np.full(len(lanes), len(steps) // width - 1, dtype=np.int32), np.zeros(len(lanes), dtype=np.int32)
                 for row, n in zip(mapped, live):
                     move = steps[state[:n] * width + row[:n]]
                     count[:n] += move & 1
@@ -127,9 +129,10 @@ def sample_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dic
     """
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held, F.lit(False)))
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
     key = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
-    near = rows.select(F.col(lang_col).alias("_l"), key.alias("_key"), F.substring(F.col(text_col), 1, TEXT_CHARS).alias("_text")).join(counts, F.col("_l") == F.col("_lang")).where(F.col("_key") * F.col("_n") <= SAMPLE_TEXTS)
+    counts = rows.groupBy(F.col(lang_col).alias("_l")).count().collect()  # a row a language
+    bounds = [(F.col(lang_col) == r["_l"]) & (key * r["count"] <= SAMPLE_TEXTS) for r in counts]
+    near = rows.where(reduce(or_, bounds, F.lit(False))).select(F.col(lang_col).alias("_l"), key.alias("_key"), F.substring(F.col(text_col), 1, TEXT_CHARS).alias("_text"))
     out: dict[str, list[str]] = {}
     for r in near.groupBy("_l", "_key", "_text").count().orderBy("_l", "_key", "_text").collect():  # languages * SAMPLE_TEXTS rows
         kept = out.setdefault(r["_l"], [])
