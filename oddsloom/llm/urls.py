@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 MOST_BAD = 0.5  # a host is blocked if its share of bad pages is above this, by the lower bound
@@ -60,7 +62,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", z
     """
     bad = outcomes.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counts = pages.join(bad, F.col(id_col) == F.col("id"), "left").groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    hosts = with_levels(counts)
+    hosts = materialize(with_levels(counts), "hosts")  # a row a host, read by every level
     base = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("m"))
     by = {level: hosts.groupBy(*LEVELS[i::-1]).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for i, level in enumerate(LEVELS)}
     prior, above = by["suffix"].crossJoin(F.broadcast(base)), None
@@ -87,7 +89,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id",
     rules = RULES if rules is None else rules
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    known = reputation(rows.select(id_col, "host"), outcomes, id_col, z).select("host", "bound")
+    known = materialize(reputation(rows.select(id_col, "host"), outcomes, id_col, z).select("host", "bound"), "reputation")  # so that its size is known to the join
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = reduce(lambda out, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(out), rules, F.lit(None).cast("string"))
     judged = rows.join(known, "host").withColumn("rule", rule)
