@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
 from .urls import url_parts
 
 GROUP = 32  # pages of a host whose template is deduced together, in expectation
@@ -219,7 +220,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"), host.alias("_host"))
-    sizes = rows.groupBy("_host").agg(F.ceil(F.count("*") / group).alias("_groups"))
+    sizes = materialize(rows.groupBy("_host").agg(F.ceil(F.count("*") / group).alias("_groups")), "hosts")  # so that its size is known to the join
     dealt = rows.join(sizes, "_host").withColumn("_group", F.pmod(F.xxhash64("_id", "_html"), F.col("_groups")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
