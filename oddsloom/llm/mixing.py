@@ -18,7 +18,7 @@ SHARE = 1.5  # of all tokens
 MOST = 2  # copies
 STEPS = 60
 TOLERANCE = 1e-7
-BUCKET = 20_000  # documents of a source that are rounded together
+BUCKET = 1_000  # documents of a source that are rounded together
 
 
 def words_of(text: Column) -> Column:
