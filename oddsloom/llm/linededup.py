@@ -57,8 +57,8 @@ def named(*cols: Column | str) -> tuple[Column, Column]:
 
 
 def shared(ranked: DataFrame) -> DataFrame:
-    """Rows whose rank (a, b) another row has too."""
-    twice = ranked.groupBy("a", "b").count().where(F.col("count") > 1).select("a", "b")
+    """Rows whose rank (a, b) another row has too. The join reads both sides anew, so that a rank with very many rows can be split."""
+    twice = materialize(ranked.groupBy("a", "b").count().where(F.col("count") > 1).select("a", "b"), "shared")
     return ranked.join(twice, ["a", "b"], "left_semi")
 
 
