@@ -292,7 +292,8 @@ def test_sql(spark, name):
     for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
-    key = lambda df: sorted(tuple("null" if pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    plain = lambda x: "null" if pd.isna(x) else x if isinstance(x, str) else f"{float(x):.6f}"
+    key = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert key(got) == key(want)
 
 
