@@ -111,7 +111,7 @@ WITH u AS (
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id, max(CASE WHEN toxic > 0 OR quality < 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT host, regexp_extract(host, '[^.]*(?:\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
          count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN o ON page_id = doc_id GROUP BY 1),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM h) AS m FROM h GROUP BY 1),
 sk AS (SELECT CASE WHEN low <= 0 OR low IS NULL THEN 1000.0 ELSE greatest(1.0, least(1000.0, top / low)) END AS k FROM (
