@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -24,6 +25,7 @@ def main() -> None:
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             best.append(time.time() - start)
         took[name] = round(min(best), 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
 

@@ -179,7 +179,7 @@ def forward_labels(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...
     m = mids.select(F.col("token_id").alias("_token"), F.col("price").alias("_mid"), micros(F.col("traded_at")).alias("_u"), F.floor(micros(F.col("traded_at")) / cell).alias("_c"))
     hit = e.join(m, (F.col("token_id") == F.col("_token")) & (F.col("_cell") == F.col("_c")) & (F.col("_u") > F.col("_t")) & (F.col("_u") <= F.col("_t") + cell))
     hit = hit.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).where(F.col("_u") <= F.col("_t") + F.col("horizon").cast("long") * 1_000_000)
-    move = F.col("_mid") / F.col("entry") - 1
+    move = F.col("_mid") / F.nullif(F.col("entry"), F.lit(0.0)) - 1
     after = (F.col("_u") - F.col("_t")) / 1e6
     return hit.groupBy("trade_id", "horizon").agg(
         F.max_by("_mid", "_u").alias("exit_mid"), F.max_by(move, F.col("_u")).alias("mid_return"), F.max(move).alias("mfe"), F.min(move).alias("mae"),
