@@ -8,6 +8,7 @@ the leftmost pair of least rank of every word, until no pair is left. Decoding a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -31,19 +32,26 @@ BLOCK = 1 << 23  # characters of the texts that are encoded together
 WORDS = 100_000  # matches of a recursive query
 LONG = 128  # bytes; a longer match is merged with a heap, as a round for each of its merges costs its square
 
+# nxt: the place of the next token in the word, or -1. Rows are sorted by word and place, so the next row is the next token; an error says if it is not.
 ENCODE = """
-WITH RECURSIVE s(w, pos, tok, done) AS (
-  SELECT w, pos, tok, false FROM bytes
+WITH RECURSIVE s(w, pos, tok, nxt, done) AS (
+  SELECT w, pos, tok, nxt, false FROM bytes
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best % 65536 THEN CAST(best // 65536 AS INTEGER) ELSE tok END, best IS NULL FROM (
-    SELECT *, min(key) OVER (PARTITION BY w) AS best FROM (
-      SELECT n.*, CAST(m.id AS BIGINT) * 65536 + n.pos AS key FROM (
-        SELECT w, pos, tok, lead(tok) OVER o AS next, lag(pos) OVER o AS before FROM s WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)
-      ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next))
-  WHERE best IS NULL OR before IS DISTINCT FROM best % 65536)
+  (WITH n AS (
+    SELECT w, pos, tok, nxt, lead(nxt) OVER () AS nxt2,
+      CASE WHEN nxt >= 0 THEN CASE WHEN lead(w) OVER () = w AND lead(pos) OVER () = nxt THEN tok::BIGINT * 65536 + lead(tok) OVER () ELSE error('rows out of order') END END AS pair
+    FROM (SELECT * FROM s WHERE NOT done ORDER BY w, pos)
+  ), p AS MATERIALIZED (
+    SELECT w, pos, tok, nxt, nxt2, m.id::BIGINT * 65536 + pos AS key FROM n LEFT JOIN merges m USING (pair)
+  ), least AS (SELECT w, min(key) AS best, arg_min(nxt, key) AS gone FROM p GROUP BY w)
+  SELECT w, pos, CASE WHEN pos = best % 65536 THEN CAST(best // 65536 AS INTEGER) ELSE tok END, CASE WHEN pos = best % 65536 THEN nxt2 ELSE nxt END, best IS NULL
+  FROM p JOIN least USING (w) WHERE best IS NULL OR pos <> gone))
 SELECT w, pos, tok FROM s WHERE done
 """
-DECODE = "SELECT w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS raw FROM tokens JOIN vocabulary ON tok = id GROUP BY w ORDER BY w"
+DECODE = """
+SELECT w, array_to_string(list(tok ORDER BY pos), ' ') AS ids, unhex(array_to_string(list(hex ORDER BY pos), '')) AS raw
+FROM tokens JOIN vocabulary ON tok = id GROUP BY w ORDER BY w
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,12 +69,13 @@ class Tokenizer:
 
         self.ranks = read_ranks(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        ascii_ = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.ascii_pattern = re.compile(ascii_.replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))  # the same for ASCII text, where it is faster
         self.words: dict[str, tuple[str, bytes]] = {}  # ids joined by spaces, and the bytes that they decode to
-        self.ids: dict[str, str] = {}  # the same of units
-        self.raw: dict[str, bytes] = {}
+        self.units: dict[str, tuple[str, bytes]] = {}  # the same of units
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pa.table(dict(zip(("l", "r", "id"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))  # noqa: F841
+        merges = pa.table({"pair": pa.array([left * 65536 + right for left, right, _ in pairs], pa.int64()), "id": pa.array([r for *_, r in pairs], pa.int32())})  # noqa: F841
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
@@ -104,7 +113,9 @@ class Tokenizer:
         sizes = np.fromiter((len(words[i]) for i in short), np.int32, len(short))
         ends = np.cumsum(sizes, dtype=np.int64)
         raw = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
-        bytes_ = pa.table({"w": np.repeat(np.array(short, np.int32), sizes), "pos": (np.arange(len(raw)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "tok": self.single[raw]})  # noqa: F841
+        pos = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
+        nxt = np.where(pos + 1 < np.repeat(sizes, sizes), pos + 1, -1)
+        bytes_ = pa.table({"w": np.repeat(np.array(short, np.int32), sizes), "pos": pos.astype(np.int32), "tok": self.single[raw], "nxt": nxt.astype(np.int32)})  # noqa: F841
         done = self.con.sql(ENCODE.replace("FROM bytes", "FROM bytes_")).to_arrow_table()
         long = [(i, p, t) for i, x in enumerate(words) if len(x) > LONG for p, t in enumerate(self.heap_merge(x))]
         more = pa.table(dict(zip(("w", "pos", "tok"), (pa.array(x, pa.int32()) for x in (zip(*long) if long else ((), (), ()))))))
@@ -117,32 +128,31 @@ class Tokenizer:
 
     def learn(self, units: set[str]) -> None:
         """Tokens of units that aren't kept yet; all that is kept goes when it would be more than CACHED units."""
-        new = units.difference(self.ids)
-        if len(self.ids) + len(new) > CACHED:
-            self.ids.clear()
-            self.raw.clear()
+        new = units.difference(self.units)
+        if len(self.units) + len(new) > CACHED:
+            self.units.clear()
             self.words.clear()
             new = units
         words = self.words
-        split = [(u, self.pattern.findall(u)) for u in new]
+        split = [(u, (self.ascii_pattern if u.isascii() else self.pattern).findall(u)) for u in new]
         missing = list({w for _, ws in split for w in ws}.difference(words))
         for at in range(0, len(missing), WORDS):
             block = missing[at : at + WORDS]
             words.update(zip(block, self.decode(self.tokens([w.encode("utf-8", "replace") for w in block]))))
         for u, ws in split:
             if len(ws) == 1:
-                self.ids[u], self.raw[u] = words[ws[0]]
+                self.units[u] = words[ws[0]]
             else:
-                self.ids[u] = " ".join([words[w][0] for w in ws])
-                self.raw[u] = b"".join([words[w][1] for w in ws])
+                self.units[u] = " ".join([words[w][0] for w in ws]), b"".join([words[w][1] for w in ws])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces, and the bytes that they decode to, for each text."""
         cut = [UNIT.findall(t) for t in texts]
         self.learn(set().union(*cut))
         for units in cut:
-            ids = " ".join(map(self.ids.__getitem__, units))
-            yield (ids.count(" ") + 1 if ids else 0), ids, b"".join(map(self.raw.__getitem__, units))
+            found = [self.units[u] for u in units]
+            ids = " ".join([x for x, _ in found])
+            yield (ids.count(" ") + 1 if ids else 0), ids, b"".join([x for _, x in found])
 
 
 @lru_cache(2)
@@ -178,6 +188,7 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, finis
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = tokenizer(vocabulary)
+        gc.disable()  # the many kept strings form no cycles; passing over them costs a quarter of the time
         for pdf in batches:
             sizes = pdf["_text"].str.len().fillna(0).cumsum() // BLOCK
             for _, block in pdf.groupby(sizes.to_numpy(dtype="int64"), sort=False):
