@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import books, edges, features, research
+from ..operators import books, edges, features, lifecycle, research
 from .tape import TAPE_SQL, bucket_sql, markets, rolling_sql, tape
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,3 +363,30 @@ def p08(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     m = p.select(F.concat(F.lit("c"), "p_partkey").alias("condition_id"), F.concat(F.lit("t"), "p_partkey").alias("token_yes"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("n"), "p_partkey")).alias("token_no"))
     return market_tokens(m)
+
+
+EXITS = lifecycle.Exits(take_profit=1.0, stop_loss=0.9, trailing=1.2, partial=1.5, max_hold_s=20 * 86_400.0, least_ttr_hours=None)
+
+
+@query("x09_lifecycle", f"""+ t AS (SELECT *, epoch_us(traded_at) / 1e6 AS tick, first(price) OVER o AS entry, first(epoch_us(traded_at)) OVER o / 1e6 AS since FROM tape WINDOW o AS (PARTITION BY token_id ORDER BY traded_at, trade_id)),
+  r AS (SELECT *, CASE WHEN entry > 0 THEN (price - entry) / entry ELSE 0 END AS ret FROM t),
+  b AS (SELECT *, max(ret) OVER o AS best, min(ret) OVER o AS worst, count(*) FILTER (ret >= {EXITS.partial}) OVER o AS parts FROM r WINDOW o AS (PARTITION BY token_id ORDER BY traded_at, trade_id)),
+  x AS (SELECT *, CASE WHEN ret >= {EXITS.take_profit} AND NOT (ret >= {EXITS.partial} AND parts = 1) THEN 'take_profit' WHEN best - ret >= {EXITS.trailing} THEN 'trailing' WHEN ret <= -{EXITS.stop_loss} THEN 'stop_loss'
+    WHEN tick - since >= {EXITS.max_hold_s} THEN 'time_stop' END AS reason FROM b),
+  k AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY reason IS NULL, CASE WHEN reason IS NULL THEN -epoch_us(traded_at) ELSE epoch_us(traded_at) END, CASE WHEN reason IS NULL THEN -trade_id ELSE trade_id END) AS rn FROM x)
+  SELECT token_id, coalesce(reason, 'open') AS reason, round(CASE WHEN reason IS NOT NULL THEN price END, 6) AS exit_price, round(greatest(best, 0), 6) AS mfe, round(least(worst, 0), 6) AS mae, parts > 0 AS partial_taken, CASE WHEN parts > 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS remaining FROM k WHERE rn = 1""")
+def x09(spark, sf):
+    """A token's first trade opens a position, its trades mark it."""
+    at = F.unix_micros("traded_at") / 1e6
+    t = tape(spark, sf).select("token_id", "trade_id", "traded_at", at.alias("at"), F.col("price").alias("mark"), F.first("price").over(features.by_time()).alias("entry_price"), F.first(at).over(features.by_time()).alias("entry_time"))
+    return lifecycle.exits(t, EXITS, "token_id", ("traded_at", "trade_id")).select("token_id", "reason", *r6("exit_price", "mfe", "mae"), "partial_taken", "remaining")
+
+
+@query("x10_entry_gate", """+ s AS (SELECT *, coalesce(sum(price) OVER (PARTITION BY token_id ORDER BY traded_at, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gross,
+    epoch_us(traded_at) / 1e6 - coalesce(lag(epoch_us(traded_at)) OVER (PARTITION BY token_id ORDER BY traded_at, trade_id) / 1e6, 0) AS waited FROM tape)
+  SELECT trade_id, CASE WHEN waited < 60 THEN 'cooldown' WHEN price / 16.0 > 0.05 THEN 'max_position_pct' WHEN (gross + price) / 16.0 > 0.5 THEN 'max_gross_exposure' ELSE 'ok' END AS verdict FROM s""")
+def x10(spark, sf):
+    """Each trade as an entry on an account of its token that never sells."""
+    at, w = F.unix_micros("traded_at") / 1e6, features.by_time()
+    s = tape(spark, sf).withColumns({"equity": F.lit(16.0), "peak_equity": F.lit(16.0), "n_open": F.lit(0), "notional": F.col("price"), "event_exposure": F.lit(None).cast("double"), "now": at, "last_entry": F.coalesce(F.lag(at).over(w), F.lit(0.0)), "gross": F.coalesce(F.sum("price").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))})
+    return s.select("trade_id", lifecycle.entry_gate(s).alias("verdict"))
