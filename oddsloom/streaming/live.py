@@ -60,7 +60,7 @@ class TokenWindow:
 
 
 def live_features(events: DataFrame) -> DataFrame:
-    """A row of features for each trade of a stream (or batch) of parse_events rows; state by token, kept for a day after its last event."""
+    """A row of features for each trade of a stream of parse_events rows; state by token, kept for a day after its last event."""
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ class PaperTrader:
 
 
 def paper_trade(features: DataFrame, profiles: list[Profile] | None = None) -> DataFrame:
-    """Fills of every profile on a stream (or batch) of live features. A portfolio is one state, so profiles are the parallel unit."""
+    """Fills of every profile on a stream of live features. A portfolio is one state, so profiles are the parallel unit."""
     profiles = profiles or PROFILES
     by_name = {p.name: p for p in profiles}
     names = [c.split()[0] for c in FILLS.split(", ")]
