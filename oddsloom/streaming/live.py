@@ -59,8 +59,11 @@ class TokenWindow:
         return (hour[-1][1] - hour[0][1]) / span if span > 0 else None, sum(mine) / len(mine) / median if mine and median else None, len(self.trades)
 
 
-def live_features(events: DataFrame) -> DataFrame:
-    """A row of features for each trade of a stream of parse_events rows; state by token, kept for a day after its last event."""
+def live_features(events: DataFrame, expire: bool = True) -> DataFrame:
+    """A row of features for each trade of a stream of parse_events rows; state by token, kept for a day after its last event.
+
+    With expire, a stream of availableNow runs empty batches without end, as a timeout may always come; False keeps state for good.
+    """
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -80,10 +83,11 @@ def live_features(events: DataFrame) -> DataFrame:
                 out.append((key[0], e.ts, e.price, size, *w.add(e.ts, e.price, size), w.bid, w.ask))
         cols = [list(c) for c in zip(*w.trades)] or [[], [], []]
         state.update((*cols, w.bid, w.ask))
-        state.setTimeoutDuration(int(DAY * 1000))
+        if expire:
+            state.setTimeoutDuration(int(DAY * 1000))
         yield pd.DataFrame(out, columns=names)
 
-    return events.groupBy("token_id").applyInPandasWithState(run, FEATURES, "ts array<double>, prices array<double>, sizes array<double>, bid double, ask double", "append", "ProcessingTimeTimeout")
+    return events.groupBy("token_id").applyInPandasWithState(run, FEATURES, "ts array<double>, prices array<double>, sizes array<double>, bid double, ask double", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 
 
 @dataclass

@@ -97,3 +97,22 @@ def test_paper_trader_opens_and_takes_profit():
     assert [x[3] for x in t.on("trade", "a", 0.0, 0.45, None, None)] == ["open"]
     assert [x[3] for x in t.on("trade", "a", 10.0, 0.60, None, None)] == ["take_profit"]
     assert t.on("trade", "a", 20.0, 0.45, None, None) == [] and t.cash > 10_000
+
+
+def test_paper_streams_end(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    frames = [{"event_type": "last_trade_price", "asset_id": "a", "market": "m", "price": str(p), "size": "10", "timestamp": str(1700000000 + i * 100)} for i, p in enumerate((0.3, 0.35, 0.5))]
+    (tmp_path / "in" / "e.txt").write_text("\n".join(map(json.dumps, frames)))
+
+    def ends(rows, name):
+        q = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}_state")).start(str(tmp_path / name), format="parquet")
+        ended = q.awaitTermination(60)
+        q.stop()
+        return ended
+
+    assert ends(live.live_features(live.parse_events(spark.readStream.text(str(tmp_path / "in"))), expire=False), "features")
+    assert ends(live.paper_trade(spark.readStream.schema(live.FEATURES).parquet(str(tmp_path / "features")), [live.Profile("p", whale=None, low=0.2)]), "fills")
+    fills = spark.read.parquet(str(tmp_path / "fills"))
+    assert [r["action"] for r in fills.orderBy("ts").collect()] == ["open", "take_profit"]
+    best = live.leaderboard(fills).first()
+    assert best["closed"] == 1 and best["total_pnl"] > 0
