@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ._common import documents, materialize
 
 MIN_WORDS = 50
+LEAST_WORDS = 1  # of op10 and the stage: runs of any length, so that every line with an earlier copy goes
 
 
 def line_rows(texts: list[str | None], min_words: int = MIN_WORDS) -> pd.DataFrame:
@@ -99,7 +100,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tail = ranks.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("i").alias("i2"), F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     runs = runs.join(head, F.expr("id <=> id1 and h = h1 and start = i1 and k = k1")).join(tail, F.expr("id <=> id2 and h = h2 and tail = i2 and k = k2"))
     runs = materialize(runs.select("id", "h", "start", "size", *named("size", "a1", "b1", "a2", "b2")), "runs")
-    least = runs.groupBy("a", "b").agg(F.min(F.struct("id", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = materialize(runs.groupBy("a", "b").agg(F.min(F.struct("id", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")  # so that the join of a hot run can be split
     return runs.join(least, ["a", "b"]).where(~F.struct("id", "h", "start").eqNullSafe(F.col("least"))).select("id", "h", "start", "size")
 
 
@@ -127,13 +128,13 @@ def cut_text(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFr
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_chars and SHA-256 of what is left of every document's text."""
-    out = dedup_lines(documents(spark, sf_dir))
+    out = dedup_lines(documents(spark, sf_dir), min_words=LEAST_WORDS)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that are left, n_chars counted anew; a document goes if lines went and none is left."""
-    out = dedup_lines(docs).where("_n_deleted = 0 or _n_deleted < _n_lines")
+    out = dedup_lines(docs, min_words=LEAST_WORDS).where("_n_deleted = 0 or _n_deleted < _n_lines")
     chars = F.when(F.col("_n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars.cast("long")).select(docs.columns)

@@ -284,6 +284,20 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, texts).where("false")).count() == 0
 
 
+def test_line_dedup_short_lines_and_joined_ends(spark, tmp_path):
+    own = lambda k: " ".join(near_words(30, k))
+    passage = [" ".join(near_words(24, 100 + k)) for k in range(3)]
+    texts = [f"{own(k)}\nAll rights reserved.\n{own(50 + k)}" for k in range(20)]
+    texts += ["\n".join([f"{own(200 + k)} {passage[0]}", passage[1], f"{passage[2]} {own(300 + k)}"]) for k in range(4)] + ["All rights reserved.", None]
+    df = frame(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in linededup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_deleted"] for i in range(26)] == [0] + [1] * 19 + [0] + [1] * 3 + [1, 0] and len(got) == 26
+    kept = {r["doc_id"]: r["text"] for r in linededup.stage(spark, df, str(tmp_path)).collect()}
+    assert kept[0] == texts[0] and kept[5] == f"{own(5)}\n{own(55)}" and 24 not in kept and kept[25] is None
+    assert kept[20] == texts[20] and kept[22] == "\n".join([f"{own(202)} {passage[0]}", f"{passage[2]} {own(302)}"])
+
+
 @pytest.mark.parametrize("name", ["op4_license_scan", "op5_url_filter"])
 def test_sql(spark, name):
     import duckdb
