@@ -23,6 +23,9 @@ BITS = 64
 CHUNK = 11  # bits of a histogram; 2 ** CHUNK counts each
 BUCKET = 32  # indexed fingerprints of a bucket that are compared pair by pair
 SEED = 42
+SHINGLE = 5  # words of a shingle in the pipeline's stage
+LEAST = (4, 5)  # least Jaccard similarity there
+COMMON = 32  # different texts that a shingle must be met in to be compared last
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -247,7 +250,112 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's different word shingles, ascending, by the rules of fingerprint; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], stops[: n - 1]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[-n:] - 1).tolist())], dtype=np.uint64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, those in common last: of two sets with a Jaccard similarity of LEAST or more, these share one."""
+    num, den = LEAST
+    size = len(hashes) - -(-num * len(hashes) // den) + 1 if len(hashes) else 0
+    if len(common):
+        hashes = hashes[np.argsort(np.isin(hashes, common), kind="stable")]
+    return hashes[:size]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, h, component_id), a row for each different id and h, the hash of a text: its class under chains of texts whose
+    sets of word shingles have a Jaccard similarity of LEAST or more.
+
+    component_id is the smallest id of the class. Equal sets are one class, so all wordless and null texts are one. A row
+    with a null id is in no class. Every such pair is found or joined by a chain: each set is met by its prefix, and what
+    meets is compared by whole sets. Of a bucket with over BUCKET sets, all are first compared with four of them, and
+    then pair by pair only those that no chain joins yet, so that a group of near copies costs rows in proportion.
+    """
+    num, den = LEAST
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("_text"))
+
+    def sets(rows: DataFrame, known=None) -> DataFrame:
+        """With prefixes, or, for the nodes that are known, whole sets."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            common = known.value if known else np.zeros(0, np.uint64)
+            for pdf in batches:
+                whole = [shingle_set(t, shingle) for t in pdf["_text"]]
+                out = pdf.drop(columns="_text")
+                out["node"] = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in whole], dtype=np.uint64).view(np.int64)
+                out["n"] = [len(x) for x in whole]
+                out["shingles"] = [(prefix(x, common) if known else x).view(np.int64) for x in whole]
+                yield out
+
+        return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>")
+
+    context = docs.sparkSession.sparkContext
+    rows = materialize(sets(given, context.broadcast(np.zeros(0, np.uint64))), "shingle_prefixes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first")).select("node", "first.*"), "shingle_nodes")
+    one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles"), "prefixes")
+    listed = one.select("node", F.explode("shingles").alias("s"))
+    common = materialize(listed.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")
+    hot = np.array([r["s"] for r in common.collect()], dtype=np.int64).view(np.uint64)  # a COMMON-th of the shingles in prefixes at most
+    if len(hot):
+        again = materialize(listed.join(common, "s", "left_semi").select("node").distinct(), "met_common")
+        texts = materialize(nodes.join(again, "node", "left_semi").select("id", "h"), "texts_again")
+        changed = sets(given.join(texts, ["id", "h"], "left_semi"), context.broadcast(np.sort(hot))).dropDuplicates(["node"])
+        one = one.join(again, "node", "left_anti").unionByName(materialize(changed.select("node", "n", "shingles"), "prefixes_again"))
+    heads = one.select("node", "n", F.size("shingles").alias("p"), F.explode("shingles").alias("s"))
+    met = materialize(heads.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "met")
+    heads = materialize(heads.join(met, "s"), "heads")
+
+    def pairs_of(part: DataFrame) -> DataFrame:
+        """Pairs (u, v) of a bucket in part whose sets can be similar by their sizes and by what their prefixes share.
+
+        A shared shingle is in both prefixes, or beyond the one that ends first.
+        """
+        known = materialize(heads.groupBy("node").agg(F.count("*").alias("t")).join(part.groupBy("node").agg(F.count("*").alias("k")), "node").select("node", (F.col("t") - F.col("k")).alias("o")), "elsewhere")
+        part = materialize(part.join(known, "node"), "sides")
+        sides = [part.select("s", F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "p", "o", "c")]) for w in "uv"]
+        alike = den * F.least("n_u", "n_v") >= num * F.greatest("n_u", "n_v")
+        both = sides[0].join(sides[1], "s").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & alike)
+        most = F.col("shared") + F.least("o_u", "o_v") + F.greatest(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v"))
+        both = both.groupBy("u", "v", "n_u", "n_v", "p_u", "p_v", "o_u", "o_v").agg(F.count("*").alias("shared"))
+        return both.where((num + den) * most >= num * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of (u, v), those with similar sets."""
+        pairs = materialize(pairs.distinct(), "candidates")
+        texts = materialize(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("id", "h"), "texts")
+        whole = materialize(sets(given.join(texts, ["id", "h"], "left_semi")).dropDuplicates(["node"]).select("node", "n", "shingles"), "shingle_sets")
+        a = whole.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("shingles").alias("x"))
+        b = whole.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return materialize(pairs.join(a, "u").join(b, "v").where((num + den) * both >= num * (F.col("n_u") + F.col("n_v"))).select("u", "v"), "similar")
+
+    small, large = heads.where(F.col("size") <= BUCKET), heads.where(F.col("size") > BUCKET)
+    order = F.struct("n", "node")
+    pivots = large.groupBy("s").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("pivots"))
+    stars = large.join(materialize(pivots, "pivots"), "s").select(F.col("node").alias("v"), F.explode("pivots").alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    found = close(pairs_of(small.withColumn("c", F.col("node"))).unionByName(stars))
+    label = materialize(connected_components(found), "labels")
+    left = large.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    split = left.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    rest = pairs_of(materialize(left.join(materialize(split, "split"), "s", "left_semi"), "not_joined"))
+    label = materialize(connected_components(found.unionByName(close(rest))), "labels")
+    classes = nodes.join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
+    least = materialize(classes.groupBy("c").agg(F.min("id").alias("component_id")), "least_ids")
+    classes = materialize(classes.join(least, "c").select("node", "component_id"), "classes")
+    return rows.select("id", "h", "node").distinct().join(classes, "node").select("id", "h", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id. A null doc_id stays."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One text of each class of similar_texts stays, that with the smallest doc_id (rows that repeat it stay with it). A null doc_id stays."""
+    found = materialize(similar_texts(docs).where("id = component_id").groupBy("id", "component_id").agg(F.min("h").alias("h")).select("id", "h"), "kept")
+    joined = docs.join(found, (F.col("doc_id").cast("long") == found["id"]) & (F.xxhash64("text") == found["h"]), "left_semi")
+    return joined.unionByName(docs.where("doc_id is null"))

@@ -88,6 +88,44 @@ def test_simhash_plan_finds_every_pair():
         assert found == want and len(want) > 200
 
 
+@pytest.mark.parametrize("bucket, common", [(2, 3), (2, 256), (32, 32)])
+def test_similar_texts(spark, monkeypatch, bucket, common):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng, texts = random.Random(9), list(ODD)
+    for s in range(6):
+        words = near_words((6, 14, 60, 150, 150, 400)[s], 40 + s)
+        for k in range(14):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), k * len(words) // 200):
+                edited[at] = f"edit{k}"
+            texts.append(" ".join(edited[: len(words) - k % 3]))
+    texts += [" ".join(near_words(12, 600 + k) + near_words(20, 77)) for k in range(12)]  # a passage in texts that are not alike
+    texts += [texts[30], texts[40].upper()]
+    ids = [*range(len(texts) - 1), 5]  # an id with two texts
+
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label, close = list(range(len(texts))), set()
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                close.add((j, i))
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {c: min(i for i, x in zip(ids, label) if x == c) for c in label}
+    df = frame(spark, texts, ids)
+    got = simhash.similar_texts(df).join(df.selectExpr("doc_id as id", "xxhash64(text) as h", "text"), ["id", "h"]).collect()
+    assert len(got) == len(texts) and {(r["id"], r["text"]): r["component_id"] for r in got} == {(i, t): least[c] for i, t, c in zip(ids, texts, label)}
+    fps = [brute_simhash(t) for t in texts]
+    far = [(i, j) for i, j in close if bin(fps[i] ^ fps[j]).count("1") > 2]
+    assert len(far) > 30 and len(set(label)) < len(texts) - 30  # pairs that two bits miss
+    kept = simhash.stage(spark, frame(spark, texts + [texts[0], "null id"], ids + [None, None]), SF).collect()
+    assert len([r for r in kept if r["doc_id"] is not None]) == len(set(label)) and sum(r["doc_id"] is None for r in kept) == 2
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200)] + [(300, k) for k in range(301, 340)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
