@@ -27,7 +27,9 @@ BANDS = {
 }
 #: Letters of the scripts that BANDS names, as ranges of code points.
 SCRIPTS = {"latin": "A-Za-zªºÀ-ɏḀ-ỿ", "greek": "Ͱ-Ͽἀ-῿", "cyrillic": "Ѐ-ԯ", "han": "぀-ヿ㐀-䶿一-鿿"}
+NAMES = [*SCRIPTS, "other"]
 SCRIPT_PATTERNS = [re.compile(f"[{v}]") for v in SCRIPTS.values()]
+OTHER_PATTERN = re.compile(rf"[^\W\d_{''.join(SCRIPTS.values())}]")
 LEAST_TOKENS = 20  # below, a text says too little about its tokens
 CACHED = 400_000  # words whose tokens a worker keeps
 BLOCK = 1 << 21  # characters of the texts that are measured together
@@ -68,6 +70,11 @@ def repeat_words(names: np.ndarray) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def script_traits(word: str) -> list[int]:
+    """Letters and digits, then letters by NAMES: a letter in none of SCRIPTS is other."""
+    return [sum(map(str.isalnum, word)), *(len(p.findall(word)) for p in SCRIPT_PATTERNS), sum(map(str.isalpha, OTHER_PATTERN.findall(word)))]
+
+
 class Fertility:
     """Measures of whole texts by a sentencepiece vocabulary with byte fallback.
 
@@ -84,10 +91,10 @@ class Fertility:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.ids, self.starts, self.traits = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 1 + len(SCRIPTS)), np.int64)
+        self.ids, self.starts, self.traits = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 1 + len(NAMES)), np.int64)
 
     def learn(self, texts: list[Text]) -> None:
-        """Encode the words of texts that aren't kept yet. traits: letters and digits, then letters by script."""
+        """Encode the words of texts that aren't kept yet. traits: letters and digits, then letters by script, those outside SCRIPTS last."""
         if len(self.place) > CACHED:
             self.clear()
         new = list(dict.fromkeys(w for t in texts for w in t.words if w not in self.place))
@@ -99,7 +106,7 @@ class Fertility:
         ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self.ids = np.concatenate([self.ids, np.fromiter((i for p in pieces for i in p), np.int32)])
         self.starts = np.concatenate([self.starts, ends])
-        traits = [[len(w), len(w), 0, 0, 0] if w.isascii() and w.isalpha() else [sum(map(str.isalnum, w)), *(len(p.findall(w)) for p in SCRIPT_PATTERNS)] for w in strings]
+        traits = [[len(w), len(w), 0, 0, 0, 0] if w.isascii() and w.isalpha() else script_traits(w) for w in strings]
         self.traits = np.concatenate([self.traits, np.array(traits, np.int64)])
 
     def measure(self, text: Text) -> tuple[str, int, float, float, float]:
@@ -109,7 +116,7 @@ class Fertility:
         at = np.fromiter((self.place[w] for w in text.words), np.int64, len(text.words))
         counts = np.bincount(text.names)
         traits = counts @ self.traits[at]
-        script = [*SCRIPTS][int(np.argmax(traits[1:]))] if traits[1:].any() else "other"
+        script = NAMES[int(np.argmax(traits[1:]))] if traits[1:].any() else "other"
         sizes = self.starts[at + 1] - self.starts[at]
         weights = np.repeat(counts, sizes)
         total = int(weights.sum())

@@ -159,6 +159,20 @@ def test_quality(spark):
     assert abs(byte_share - sum(f.model.is_byte(i) for i in ids) / len(ids)) < 1e-12
 
 
+def test_quality_of_mixed_scripts(spark):
+    words = {
+        "arabic": "ذهب الولد إلى المدرسة صباح اليوم مع أخيه الصغير وقرأ كتابا جديدا عن تاريخ المدينة القديمة ثم عاد مساء إلى بيته البعيد قرب النهر الكبير",
+        "hebrew": "הילד הלך בבוקר אל בית הספר עם אחיו הקטן וקרא ספר חדש על תולדות העיר העתיקה ואחר כך שב בערב אל ביתו הרחוק ליד הנהר הגדול",
+        "korean": "아이는 오늘 아침에 동생과 함께 학교에 갔다 그리고 오래된 도시의 역사에 대한 새로운 책을 읽고 저녁에 강가에 있는 먼 집으로 다시 돌아왔다 정말 즐거운 하루였다",
+        "hindi": "लड़का आज सुबह अपने छोटे भाई के साथ विद्यालय गया और उसने पुराने नगर के इतिहास पर एक नई पुस्तक पढ़ी फिर शाम को नदी के पास अपने घर लौट आया",
+    }
+    mixed = [f"{w} NATO" for w in words.values()]
+    latin = " ".join(near_words(40, 1)) + " שלום"
+    got = quality.quality(frame(spark, [*words.values(), *mixed, latin])).toPandas().sort_values("doc_id")
+    assert got["script"].tolist() == ["other"] * 8 + ["latin"]
+    assert not got["base_failed"].any() and got["kept"].all(), got
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, size=(3000, 1))
