@@ -126,13 +126,16 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, Block | None]]]:
 
 
 def tokens(events: list[tuple[str, Block | None]]) -> list[tuple[str, str]]:
-    """Tags as (tag with path, ""), words as (path, word)."""
+    """Tags as (tag with path, ""), words as (path, word), and before its words each block of several as (path and a space, text)."""
     out: list[tuple[str, str]] = []
     for tag, block in events:
         if block is None:
             out.append((tag, ""))
         else:
-            out.extend((block.path, w) for w in block.text().split())
+            words = block.text().split()
+            if len(words) > 1:
+                out.append((f"{block.path} ", block.text()))
+            out.extend((block.path, w) for w in words)
     return out
 
 
@@ -148,7 +151,7 @@ def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
         if n >= least:
             classes[tuple(c.get(t, 0) for c in counts)].add(t)
     # A word on its own is no template.
-    classes = {v: m for v, m in classes.items() if len(m) > 1 or not next(iter(m))[1]}
+    classes = {v: m for v, m in classes.items() if len(m) > 1 or not next(iter(m))[1] or " " in next(iter(m))[1]}
     members = set().union(*classes.values())
     pages = [[t for t in p if t in members] for p in pages]
     valid: list[set[tuple[str, str]]] = []
@@ -198,13 +201,19 @@ def main_texts(pages: list[str]) -> list[str]:
     parsed = [parse(p) for p in pages]
     unique = {html: tokens(events) for html, (_, events) in zip(pages, parsed)}
     shared = template(list(unique.values()))
+
+    def fixed(b: Block, t: str) -> bool:
+        return (f"{b.path} ", t) in shared or all((b.path, w) in shared for w in t.split())
+
     out = []
     for blocks, _ in parsed:
         some = [(b, b.text()) for b in blocks if not b.other]
-        if any(b.article and t for b, t in some):
-            some = [(b, t) for b, t in some if b.article]
+        article = [(b, t) for b, t in some if b.article and t]
+        if article:
+            # A single word is too little to be told from the article's own; an article that is template as a whole is a repeated one.
+            some = [(b, t) for b, t in article if " " not in t or not fixed(b, t)] if any(not fixed(b, t) for b, t in article) else article
         else:
-            some = [(b, t) for b, t in some if not b.linked and not all((b.path, w) in shared for w in t.split())]
+            some = [(b, t) for b, t in some if not b.linked and not fixed(b, t)]
         out.append(" ".join(t for _, t in some if t))
     return out
 

@@ -243,6 +243,16 @@ def test_html(spark):
     assert (got["n_chars"] == got["text"].str.len()).all()
 
 
+def test_html_template_in_article(spark):
+    page = "<html><body><article><h1>Title {i}</h1><div>Subscribe to the daily letter now</div><p>{own}</p><p>The notice that we print below the text of each story</p></article></body></html>"
+    own = [" ".join(near_words(20, i)) + " the of to story" * (i % 3) for i in range(8)]
+    same = "<html><body><article><p>One story at eight addresses</p></article><footer>{i} views</footer></body></html>"
+    rows = [(i, "http://h/a", page.format(i=i, own=own[i])) for i in range(8)] + [(20 + i, "http://s/a", same.format(i=i)) for i in range(8)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id")["text"]
+    assert [got[i] for i in range(8)] == [f"Title {i} {own[i]}" for i in range(8)]
+    assert all(got[20 + i] == "One story at eight addresses" for i in range(8))
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 1, 5, 20, 80, 300]) for _ in range(600)]
