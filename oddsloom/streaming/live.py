@@ -13,12 +13,12 @@ from ..functions import expressions as X
 
 DAY, HOUR = 86_400.0, 3_600.0
 EVENT = "event_type string, asset_id string, market string, price string, size string, side string, timestamp string, bids array<struct<price:string,size:string>>, asks array<struct<price:string,size:string>>, price_changes array<struct<asset_id:string,price:string,size:string,side:string,best_bid:string,best_ask:string>>, winning_asset_id string"
-FEATURES = "token_id string, ts double, price double, size double, momentum_1h double, whale_ratio double, trades_24h long, best_bid double, best_ask double"
+FEATURES = "token_id string, ts double, price double, size double, momentum_1h double, whale_ratio double, trades_24h long, best_bid double, best_ask double, kind string, condition_id string, winner string"
 FILLS = "profile string, token_id string, ts double, action string, price double, shares double, fee double, pnl double, cash double"
 
 
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
-    """(kind, token_id, condition_id, ts, price, size, side, best_bid, best_ask) from JSON frames: a list or one object each.
+    """(kind, token_id, condition_id, ts, price, size, side, best_bid, best_ask, winner) from JSON frames: a list or one object each.
 
     Kinds: trade (price in [0, 1]), book (top of book), resolved. price_change frames fan out by asset.
     """
@@ -35,7 +35,7 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     kind = F.when(F.col("event_type").isin("last_trade_price", "trade") & price.between(0, 1), "trade").when(F.col("event_type").isin("book", "price_change"), "book").when(F.col("event_type") == "market_resolved", "resolved")
     return rows.select(
         kind.alias("kind"), F.coalesce("c.asset_id", "asset_id", "winning_asset_id").alias("token_id"), F.col("market").alias("condition_id"), "ts", price.alias("price"), F.col("size").try_cast("double").alias("size"), X.normal_side(F.col("side")).alias("side"),
-        F.coalesce(F.col("c.best_bid").try_cast("double"), side(F.col("bids"), F.array_max)).alias("best_bid"), F.coalesce(F.col("c.best_ask").try_cast("double"), side(F.col("asks"), F.array_min)).alias("best_ask"),
+        F.coalesce(F.col("c.best_bid").try_cast("double"), side(F.col("bids"), F.array_max)).alias("best_bid"), F.coalesce(F.col("c.best_ask").try_cast("double"), side(F.col("asks"), F.array_min)).alias("best_ask"), F.col("winning_asset_id").alias("winner"),
     ).where("kind is not null")
 
 
@@ -60,7 +60,7 @@ class TokenWindow:
 
 
 def live_features(events: DataFrame, expire: bool = True) -> DataFrame:
-    """A row of features for each trade of a stream of parse_events rows; state by token, kept for a day after its last event.
+    """A row of features for each trade of a stream of parse_events rows, and a row without features for each resolution; state by token, kept for a day after its last event.
 
     With expire, a stream of availableNow runs empty batches without end, as a timeout may always come; False keeps state for good.
     """
@@ -80,12 +80,14 @@ def live_features(events: DataFrame, expire: bool = True) -> DataFrame:
                 w.bid, w.ask = (None if pd.isna(x) else float(x) for x in (e.best_bid, e.best_ask))
             elif e.kind == "trade":
                 size = 0.0 if pd.isna(e.size) else float(e.size)
-                out.append((key[0], e.ts, e.price, size, *w.add(e.ts, e.price, size), w.bid, w.ask))
+                out.append((key[0], e.ts, e.price, size, *w.add(e.ts, e.price, size), w.bid, w.ask, e.kind, e.condition_id, None))
+            elif e.kind == "resolved":
+                out.append((key[0], e.ts, e.price, None, None, None, None, w.bid, w.ask, e.kind, e.condition_id, e.winner))
         cols = [list(c) for c in zip(*w.trades)] or [[], [], []]
         state.update((*cols, w.bid, w.ask))
         if expire:
             state.setTimeoutDuration(int(DAY * 1000))
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=names).astype({"trades_24h": "Int64"})
 
     return events.groupBy("token_id").applyInPandasWithState(run, FEATURES, "ts array<double>, prices array<double>, sizes array<double>, bid double, ask double", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 
@@ -114,20 +116,20 @@ class Profile:
 
 PROFILES = [
     Profile("whale_midbucket"),
-    Profile("momentum_drift", 0.20, 0.80, None, "pos"),
-    Profile("rsi_mean_reversion", 0.10, 0.60, None, "neg"),
-    Profile("swing_confluence", 0.20, 0.80, 2.0, "pos", 0.20, 0.10),
+    Profile("band_momentum_up", 0.20, 0.80, None, "pos"),
+    Profile("band_momentum_down", 0.10, 0.60, None, "neg"),
+    Profile("band_whale_momentum_up", 0.20, 0.80, 2.0, "pos", 0.20, 0.10),
 ]
 
 
 class PaperTrader:
     """One profile's portfolio: exits on take profit, stop and resolution; entries sized by Kelly within limits."""
 
-    def __init__(self, profile: Profile, cash: float | None = None, peak: float | None = None, positions: dict | None = None, last: dict | None = None):
+    def __init__(self, profile: Profile, cash: float | None = None, peak: float | None = None, positions: dict | None = None, last: dict | None = None, markets: dict | None = None):
         self.p = profile
         self.cash = profile.bankroll if cash is None else cash
         self.peak = self.cash if peak is None else peak
-        self.positions, self.last = positions or {}, last or {}
+        self.positions, self.last, self.markets = positions or {}, last or {}, markets or {}
 
     def fee(self, shares: float, price: float) -> float:
         return round(shares * X.FEE_RATES.get(self.p.category, X.FEE_RATES["crypto"]) * price * (1 - price), 6)
@@ -141,12 +143,18 @@ class PaperTrader:
 
     def close(self, token: str, ts: float, price: float, action: str) -> tuple:
         shares, cost, _ = self.positions.pop(token)
+        self.markets.pop(token, None)
         fee = 0.0 if action == "resolved" else self.fee(shares, price)
         self.cash += shares * price - fee
         self.last[token] = ts
         return self.p.name, token, ts, action, price, shares, fee, shares * price - fee - cost, self.cash
 
-    def on(self, kind: str, token: str, ts: float, price: float, momentum: float | None, whale: float | None) -> list[tuple]:
+    def resolve(self, token: str, ts: float, winner: str | None, market: str | None) -> list[tuple]:
+        """Close what is held of the market: at 1 the winner, at 0 the others. Without a winner, nothing is known to close at."""
+        held = [t for t in self.positions if t == token or market is not None and self.markets.get(t) == market]
+        return [self.close(t, ts, float(t == winner), "resolved") for t in held] if winner else []
+
+    def on(self, kind: str, token: str, ts: float, price: float, momentum: float | None, whale: float | None, market: str | None = None) -> list[tuple]:
         out, p = [], self.p
         if token in self.positions:
             shares, cost, _ = self.positions[token]
@@ -168,7 +176,7 @@ class PaperTrader:
             fee = self.fee(shares, fill)
             if shares > 0 and stake + fee <= self.cash:
                 self.cash -= stake + fee
-                self.positions[token] = (shares, stake + fee, price)
+                self.positions[token], self.markets[token] = (shares, stake + fee, price), market
                 out.append((p.name, token, ts, "open", fill, shares, fee, 0.0, self.cash))
         return out
 
@@ -182,18 +190,22 @@ def paper_trade(features: DataFrame, profiles: list[Profile] | None = None) -> D
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         trader = PaperTrader(by_name[key[0]])
         if state.exists:
-            cash, peak, tokens, shares, costs, marks, seen, times = state.get
-            trader = PaperTrader(by_name[key[0]], cash, peak, dict(zip(tokens, zip(shares, costs, marks))), dict(zip(seen, times)))
+            cash, peak, tokens, shares, costs, marks, seen, times, markets = state.get
+            trader = PaperTrader(by_name[key[0]], cash, peak, dict(zip(tokens, zip(shares, costs, marks))), dict(zip(seen, times)), dict(zip(tokens, markets)))
         out = []
         none = lambda x: None if pd.isna(x) else float(x)
         for e in pd.concat(list(batches)).sort_values(["ts", "token_id"], kind="stable").itertuples():
-            out += trader.on("trade", e.token_id, e.ts, e.price, none(e.momentum_1h), none(e.whale_ratio))
+            text = lambda x: x if isinstance(x, str) else None
+            if e.kind == "resolved":
+                out += trader.resolve(e.token_id, e.ts, text(e.winner), text(e.condition_id))
+            else:
+                out += trader.on("trade", e.token_id, e.ts, e.price, none(e.momentum_1h), none(e.whale_ratio), text(e.condition_id))
         held = trader.positions
-        state.update((trader.cash, trader.peak, list(held), *([v[i] for v in held.values()] for i in range(3)), list(trader.last), list(trader.last.values())))
+        state.update((trader.cash, trader.peak, list(held), *([v[i] for v in held.values()] for i in range(3)), list(trader.last), list(trader.last.values()), [trader.markets.get(t) for t in held]))
         yield pd.DataFrame(out, columns=names)
 
     fanned = features.withColumn("profile", F.explode(F.array(*[F.lit(p.name) for p in profiles])))
-    return fanned.groupBy("profile").applyInPandasWithState(run, FILLS, "cash double, peak double, tokens array<string>, shares array<double>, costs array<double>, marks array<double>, seen array<string>, times array<double>", "append", "NoTimeout")
+    return fanned.groupBy("profile").applyInPandasWithState(run, FILLS, "cash double, peak double, tokens array<string>, shares array<double>, costs array<double>, marks array<double>, seen array<string>, times array<double>, markets array<string>", "append", "NoTimeout")
 
 
 def leaderboard(fills: DataFrame) -> DataFrame:

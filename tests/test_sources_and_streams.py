@@ -116,3 +116,21 @@ def test_paper_streams_end(spark, tmp_path):
     assert [r["action"] for r in fills.orderBy("ts").collect()] == ["open", "take_profit"]
     best = live.leaderboard(fills).first()
     assert best["closed"] == 1 and best["total_pnl"] > 0
+
+
+def test_positions_close_on_resolution(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    frames = [{"event_type": "last_trade_price", "asset_id": t, "market": m, "price": "0.45", "size": "10", "timestamp": str(1700000000 + i)} for i, (t, m) in enumerate((("a", "m"), ("b", "m"), ("c", "other")))]
+    frames.append({"event_type": "market_resolved", "market": "m", "winning_asset_id": "b", "timestamp": "1700000100"})
+    (tmp_path / "in" / "e.txt").write_text("\n".join(map(json.dumps, frames)))
+
+    def run(rows, name):
+        q = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}_state")).start(str(tmp_path / name), format="parquet")
+        assert q.awaitTermination(60)
+
+    run(live.live_features(live.parse_events(spark.readStream.text(str(tmp_path / "in"))), expire=False), "features")
+    run(live.paper_trade(spark.readStream.schema(live.FEATURES).parquet(str(tmp_path / "features")), [live.Profile("p", whale=None)]), "fills")
+    fills = spark.read.parquet(str(tmp_path / "fills")).where("action <> 'open'").orderBy("token_id").collect()
+    assert [(r["token_id"], r["action"], r["price"]) for r in fills] == [("a", "resolved", 0.0), ("b", "resolved", 1.0)]
+    assert fills[0]["pnl"] < 0 < fills[1]["pnl"]
+    assert not any(x in p.name for p in live.PROFILES for x in ("rsi", "drift", "confluence"))
