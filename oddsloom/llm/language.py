@@ -123,15 +123,16 @@ class Parser:
 
 
 def sample_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Training text: of each language about SAMPLE_TEXTS labelled texts that aren't held out, chosen by hash of the text.
+    """Training text: of each language about SAMPLE_TEXTS different labelled texts that aren't held out, one at least, chosen by hash of the text.
 
     Bounded: languages * SAMPLE_CHARS characters reach the driver, which hands them to the workers.
     """
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held, F.lit(False)))
     key = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)) / float(1 << 40)
-    counts = rows.groupBy(F.col(lang_col).alias("_l")).count().collect()  # a row a language
-    bounds = [(F.col(lang_col) == r["_l"]) & (key * r["count"] <= SAMPLE_TEXTS) for r in counts]
+    different = rows.select(F.col(lang_col).alias("_l"), key.alias("_key")).distinct()
+    counts = different.groupBy("_l").agg(F.count("*").alias("count"), F.min("_key").alias("first")).collect()  # a row a language
+    bounds = [(F.col(lang_col) == r["_l"]) & (key <= max(SAMPLE_TEXTS / r["count"], r["first"])) for r in counts]
     near = rows.where(reduce(or_, bounds, F.lit(False))).select(F.col(lang_col).alias("_l"), key.alias("_key"), F.substring(F.col(text_col), 1, TEXT_CHARS).alias("_text"))
     out: dict[str, list[str]] = {}
     for r in near.groupBy("_l", "_key", "_text").count().orderBy("_l", "_key", "_text").collect():  # languages * SAMPLE_TEXTS rows
@@ -145,6 +146,22 @@ def sample_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dic
 PARSERS: dict[str, Parser] = {}
 
 
+def predictions(parser: Parser, given: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    texts = given.fillna("").tolist()
+    known = np.array([bool(LETTER.search(t)) for t in texts], dtype=bool)
+    pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    at = np.flatnonzero(known)
+    if len(at) and parser.languages:
+        counts = parser.phrases([texts[i] for i in at])
+        best = counts.argmin(axis=1)
+        pred[at] = np.array(parser.languages, dtype=object)[best]
+        low = counts[np.arange(len(at)), best]
+        counts[np.arange(len(at)), best] = np.iinfo(np.int64).max
+        score[at] = 1 - low / counts.min(axis=1)
+    return pred, score
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: dict[str, list[str]] | None = None) -> DataFrame:
     """Language of each row: (id_col, held_out, lang_pred, score), one row per input row.
 
@@ -163,17 +180,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for pdf in batches:
             sizes = pdf["_text"].str.len().fillna(0).to_numpy(dtype=np.int64)
             for _, block in pdf.groupby(np.cumsum(sizes) // (LANES * PIECE), sort=False):
-                texts = block["_text"].fillna("").tolist()
-                known = np.array([bool(LETTER.search(t)) for t in texts], dtype=bool)
-                pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-                at = np.flatnonzero(known)
-                if len(at) and parser.languages:
-                    counts = parser.phrases([texts[i] for i in at])
-                    best = counts.argmin(axis=1)
-                    pred[at] = np.array(parser.languages, dtype=object)[best]
-                    low = counts[np.arange(len(at)), best]
-                    counts[np.arange(len(at)), best] = np.iinfo(np.int64).max
-                    score[at] = 1 - low / counts.min(axis=1)
+                pred, score = predictions(parser, block["_text"])
                 yield pd.DataFrame({"_id": block["_id"], "held_out": block["_held"], "lang_pred": pred, "score": score})
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
@@ -188,5 +195,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (und: null, empty or letterless texts) go; all others stay as they are."""
-    rejected = identify(docs).where("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    sample = sample_of(docs, "doc_id", "text", "lang")
+    name = f"{zlib.crc32(repr(sorted(sample.items())).encode()):08x}"
+    given = spark.sparkContext.broadcast(sample)  # languages * SAMPLE_CHARS characters
+
+    @F.pandas_udf("string")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parser = PARSERS.get(name) or PARSERS.setdefault(name, Parser(given.value))
+        for texts in batches:
+            blocks = np.cumsum(texts.str.len().fillna(0).to_numpy(dtype=np.int64)) // (LANES * PIECE)
+            yield pd.Series(np.concatenate([predictions(parser, x)[0] for _, x in texts.groupby(blocks, sort=False)] or [np.zeros(0, object)]), dtype=object)
+
+    return docs.where(predicted("text") != "und")

@@ -322,6 +322,14 @@ def test_language(spark):
         assert int(p.phrases([text])[0, j]) == count
 
 
+def test_language_of_copies_and_own_rows(spark):
+    rows = [(i, "der hund lief durch den wald", "de") for i in range(4000)] + [(5000 + i, f"the cat sat on the mat {w}", "en") for i, w in enumerate("abcdefgh")]
+    sample = language.sample_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert sample["de"] == ["der hund lief durch den wald"] and len(sample["en"]) > 3
+    df = frame(spark, ["the cat sat", "12 34", None, "wald", "...", None], [1, 1, 2, None, None, 3])
+    assert sorted(r["text"] for r in language.stage(spark, df, SF).collect()) == ["the cat sat", "wald"]
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     line = lambda k: " ".join(near_words(k, rng.random()))
