@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding with DuckDB's recursive queries, one database in each Python worker.
 
 Text is cut into units (white space, then what follows it), which no token crosses, and units into the pattern's
-matches. New matches go into a token-position table: each round joins neighbours with the merge table and contracts
-the leftmost pair of least rank of every word, until no pair is left. Decoding aggregates token bytes in order.
+matches. New matches go into a token-position table: each round joins neighbours with the merge table and contracts,
+in every word, the pair of least rank from its leftmost place on, until no pair is left. All of a word's places of
+that pair that don't overlap go in one round: a merge makes only pairs of higher ranks, as each token of the
+vocabulary is its own encoding, so the next rounds would take them anyhow. Decoding aggregates token bytes in order.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,13 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's White_Space, which the pattern's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHED = 800_000  # units and matches that a worker keeps
-BLOCK = 1 << 23  # characters of the texts that are encoded together
-WORDS = 100_000  # matches of a recursive query
-LONG = 128  # bytes; a longer match is merged with a heap, as a round for each of its merges costs its square
+KEPT = 64 << 20  # bytes of the matches and their ids that a worker keeps
+BLOCK = 1 << 21  # characters of the texts that are encoded together
+WORDS = 30_000  # matches of a recursive query
+DATABASE = "250MB"  # most memory of a worker's DuckDB
 
 # nxt: the place of the next token in the word, or -1. Rows are sorted by word and place, so the next row is the next token; an error says if it is not.
+# c: places of the word's least pair; follows: it begins where the one before ends. k: every other place of a run of these, from its first.
 ENCODE = """
 WITH RECURSIVE s(w, pos, tok, nxt, done) AS (
   SELECT w, pos, tok, nxt, false FROM bytes
@@ -42,10 +45,16 @@ WITH RECURSIVE s(w, pos, tok, nxt, done) AS (
       CASE WHEN nxt >= 0 THEN CASE WHEN lead(w) OVER () = w AND lead(pos) OVER () = nxt THEN tok::BIGINT * 65536 + lead(tok) OVER () ELSE error('rows out of order') END END AS pair
     FROM (SELECT * FROM s WHERE NOT done ORDER BY w, pos)
   ), p AS MATERIALIZED (
-    SELECT w, pos, tok, nxt, nxt2, m.id::BIGINT * 65536 + pos AS key FROM n LEFT JOIN merges m USING (pair)
-  ), least AS (SELECT w, min(key) AS best, arg_min(nxt, key) AS gone FROM p GROUP BY w)
-  SELECT w, pos, CASE WHEN pos = best % 65536 THEN CAST(best // 65536 AS INTEGER) ELSE tok END, CASE WHEN pos = best % 65536 THEN nxt2 ELSE nxt END, best IS NULL
-  FROM p JOIN least USING (w) WHERE best IS NULL OR pos <> gone))
+    SELECT w, pos, tok, nxt, nxt2, m.id FROM n LEFT JOIN merges m USING (pair)
+  ), least AS MATERIALIZED (
+    SELECT w, min(id) AS best FROM p GROUP BY w
+  ), c AS (
+    SELECT w, pos, nxt, lag(nxt) OVER o IS NOT DISTINCT FROM pos AS follows, row_number() OVER o AS i FROM p JOIN least USING (w) WHERE id = best WINDOW o AS (PARTITION BY w ORDER BY pos)
+  ), k AS MATERIALIZED (
+    SELECT w, pos, nxt FROM (SELECT *, i - max(CASE WHEN NOT follows THEN i END) OVER (PARTITION BY w ORDER BY i) AS turn FROM c) WHERE turn % 2 = 0
+  ), t AS (SELECT w, pos, true AS merged FROM k UNION ALL SELECT w, nxt, false FROM k)
+  SELECT w, pos, CASE WHEN merged THEN best ELSE tok END, CASE WHEN merged THEN nxt2 ELSE nxt END, best IS NULL
+  FROM p JOIN least USING (w) LEFT JOIN t USING (w, pos) WHERE merged IS NOT FALSE))
 SELECT w, pos, tok FROM s WHERE done
 """
 DECODE = """
@@ -71,91 +80,84 @@ class Tokenizer:
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         ascii_ = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
         self.ascii_pattern = re.compile(ascii_.replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))  # the same for ASCII text, where it is faster
-        self.words: dict[str, tuple[str, bytes]] = {}  # ids joined by spaces, and the bytes that they decode to
-        self.units: dict[str, tuple[str, bytes]] = {}  # the same of units
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DATABASE, "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([left * 65536 + right for left, right, _ in pairs], pa.int64()), "id": pa.array([r for *_, r in pairs], pa.int32())})  # noqa: F841
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
         self.size = max(self.ranks.values()) + 1
+        self.forget()
+        self.decimal = list(map(str, range(self.size)))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def heap_merge(self, raw: bytes) -> list[int]:
-        """The same contraction for one long word: pairs in a heap by rank, then place."""
-        parts: list[bytes | None] = [bytes([b]) for b in raw]
-        after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (both := parts[i] + parts[j]) in self.ranks:
-                heapq.heappush(heap, (self.ranks[both], i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if parts[i] is None or (j := after[i]) >= len(parts) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j], after[i] = both, None, after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [self.ranks[p] for p in parts if p is not None]
-
     def tokens(self, words: list[bytes]) -> pa.Table:
         """(w, pos, tok): the tokens of words[w] in order."""
-        short = [i for i, x in enumerate(words) if len(x) <= LONG]
-        sizes = np.fromiter((len(words[i]) for i in short), np.int32, len(short))
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
         ends = np.cumsum(sizes, dtype=np.int64)
-        raw = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        raw = np.frombuffer(b"".join(words), np.uint8)
         pos = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
         nxt = np.where(pos + 1 < np.repeat(sizes, sizes), pos + 1, -1)
-        bytes_ = pa.table({"w": np.repeat(np.array(short, np.int32), sizes), "pos": pos.astype(np.int32), "tok": self.single[raw], "nxt": nxt.astype(np.int32)})  # noqa: F841
-        done = self.con.sql(ENCODE.replace("FROM bytes", "FROM bytes_")).to_arrow_table()
-        long = [(i, p, t) for i, x in enumerate(words) if len(x) > LONG for p, t in enumerate(self.heap_merge(x))]
-        more = pa.table(dict(zip(("w", "pos", "tok"), (pa.array(x, pa.int32()) for x in (zip(*long) if long else ((), (), ()))))))
-        return pa.concat_tables([done.cast(more.schema), more])
+        bytes_ = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": self.single[raw], "nxt": nxt.astype(np.int32)})  # noqa: F841
+        return self.con.sql(ENCODE.replace("FROM bytes", "FROM bytes_")).to_arrow_table()
 
     def decode(self, tokens: pa.Table) -> list[tuple[str, bytes]]:
         """By w, which tokens have from 0 on: ids joined by spaces, bytes."""
         got = self.con.sql(DECODE).to_arrow_table()
         return list(zip(got["ids"].to_pylist(), got["raw"].to_pylist()))
 
-    def learn(self, units: set[str]) -> None:
-        """Tokens of units that aren't kept yet; all that is kept goes when it would be more than CACHED units."""
-        new = units.difference(self.units)
-        if len(self.units) + len(new) > CACHED:
-            self.units.clear()
-            self.words.clear()
-            new = units
-        words = self.words
-        split = [(u, (self.ascii_pattern if u.isascii() else self.pattern).findall(u)) for u in new]
-        missing = list({w for _, ws in split for w in ws}.difference(words))
-        for at in range(0, len(missing), WORDS):
-            block = missing[at : at + WORDS]
-            words.update(zip(block, self.decode(self.tokens([w.encode("utf-8", "replace") for w in block]))))
-        for u, ws in split:
-            if len(ws) == 1:
-                self.units[u] = words[ws[0]]
-            else:
-                self.units[u] = " ".join([words[w][0] for w in ws]), b"".join([words[w][1] for w in ws])
+    def forget(self) -> None:
+        """Of kept matches, by name in order: two halves of the name, where the ids begin in self.ids, and how many they are."""
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.counts, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, counts) in self.ids of different matches. New ones are encoded, and kept by a 128-bit name if they decode to themselves."""
+        names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+        if self.high.nbytes * 3 + self.ids.nbytes > KEPT:
+            self.forget()
+        at = np.searchsorted(self.high, names[:, 0])
+        found = np.append(self.high, np.uint64(0))[at] == names[:, 0]
+        found &= np.append(self.low, np.uint64(0))[at] == names[:, 1]
+        found &= at < len(self.high)
+        starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[found], counts[found] = self.starts[at[found]], self.counts[at[found]]
+        new = np.flatnonzero(~found)
+        for first in range(0, len(new), WORDS):
+            mine = new[first : first + WORDS]
+            tokens = self.tokens([words[i] for i in mine])
+            if [raw for _, raw in self.decode(tokens)] != [words[i] for i in mine]:
+                raise ValueError("ids do not decode to their text")
+            w, pos, tok = (tokens[c].to_numpy() for c in ("w", "pos", "tok"))
+            counts[mine] = np.bincount(w, minlength=len(mine))
+            starts[mine] = len(self.ids) + np.cumsum(counts[mine]) - counts[mine]
+            self.ids = np.concatenate([self.ids, tok[np.lexsort((pos, w))].astype(self.ids.dtype)])
+        order = new[np.argsort(names[new, 0], kind="stable")]
+        self.low, self.starts, self.counts, self.high = (np.insert(x, at[order], y[order]) for x, y in ((self.low, names[:, 1]), (self.starts, starts), (self.counts, counts), (self.high, names[:, 0])))
+        return starts, counts
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces, and the bytes that they decode to, for each text."""
         cut = [UNIT.findall(t) for t in texts]
-        self.learn(set().union(*cut))
-        for units in cut:
-            found = [self.units[u] for u in units]
-            ids = " ".join([x for x, _ in found])
-            yield (ids.count(" ") + 1 if ids else 0), ids, b"".join([x for _, x in found])
-
-
-@lru_cache(2)
+        split = {u: (self.ascii_pattern if u.isascii() else self.pattern).findall(u) for u in set().union(*cut)}
+        words = list({w for ws in split.values() for w in ws})
+        raws = [w.encode("utf-8", "replace") for w in words]
+        starts, counts = self.learn(raws)
+        decimal, ids = self.decimal, self.ids[np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)].tolist()
+        strings, at = [], 0
+        for n in counts.tolist():
+            strings.append(decimal[ids[at]] if n == 1 else " ".join([decimal[i] for i in ids[at : at + n]]))
+            at += n
+        ids_of, raw_of = dict(zip(words, strings)), dict(zip(words, raws))
+        for u, ws in split.items():
+            if len(ws) > 1:
+                ids_of[u], raw_of[u] = " ".join([ids_of[w] for w in ws]), b"".join([raw_of[w] for w in ws])
+        for us in cut:
+            joined = " ".join(map(ids_of.__getitem__, us))
+            yield (joined.count(" ") + 1 if joined else 0), joined, b"".join(map(raw_of.__getitem__, us))
+
+
+@lru_cache(1)
 def tokenizer(vocabulary: str) -> Tokenizer:
     return Tokenizer(vocabulary)
 
@@ -188,12 +190,15 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, finis
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = tokenizer(vocabulary)
-        gc.disable()  # the many kept strings form no cycles; passing over them costs a quarter of the time
         for pdf in batches:
             sizes = pdf["_text"].str.len().fillna(0).cumsum() // BLOCK
             for _, block in pdf.groupby(sizes.to_numpy(dtype="int64"), sort=False):
-                found = model.encode(block["_text"].fillna("").tolist())
-                yield pd.DataFrame([(i, *finish(*x)) for i, x in zip(block["_id"], found)], columns=names).astype({"_id": "Int64"})
+                gc.disable()  # the many kept strings form no cycles; passing over them costs a quarter of the time
+                try:
+                    out = pd.DataFrame([(i, *finish(*x)) for i, x in zip(block["_id"], model.encode(block["_text"].fillna("").tolist()))], columns=names)
+                finally:
+                    gc.enable()
+                yield out.astype({"_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, f"_id long, {schema}").withColumnRenamed("_id", id_col)
