@@ -3,7 +3,8 @@
 Fingerprints within tau bits of each other agree, in at least one of m bit groups, to within a threshold that
 may differ by group and by fingerprint, as long as the thresholds sum to tau - m + 1 (a threshold of -1 leaves
 a group out). Correlated bits share a group, and each fingerprint gets the thresholds with the fewest estimated
-candidates by dynamic programming over the groups.
+candidates by dynamic programming over the groups. A bucket of very many fingerprints is dealt again by the other
+groups: what is left of tau is allocated over these, down to whole fingerprints.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ._common import connected_components, documents, materialize
 
 BITS = 64
 CHUNK = 11  # bits of a histogram; 2 ** CHUNK counts each
-BUCKET = 32  # indexed fingerprints of a bucket that are compared pair by pair
+BUCKET = 32  # indexed members of a bucket that are compared with each that meets it; a larger bucket is dealt again
 SEED = 42
 SHINGLE = 5  # words of a shingle in the pipeline's stage
 LEAST = (4, 5)  # least Jaccard similarity there
@@ -121,40 +122,89 @@ class Plan:
             out[i, 1:] = probes[:, None] + self.n * np.cumsum(mass, axis=0)
         return out
 
-    def allocate(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(thresholds, cost) of each fingerprint: the cheapest thresholds of at least -1 that sum to tau - m + 1."""
-        cost, m = self.costs(bits), len(self.groups)
-        best, picks = np.full((self.tau + 2, len(bits)), np.inf), []
-        best[0] = 0  # thresholds plus one sum to tau + 1
-        for i in range(m):
+    def allocate(self, bits: np.ndarray, groups: list[int] | None = None, left: int | None = None) -> np.ndarray:
+        """Thresholds of each fingerprint by group: over groups, the cheapest of at least -1 that sum to left less their number plus 1; -1 for the others."""
+        groups, total = list(range(len(self.groups))) if groups is None else groups, (self.tau if left is None else left) + 1
+        cost = self.costs(bits)
+        best, picks = np.full((total + 1, len(bits)), np.inf), []
+        best[0] = 0  # thresholds plus one sum to total
+        for i in groups:
             now, pick = np.full_like(best, np.inf), np.zeros(best.shape, dtype=np.int8)
-            for s in range(self.tau + 2):
+            for s in range(total + 1):
                 for t in range(s + 1):
                     x = best[s - t] + cost[i, t]
                     pick[s] = np.where(x < now[s], t, pick[s])
                     now[s] = np.minimum(x, now[s])
             best = now
             picks.append(pick)
-        left, out, at = np.full(len(bits), self.tau + 1), np.zeros((m, len(bits)), dtype=np.int8), np.arange(len(bits))
-        for i in range(m - 1, -1, -1):
-            out[i] = picks[i][left, at]
-            left = left - out[i]
-        return out - 1, best[self.tau + 1]
-
-    def keys(self, fps: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
-        """Rows (key, fp, node, indexed): every group value of a fingerprint, then the values that it probes."""
-        bits = bit_rows(fps)
-        taus, _ = self.allocate(bits)
+        rest, out, at = np.full(len(bits), total), np.zeros((len(self.groups), len(bits)), dtype=np.int8), np.arange(len(bits))
+        for i, pick in zip(groups[::-1], picks[::-1]):
+            out[i] = pick[rest, at]
+            rest = rest - out[i]
+        return out - 1
+
+    def deal(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """From rows (key, fp, used, left, indexed), rows by a further group each: its value if indexed, else the values that are probed.
+
+        used: bits of the groups that key stands for; left: bits that may still differ in the others. Keys are sums of
+        mixed group values, so that the order of groups does not matter; keys that are equal by chance cost a comparison.
+        """
         parts = []
-        for i, g in enumerate(self.groups):
-            base, value = np.int64(i) << np.int64(48), values_of(bits, g)
-            parts.append((base + value, fps, nodes, True))
-            for d in range(self.tau + 1):
-                at = np.flatnonzero(taus[i] >= d)
-                masks = self.masks[i][d]
-                probed = (value[at][:, None] ^ masks[None, :]).ravel()
-                parts.append((base + probed, np.repeat(fps[at], len(masks)), np.repeat(nodes[at], len(masks)), False))
-        return pd.DataFrame({"key": np.concatenate([p[0] for p in parts]), "fp": np.concatenate([p[1] for p in parts]), "node": np.concatenate([p[2] for p in parts]), "indexed": np.concatenate([np.full(len(p[0]), p[3]) for p in parts])})
+        for (used, left, indexed), part in rows.groupby(["used", "left", "indexed"]):
+            groups = [i for i in range(len(self.groups)) if not used >> i & 1]
+            fps, keys = part["fp"].to_numpy(), part["key"].to_numpy()
+            bits = bit_rows(fps)
+            taus = np.zeros((len(self.groups), len(fps)), dtype=np.int8) if indexed else self.allocate(bits, groups, left)
+            for i in groups:
+                value = values_of(bits, self.groups[i])
+                for d in range(1 if indexed else left + 1):
+                    at = np.flatnonzero(taus[i] >= d)
+                    masks = self.masks[i][d]
+                    probed = (value[at][:, None] ^ masks[None, :]).ravel()
+                    parts.append((np.repeat(keys[at], len(masks)) + mixed(probed + (np.int64(i) << np.int64(48))), np.repeat(fps[at], len(masks)), used | 1 << i, left - d, indexed))
+        sizes = [len(x[0]) for x in parts]
+        join = lambda j, kind: np.concatenate([x[j] for x in parts] or [np.zeros(0, kind)]).astype(kind)
+        each = lambda j, kind: np.repeat(np.array([x[j] for x in parts], kind), sizes)
+        return pd.DataFrame({"key": join(0, np.int64), "fp": join(1, np.int64), "used": each(2, np.int32), "left": each(3, np.int32), "indexed": each(4, bool)})
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits that look random, by splitmix64's rule."""
+    z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+
+def close_pairs(fps: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): pairs of fingerprints of fps (fp) that differ in plan.tau bits or fewer, u <> v, each at least one way round.
+
+    Buckets of up to BUCKET indexed fingerprints are verified; larger ones go to the next level, where a key has one
+    group more. The last level's keys are whole fingerprints, so there are at most as many levels as groups, and no
+    fingerprint is compared with more than BUCKET others of a bucket.
+    """
+    schema = "key long, fp long, used int, left int, indexed boolean"
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                yield plan.deal(pdf.iloc[at : at + 2000])
+
+    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("used"), F.lit(plan.tau).alias("left"), F.explode(F.array(F.lit(True), F.lit(False))).alias("indexed"))
+    pairs = None
+    for level in range(len(plan.groups)):
+        dealt = rows.mapInPandas(deal, schema)
+        table = materialize(dealt.dropDuplicates(["key", "fp", "indexed"]) if level else dealt, f"keys{level}")
+        hot = table.where("indexed").groupBy("key").count().where(F.col("count") > BUCKET).select("key")
+        hot = materialize(hot if level < len(plan.groups) - 1 else hot.where("false"), "hot_keys")
+        cold = table.join(hot, "key", "left_anti")
+        a, b = cold.where("not indexed").select("key", F.col("fp").alias("u")), cold.where("indexed").select("key", F.col("fp").alias("v"))
+        found = a.join(b, "key").where("u <> v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= plan.tau).select("u", "v")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if hot.isEmpty():
+            break
+        rows = table.join(hot, "key", "left_semi").select(*table.columns)
+    return pairs
 
 
 def make_plan(fps: DataFrame, tau: int) -> Plan:
@@ -208,39 +258,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns (id_col, fingerprint, component_id), one row per input row: 16 lower-case hex digits, and the
     smallest id that can be reached, the row's own included. Null and wordless texts have fingerprint zero and
-    are linked like others; rows that repeat an id each keep their row; a null id never becomes a component_id
-    unless its fingerprint has no other; an empty table gives no rows. Other columns are not read.
+    are linked like others; rows that repeat an id each keep their row, and are linked by their own texts; a row with
+    a null id links others, but component_id is null only where no id can be reached; an empty table gives no rows.
+    Other columns are not read.
 
-    Work is on distinct fingerprints, so exact copies cost a row of an aggregation. A bucket with over BUCKET
-    indexed fingerprints isn't compared pair by pair: each fingerprint that meets it lists the values within
-    one bit, and two fingerprints share such a value exactly if they are within two bits (tau of 2). That is
-    65 rows a fingerprint, whatever the bucket's size.
+    Work is on distinct fingerprints, which are the graph's nodes, so exact copies cost a row of an aggregation, and
+    rows with null or repeated ids link like any others.
     """
-    if tau != 2:
-        raise ValueError("large buckets are resolved exactly for tau = 2 only")
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("node")), "distinct_fingerprints")
-    plan = make_plan(fps.where("node is not null"), tau)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                yield plan.keys(pdf["fp"].to_numpy()[at : at + 2000], pdf["node"].to_numpy()[at : at + 2000])
-
-    table = materialize(fps.where("node is not null").mapInPandas(keys, "key long, fp long, node long, indexed boolean"), "keys")
-    hot = materialize(table.where("indexed").groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "hot_keys")
-    cold = table.join(hot, "key", "left_anti")
-    a = cold.where("not indexed").select("key", F.col("fp").alias("fp_a"), F.col("node").alias("u"))
-    b = cold.where("indexed").select("key", F.col("fp").alias("fp_b"), F.col("node").alias("v"))
-    pairs = a.join(b, "key").where("u <> v").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= tau).select("u", "v")
-
-    dense = table.join(hot, "key", "left_semi").select("fp", "node").distinct()
-    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")) for b in range(BITS)])
-    reach = materialize(dense.select("node", F.explode(ball).alias("value")), "reach")
-    centre = reach.groupBy("value").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
-    star = reach.join(centre, "value").where("node <> v").select(F.col("node").alias("u"), "v")
-    found = connected_components(pairs.unionByName(star))
-    classes = fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("id")), "distinct_fingerprints")
+    found = materialize(connected_components(close_pairs(fps.select("fp"), make_plan(fps, tau))), "components")
+    labelled = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
+    least = materialize(labelled.groupBy("c").agg(F.min("id").alias("component_id")), "least_ids")
+    classes = materialize(labelled.join(least, "c").select("fp", "component_id"), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(classes, "fp").select(id_col, hexed, "component_id")
 

@@ -78,14 +78,42 @@ def test_simhash_plan_finds_every_pair():
         chunks = {tuple(g[a : a + simhash.CHUNK]) for g in groups for a in range(0, len(g), simhash.CHUNK)}
         hists = {c: np.bincount(simhash.values_of(simhash.bit_rows(fps), list(c)), minlength=1 << len(c)) / len(fps) for c in chunks}
         plan = simhash.Plan(groups, hists, len(fps), 2)
-        taus, _ = plan.allocate(simhash.bit_rows(fps))
+        taus = plan.allocate(simhash.bit_rows(fps))
         assert (taus.sum(axis=0) == 2 - m + 1).all() and (taus >= -1).all()
-        keys = plan.keys(fps, fps)
-        pairs = keys[~keys.indexed].merge(keys[keys.indexed], on="key")
-        found = {(a, b) for a, b in zip(pairs.fp_x, pairs.fp_y) if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
-        found |= {(b, a) for a, b in zip(pairs.fp_x, pairs.fp_y) if a > b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
         want = {(a, b) for i, a in enumerate(fps.tolist()) for b in fps.tolist()[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
-        assert found == want and len(want) > 200
+        rows = pd.concat([pd.DataFrame({"key": np.int64(0), "fp": fps, "used": 0, "left": 2, "indexed": x}) for x in (True, False)])
+        for _ in range(m):  # each level finds every pair by itself
+            rows = plan.deal(rows).drop_duplicates(["key", "fp", "indexed"])
+            pairs = rows[~rows.indexed].merge(rows[rows.indexed], on="key")
+            found = {(min(a, b), max(a, b)) for a, b in zip(pairs.fp_x, pairs.fp_y) if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+            assert found == want and len(want) > 200
+        assert rows[rows.indexed].groupby("key").size().max() == 1
+
+
+def test_simhash_of_null_and_repeated_ids(spark, monkeypatch):
+    fps = [0, 0b11, 0b1111, 0xFF << 40, (0xFF << 40) + (1 << 50), 0xFFF << 20]
+    ids = [5, None, 9, 7, 7, None]
+    rows = spark.createDataFrame([(i, str(f)) for i, f in zip(ids, fps)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, shingle=3: int(t))
+    direct = rows.selectExpr("doc_id", "cast(text as long) as fp")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: direct)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    assert [got[i, f"{f:016x}"] for i, f in zip(ids, fps)] == [5, 5, 5, 7, 7, None]
+    monkeypatch.undo()
+    assert simhash.near_duplicates(rows.where("false")).count() == 0
+    twice = spark.createDataFrame([(5, " ".join(near_words(40, 1))), (8, " ".join(near_words(40, 1))), (8, " ".join(near_words(40, 2))), (3, " ".join(near_words(40, 2)))], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in simhash.near_duplicates(twice).collect()) == [3, 3, 5, 5]
+
+
+def test_simhash_dense_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    fps = sorted({int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False))) for _ in range(150)} | {int(x) for x in rng.integers(0, 1 << 62, 60)})
+    direct = spark.createDataFrame([(i, f if f < 1 << 63 else f - (1 << 64)) for i, f in enumerate(fps)], "doc_id long, fp long")
+    for bucket in (1, 8):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "fingerprints", lambda *a: direct)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(direct).collect()}
+        assert [got[i] for i in range(len(fps))] == components(fps)
 
 
 @pytest.mark.parametrize("bucket, common", [(2, 3), (2, 256), (32, 32)])
