@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one in local mode; on a cluster, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="oddsloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,6 +28,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to clash with none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+HOT = 1_000  # keys that are broadcast at most
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row a key and n, the rows of that key among total.
+
+    Keys with over a HOT-th of total are broadcast, of which there are under HOT, so no task gathers the rows of one;
+    all others are joined by key.
+    """
+    often = F.col("n") * HOT > total
+    hot = table.where(often)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(table.where(~often), keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

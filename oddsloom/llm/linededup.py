@@ -1,9 +1,11 @@
 """Line dedup: later copies of runs of lines go, found by prefix doubling over the suffixes of line-ID sequences.
 
-A document is its sequence of line IDs. Round k ranks the suffixes by their first 2 ** k lines, from two ranks of
-round k - 1; suffixes that share a rank are an interval of the suffix array whose longest common prefix is at
-least 2 ** k. Ranks are 128-bit names instead of places in a sorted list: equal prefixes have equal names, which is
-all that intervals need, and no round sorts the corpus. Suffixes that share their rank with none leave the array.
+A document is its sequence of line IDs, a suffix all lines from one on. Round 0 sorts the different lines and gives
+each suffix the place of its first line; round k sorts the different pairs of a place and the place 2 ** (k - 1)
+lines on, which orders the suffixes by their first 2 ** k lines. Suffixes of equal place are an interval of the
+suffix array with a longest common prefix of 2 ** k lines or more; those alone in their place leave the array. Two
+overlapping prefixes name an interval of any length in between. Only different keys are sorted, so a line that very
+many documents share is a row of that sort.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize
+from ._common import documents, fresh, join_hot, materialize
 
-MIN_WORDS = 50
-LEAST_WORDS = 1  # of op10 and the stage: runs of any length, so that every line with an earlier copy goes
+MIN_WORDS = 3  # of a repeated run; shorter ones, such as a closing bracket or a single word, stay unless they are part of a longer one
 
 
 def line_rows(texts: list[str | None], min_words: int = MIN_WORDS) -> pd.DataFrame:
@@ -53,21 +54,21 @@ def kept_lines(text: str, starts: list[int], sizes: list[int]) -> tuple[str, int
     return "\n".join(x for j, x in enumerate(lines) if j not in gone), len(real), len(gone)
 
 
-def named(*cols: Column | str) -> tuple[Column, Column]:
-    return F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b")
-
-
-def shared(ranked: DataFrame) -> DataFrame:
-    """Rows whose rank (a, b) another row has too. The join reads both sides anew, so that a rank with very many rows can be split."""
-    twice = materialize(ranked.groupBy("a", "b").count().where(F.col("count") > 1).select("a", "b"), "shared")
-    return ranked.join(twice, ["a", "b"], "left_semi")
+def placed(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """rows whose keys another row has too, with r, the place of their keys in the order of keys (ascending, with gaps)."""
+    total = rows.count()
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    order = materialize(twice.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("r", F.monotonically_increasing_id()), f"order{k}")
+    return join_hot(rows, order, keys, total).drop(*keys, "n")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, start, size): runs of lines of which an earlier copy exists, by (id, h, start), h a hash of the text.
 
     The runs are the shortest ones of min_words words from a line on or up to a line. Every line of a longer
-    repeated run lies in one of these, so their union is the union of all maximal repeated runs of min_words words.
+    repeated run lies in one of these, so their union is the union of all maximal repeated runs of min_words words,
+    and the doubling ends at the longest of them. The first copy stays: a later one in the same document counts from
+    where the first ends.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,28 +81,29 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("_text")).where("_text is not null")
     lines = materialize(given.mapInPandas(run, "id long, h long, i int, a long, b long, ahead int, back int"), "lines")
-    lines = lines.dropDuplicates(["id", "h", "i"])
-    first = materialize(shared(lines), "rank0")
+    first = materialize(placed(materialize(lines.dropDuplicates(["id", "h", "i"]), "different_lines"), ["a", "b"], 0), "suffixes0")
     longest = first.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    level = first.select("id", "h", "i", "a", "b")
-    ranks = level.withColumn("k", F.lit(0))
+    level = first.select("id", "h", "i", "r")
+    suffixes = level.withColumn("k", F.lit(0))
     k = 0
     while 2 << k <= longest:
-        after = level.select(F.col("id").alias("id2"), F.col("h").alias("h2"), (F.col("i") - (1 << k)).alias("i2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        pairs = level.join(after, F.expr("id <=> id2 and h = h2 and i = i2")).select("id", "h", "i", *named("a", "b", "a2", "b2"))
+        after = level.select(F.col("id").alias("id2"), F.col("h").alias("h2"), (F.col("i") - (1 << k)).alias("i2"), F.col("r").alias("r2"))
+        pairs = level.withColumnRenamed("r", "r1").join(after, F.expr("id <=> id2 and h = h2 and i = i2")).select("id", "h", "i", "r1", "r2")
         k += 1
-        level = materialize(shared(pairs), f"rank{k}")
-        ranks = ranks.unionByName(level.withColumn("k", F.lit(k)))
+        level = materialize(placed(materialize(pairs, f"pairs{k}"), ["r1", "r2"], k), f"suffixes{k}")
+        suffixes = suffixes.unionByName(level.withColumn("k", F.lit(k)))
     ends = [F.struct(F.col("i").alias("start"), F.col("ahead").alias("size")), F.struct((F.col("i") - F.col("back") + 1).alias("start"), F.col("back").alias("size"))]
     runs = first.select("id", "h", F.inline(F.array(*ends))).where("size > 0").distinct()
     runs = runs.withColumn("k", F.floor(F.log2(F.col("size") + 0.5)).cast("int"))
     runs = runs.withColumn("tail", F.expr("start + size - shiftleft(1, k)"))
-    head = ranks.select(F.col("id").alias("id1"), F.col("h").alias("h1"), F.col("i").alias("i1"), F.col("k").alias("k1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
-    tail = ranks.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("i").alias("i2"), F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    head, tail = (suffixes.select(*[F.col(c).alias(f"{c}{j}") for c in ("id", "h", "i", "k", "r")]) for j in (1, 2))
     runs = runs.join(head, F.expr("id <=> id1 and h = h1 and start = i1 and k = k1")).join(tail, F.expr("id <=> id2 and h = h2 and tail = i2 and k = k2"))
-    runs = materialize(runs.select("id", "h", "start", "size", *named("size", "a1", "b1", "a2", "b2")), "runs")
-    least = materialize(runs.groupBy("a", "b").agg(F.min(F.struct("id", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")  # so that the join of a hot run can be split
-    return runs.join(least, ["a", "b"]).where(~F.struct("id", "h", "start").eqNullSafe(F.col("least"))).select("id", "h", "start", "size")
+    runs = materialize(runs.select("id", "h", "start", "size", "r1", "r2"), "runs")
+    name = ["size", "r1", "r2"]
+    least = materialize(runs.groupBy(*name).agg(F.min(F.struct("id", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1"), "intervals")
+    same = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
+    found = join_hot(runs, least, name, runs.count())
+    return found.where(~same | (F.col("start") >= F.col("least.start") + F.col("size"))).select("id", "h", "start", "size")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,16 +111,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line goes if it lies in a run of whole consecutive lines, lines without a word apart, that has min_words words
     or more and of which a copy starts earlier: in a document with a smaller (id, hash of the text), nulls first, or
-    further up in the same one. Rows that repeat id and text are the same document and keep the same lines. Null
-    texts stay null with 0 lines; empty texts stay empty; an empty table gives no rows; other columns pass through.
+    further up in the same one, where the first copy has ended. Rows that repeat id and text are the same document and
+    keep the same lines. Null texts stay null with 0 lines; empty texts stay empty; an empty table gives no rows; other
+    columns pass through, but for any that are named _n_lines or _n_deleted, which are replaced.
     """
-    spans = later_copies(docs, id_col, text_col, min_words).groupBy("id", "h").agg(F.collect_list("start").alias("_starts"), F.collect_list("size").alias("_sizes"))
-    spans = spans.withColumnsRenamed({"id": "_span_id", "h": "_span_h"})
-    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_span_id")) & (F.xxhash64(F.col(text_col)) == F.col("_span_h")), "left").drop("_span_id", "_span_h")
-
-    cut = F.pandas_udf(cut_text, "text string, n_lines long, n_deleted long")(F.col(text_col), F.col("_starts"), F.col("_sizes"))
-    out = joined.withColumn("_cut", cut).drop("_starts", "_sizes")
-    return out.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_cut.n_lines").alias("_n_lines"), F.col("_cut.n_deleted").alias("_n_deleted"))
+    sid, sh, starts, sizes, cut = (fresh(docs.columns, f"_{x}") for x in ("span_id", "span_h", "starts", "sizes", "cut"))
+    spans = later_copies(docs, id_col, text_col, min_words).groupBy("id", "h").agg(F.collect_list("start").alias(starts), F.collect_list("size").alias(sizes))
+    spans = spans.withColumnsRenamed({"id": sid, "h": sh})
+    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(sid)) & (F.xxhash64(F.col(text_col)) == F.col(sh)), "left")
+    out = joined.withColumn(cut, F.pandas_udf(cut_text, "text string, n_lines long, n_deleted long")(F.col(text_col), F.col(starts), F.col(sizes)))
+    others = [F.col(f"{cut}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("_n_lines", "_n_deleted")]
+    return out.select(*others, F.col(f"{cut}.n_lines").alias("_n_lines"), F.col(f"{cut}.n_deleted").alias("_n_deleted"))
 
 
 def cut_text(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
@@ -128,13 +131,15 @@ def cut_text(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFr
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_chars and SHA-256 of what is left of every document's text."""
-    out = dedup_lines(documents(spark, sf_dir), min_words=LEAST_WORDS)
+    out = dedup_lines(documents(spark, sf_dir))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that are left, n_chars counted anew; a document goes if lines went and none is left."""
-    out = dedup_lines(docs, min_words=LEAST_WORDS).where("_n_deleted = 0 or _n_deleted < _n_lines")
-    chars = F.when(F.col("_n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars.cast("long")).select(docs.columns)
+    own = [c for c in docs.columns if c.lower() in ("_n_lines", "_n_deleted")]
+    kept = {c: fresh(docs.columns, f"{c}_") for c in own}  # columns that dedup_lines would replace
+    out = dedup_lines(docs.withColumnsRenamed(kept)).where("_n_deleted = 0 or _n_deleted < _n_lines")
+    chars = F.when(F.col("_n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.select(*[chars.alias(c) if c == "n_chars" else F.col(kept.get(c, c)).alias(c) for c in docs.columns])

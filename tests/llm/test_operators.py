@@ -358,28 +358,39 @@ def test_language_of_copies_and_own_rows(spark):
     assert sorted(r["text"] for r in language.stage(spark, df, SF).collect()) == ["the cat sat", "wald"]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("floor", [1, 3, 50])
+def test_line_dedup(spark, floor):
     rng = random.Random(4)
     line = lambda k: " ".join(near_words(k, rng.random()))
     passage = [line(20) for _ in range(4)]
-    texts = [None, "", "\n\n"] + ["\n".join([line(9), *passage[: 2 + i % 3], line(7)]) for i in range(9)] + [" short\nline", " short\nline", "\n".join(["x y"] * 60), "\n".join([line(60)] * 2)]
-    texts += [texts[4]]
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    texts = [None, "", "\n\n"] + ["\n".join([line(9), *passage[: 2 + i % 3], "}", line(7)]) for i in range(9)] + [" short\nline", " short\nline", "\n".join(["x y"] * 60), "\n".join([line(60)] * 2), "}"]
+    texts += [texts[4], "\n".join(["a", "b", "a", "b", "a", "b c", "a", "b", "a", "b"])]
+    rows = [(i, t, "en", "s", 1, "clash", "clash", 7, 8, 9, 10) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS + ", _starts int, _cut int, _n_lines int, _span_id int")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df, min_words=floor).collect()}
 
     docs = [[x for x in (t or "").split("\n") if x.strip()] for t in texts]
     seen, gone = {}, {}
-    for d, lines in enumerate(docs):
+    for d, lines in enumerate(docs):  # brute force over runs of any length
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
-                if sum(len(x.split()) for x in lines[a:b]) >= 50:
-                    if seen.setdefault(tuple(lines[a:b]), (d, a)) != (d, a):
+                if sum(len(x.split()) for x in lines[a:b]) >= floor:
+                    d0, a0 = seen.setdefault(tuple(lines[a:b]), (d, a))
+                    if d0 != d or a >= a0 + b - a:
                         gone.setdefault(d, set()).update(range(a, b))
     for d, t in enumerate(texts):
-        assert got[d]["_n_lines"] == len(docs[d]) and got[d]["_n_deleted"] == len(gone.get(d, ()))
+        assert got[d]["_n_lines"] == len(docs[d]) and got[d]["_n_deleted"] == len(gone.get(d, ())), (d, t)
         if t is not None:
             assert [x for x in got[d]["text"].split("\n") if x.strip()] == [x for i, x in enumerate(docs[d]) if i not in gone.get(d, ())]
-    assert got[0]["text"] is None and sum(map(len, gone.values())) > 20 and got[1]["words"] == "clash"
-    assert linededup.dedup_lines(frame(spark, texts).where("false")).count() == 0
+    assert got[0]["text"] is None and sum(map(len, gone.values())) > 20 and got[1]["words"] == "clash" and got[1]["_starts"] == 7 and got[1]["_cut"] == 8
+    if floor == 50:
+        assert len(got[14]["text"].split()) >= 50  # the first copy of a run that overlaps itself stays
+    if floor == 3:
+        assert linededup.dedup_lines(df.where("false")).count() == 0
+        kept = linededup.stage(spark, df, SF)
+        assert kept.columns == df.columns and {r["_n_lines"] for r in kept.collect()} == {9}
+        nulls = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "q")], "doc_id long, text string")
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(nulls).collect()) == [(0, "a b c d"), (0, "a b c d"), (1, ""), (1, ""), (1, "q")]
 
 
 def test_line_dedup_short_lines_and_joined_ends(spark, tmp_path):
