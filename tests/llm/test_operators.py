@@ -338,16 +338,33 @@ def test_language(spark):
     odd = {r["doc_id"]: r for r in language.identify(frame(spark, ODD + ["the cat", "der wald", "12 34", "the cat sat " * 4000]), sample=sample).collect()}
     n = len(ODD)
     assert [odd[i]["lang_pred"] for i in (0, 1, 2, n, n + 1, n + 2, n + 3)] == ["und", "und", "und", "aa", "bb", "und", "aa"]
-    p = language.Parser(sample)
-    text = "the cat ran der hund q the mat"
-    for j, name in enumerate(p.languages):  # brute force: longest phrases that are substrings
-        known, count, at = "".join(t + " " for t in sample[name]), 0, 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and text[at : end + 1] in known:
-                end += 1
-            count, at = count + 1, end
-        assert int(p.phrases([text])[0, j]) == count
+
+
+def test_cross_parsing(spark, monkeypatch):
+    sample = {"aa": ["the cat sat on the mat " * 9, "naïve 漢字漢語 हिन्दी"], "bb": ["der hund lief durch den wald " * 9], "cc": ["x"]}
+    rng = random.Random(5)
+    texts = ["the cat ran der hund q the mat", "½ ²", "漢字 naïve हिन्दी 99"] + ["".join(rng.choice(["the cat ", "hund ", "mat", "q", "漢", " ", "der hund lief "]) for _ in range(n)) for n in (1, 40, 300, 900)]
+    known = {x: "".join("".join(map(chr, language.symbols(t))) + "\0" for t in ts) for x, ts in sample.items()}
+    for piece in (1, 3, 7, 64, 512):
+        monkeypatch.setattr(language, "PIECE", piece)
+        p = language.train(spark, sample)
+        got, lacks = p.phrases(texts)
+        for i, t in enumerate(texts):
+            t = "".join(map(chr, language.symbols(t)))
+            for j, name in enumerate(p.languages):  # brute force: longest phrases that are substrings
+                count, at = 0, 0
+                while at < len(t):
+                    end = at + 1
+                    while end < len(t) and t[at : end + 1] in known[name]:
+                        end += 1
+                    count, at = count + 1, end
+                assert got[i, j] == count and lacks[i, j] == sum(c not in known[name] for c in t), (piece, name, t)
+    odd = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame(spark, ["½ ² Ⅷ", "漢", "tie ʰ"]), sample=sample).collect()}
+    assert odd[0] == "und" and odd[1] == "aa" and odd[2] != "und"
+    same = {"bb": ["abc"], "aa": ["abc"]}
+    rows = frame(spark, ["abc", "abc", None], [4, 4, None])
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in language.identify(rows, sample=same).collect()) == [(0, "und"), (4, "aa"), (4, "aa")]  # ties go by name
+    assert language.identify(rows.where("false")).count() == 0 and language.stage(spark, rows.where("false"), SF).count() == 0
 
 
 def test_language_of_copies_and_own_rows(spark):
