@@ -3,8 +3,9 @@
 A token is a tag or a word with the path of elements that it stands in. Tokens that occur equally often as each
 other in every page of a group form an equivalence class. A class is valid if its tokens come in the same order in
 each occurrence, and if its occurrences nest with those of other valid classes; valid classes are the template, what
-lies between their tokens are slots. Blocks that are template text go, as do blocks in slots of menus, adverts and
-the like; what is left in the article's slots is the text.
+lies between their tokens are slots. The template's tags that a page has once divide it into slots; the one that
+holds the most words of the group's pages, and the element of the template around it, is the article. Template text in
+it goes; what is left in its slots is the text, without elements that say by tag or class that they are something else.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from ._common import materialize
 from .urls import url_parts
 
 GROUP = 32  # pages of a host whose template is deduced together, in expectation
-LEAST_PAGES = 4  # different pages that a text must be in, at the same place, to be template text
+LEAST_PAGES = 2  # different pages that a token must be in, at the same place, to be of the template
+LEAST_TEXT_PAGES = 4  # the same for text
 
 PIECE = re.compile(
     r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|head)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,8 +40,16 @@ OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo menu nav navbar navigation sidebar footer header masthead cookie cookies consent notice notices alert"
     " newsletter subscribe subscription signup popup modal overlay comment comments discussion reply replies share sharing social related breadcrumb breadcrumbs widget disclaimer login search toolbar".split()
 )
+#: Further parts of such a name; one with a part that is in neither, such as share-price, says nothing.
+PLAIN_WORDS = frozenset("area bar block box button buttons container content group inner item items link links list outer panel section site top bottom left right wrap wrapper".split())
 ARTICLE = frozenset(("article", "main"))
-WORDS = re.compile(r"[a-z]+")
+CONTAINERS = frozenset("article main section div td body html".split())
+PARTS = re.compile(r"[a-z]+")
+
+
+def names_other(name: str) -> bool:
+    parts = set(PARTS.findall(name))
+    return bool(parts & OTHER_WORDS) and parts <= OTHER_WORDS | PLAIN_WORDS
 
 
 class Block:
@@ -61,11 +71,25 @@ def is_other(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ARTICLE or tag in ("body", "html"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
-        if OTHER_WORDS & set(WORDS.findall((m[2] or m[3] or m[4] or "").lower())):
+        if any(map(names_other, (m[2] or m[3] or m[4] or "").lower().split())):
             return True
     return False
 
 
+def label(tag: str, attributes: str) -> str:
+    """The tag with its class or id, which tell siblings apart."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name = (m[2] or m[3] or m[4] or "").split()
+        if name and m[1].lower() != "role":
+            return f"{tag}.{name[0].lower().replace('/', '').replace('<', '')}"
+    return tag
+
+
+def plain(token: str) -> str:
+    """The tag of an open tag's token."""
+    return token.rpartition("<")[2].partition(".")[0]
+
+
 def parse(html: str) -> tuple[list[Block], list[tuple[str, Block | None]]]:
     """Blocks in page order, and tags (with paths) and blocks as they come. Unclosed and cut off elements end with the page."""
     blocks: list[Block] = []
@@ -100,12 +124,14 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, Block | None]]]:
             continue
         block = None
         if m[2]:
+            name = tag
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
+                    name = stack[i][1].rpartition("/")[2]
                     del stack[i:]
                     links = 0
                     break
-            events.append((f"{stack[-1][1]}</{tag}", None))
+            events.append((f"{stack[-1][1]}</{name}", None))
             continue
         if tag in ENDS_P and any(x[0] == "p" for x in stack[-2:]):
             while stack.pop()[0] != "p":
@@ -114,10 +140,11 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, Block | None]]]:
         if closes and stack[-1][0] in closes:
             stack.pop()
         _, path, other, article = stack[-1]
-        events.append((f"{path}<{tag}", None))
+        name = label(tag, m[4])
+        events.append((f"{path}<{name}", None))
         if tag not in VOID:
             links = 0
-            stack.append((tag, f"{path}/{tag}", other or is_other(tag, m[4], article), article or tag in ARTICLE))
+            stack.append((tag, f"{path}/{name}", other or is_other(tag, m[4], article), article or tag in ARTICLE))
     if at < len(html):
         tail = html[at:]
         cut = re.search(r"<[a-zA-Z/!?]?[^<>]*\Z", tail)
@@ -140,15 +167,16 @@ def tokens(events: list[tuple[str, Block | None]]) -> list[tuple[str, str]]:
 
 
 def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
-    """Tokens of the valid equivalence classes of different pages that at least half of them, and LEAST_PAGES, have."""
+    """Tokens of the valid equivalence classes of different pages that at least half of them have: LEAST_PAGES, and for text LEAST_TEXT_PAGES."""
     least = max(LEAST_PAGES, (len(pages) + 1) // 2)
     if len(pages) < least:
         return set()
+    least_text = max(LEAST_TEXT_PAGES, least)
     counts = [Counter(p) for p in pages]
     support = Counter(t for c in counts for t in c)
     classes: dict[tuple[int, ...], set[tuple[str, str]]] = defaultdict(set)
     for t, n in support.items():
-        if n >= least:
+        if n >= (least_text if t[1] else least):
             classes[tuple(c.get(t, 0) for c in counts)].add(t)
     # A word on its own is no template.
     classes = {v: m for v, m in classes.items() if len(m) > 1 or not next(iter(m))[1] or " " in next(iter(m))[1]}
@@ -196,26 +224,72 @@ def nests(a: set[tuple[str, str]], b: set[tuple[str, str]], pages: list[list[tup
     return inside(a, b) or inside(b, a)
 
 
+class Slots:
+    """Slots of a page: its blocks with the token of the skeleton before them and the skeleton's elements that are open there."""
+
+    def __init__(self, events: list[tuple[str, Block | None]], skeleton: set[str]):
+        self.found: list[tuple[Block, str, tuple[str, ...]]] = []
+        last, within = "", []
+        for tag, block in events:
+            if block is not None:
+                self.found.append((block, last, tuple(within)))
+            elif tag in skeleton:
+                last = tag
+                path, _, name = tag.rpartition("<")
+                if not name.startswith("/"):
+                    within.append(tag)
+                elif f"{path}<{name[1:]}" in within:
+                    del within[within.index(f"{path}<{name[1:]}") :]
+            elif within and tag.partition("</")[1]:
+                path, _, name = tag.rpartition("</")
+                if f"{path}<{name}" in within:
+                    del within[within.index(f"{path}<{name}") :]
+
+
+def article_of(pages: list[list[tuple[str, Block | None]]], shared: set[tuple[str, str]]) -> tuple[set[str], str | None]:
+    """(skeleton, element): the template's tags that no page has twice, and the innermost container of it around the slot with the most words.
+
+    Words of links and of template text don't count; equal slots go to one in an article, then to the first by name.
+    """
+    counts = [Counter(tag for tag, block in events if block is None) for events in pages]
+    skeleton = {t for t, text in shared if not text and not t.endswith(" ") and all(c.get(t, 0) <= 1 for c in counts)}
+    words: Counter[str] = Counter()
+    around: dict[str, tuple[str, ...]] = {}
+    for events in pages:
+        for block, last, within in Slots(events, skeleton).found:
+            if not block.linked and not fixed(block, shared):
+                words[last] += len(block.text().split())
+            around.setdefault(last, within)
+    for slot, _ in sorted(words.items(), key=lambda x: (-x[1], not any(plain(t) in ARTICLE for t in around[x[0]]), x[0])):
+        for tag in reversed(around[slot]):
+            if plain(tag) in CONTAINERS:
+                return skeleton, tag
+    return skeleton, None
+
+
+def fixed(b: Block, shared: set[tuple[str, str]]) -> bool:
+    """Whether a block is template text, as a whole or word by word."""
+    t = b.text()
+    return bool(t) and ((f"{b.path} ", t) in shared or all((b.path, w) in shared for w in t.split()))
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """Text of each of some pages of one host. Equal pages count once for the template."""
-    parsed = [parse(p) for p in pages]
-    unique = {html: tokens(events) for html, (_, events) in zip(pages, parsed)}
-    shared = template(list(unique.values()))
-
-    def fixed(b: Block, t: str) -> bool:
-        return (f"{b.path} ", t) in shared or all((b.path, w) in shared for w in t.split())
-
-    out = []
-    for blocks, _ in parsed:
-        some = [(b, b.text()) for b in blocks if not b.other]
-        article = [(b, t) for b, t in some if b.article and t]
-        if article:
+    parsed = {p: parse(p) for p in pages}
+    shared = template([tokens(events) for _, events in parsed.values()])
+    skeleton, element = article_of([events for _, events in parsed.values()], shared)
+    texts = {}
+    for html, (blocks, events) in parsed.items():
+        own = [b for b, _, within in Slots(events, skeleton).found if element in within] if element else []
+        some = [b for b in own if b.text() and not b.other]
+        if not any(not fixed(b, shared) for b in some):  # no template, or a page without its slots: by tags alone
+            free = [b for b in blocks if b.text() and not b.other]
+            some = [b for b in free if b.article] or [b for b in free if not (b.linked and re.search(r"/li\b", b.path))]
+        if any(not fixed(b, shared) for b in some):
             # A single word is too little to be told from the article's own; an article that is template as a whole is a repeated one.
-            some = [(b, t) for b, t in article if " " not in t or not fixed(b, t)] if any(not fixed(b, t) for b, t in article) else article
-        else:
-            some = [(b, t) for b, t in some if not b.linked and not fixed(b, t)]
-        out.append(" ".join(t for _, t in some if t))
-    return out
+            some = [b for b in some if not fixed(b, shared) or b.article and " " not in b.text()]
+        texts[html] = " ".join(b.text() for b in some)
+    return [texts[p] for p in pages]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
@@ -224,8 +298,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text: blocks of the article in page order, joined by a space, character references decoded, white space within
     a block made one space; empty if none. Null and empty html give an empty text; pages without a host share one.
     A host's pages are dealt by hash of id and html into groups of about group pages, each of which deduces its
-    template, so no host is gathered in one task. Equal rows fall into one group and get the same text; an empty
-    table gives no rows; other columns are not read.
+    template, so no host is gathered in one task. A page that differs from no other of its host has no template, and
+    its article is told by tags alone, as is that of a page without the template's slots. Equal rows fall into one group
+    and get the same text; null ids stay null; an empty table gives no rows; other columns are not read.
     """
     host, _ = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"), host.alias("_host"))
@@ -234,7 +309,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = main_texts(pdf["_html"].tolist())
-        return pd.DataFrame({"_id": pdf["_id"], "_url": pdf["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        return pd.DataFrame({"_id": pdf["_id"].astype("Int64"), "_url": pdf["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     out = dealt.groupBy("_host", "_group").applyInPandas(run, "_id long, _url string, text string, n_chars long")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

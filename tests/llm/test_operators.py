@@ -281,6 +281,53 @@ def test_html_template_in_article(spark):
     assert all(got[20 + i] == "One story at eight addresses" for i in range(8))
 
 
+def test_html_slots_without_article_tags():
+    """Generated sites: the article is told by the template's slots, not by its tags."""
+    rng = random.Random(7)
+    line = lambda n: " ".join(near_words(n, rng.random()))
+    pages, want = [], []
+    for i in range(12):
+        body = [line(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 6))]
+        menu = "".join(f"<div><a href=x>{line(2)}</a></div>" for _ in range(rng.randrange(3, 7)))
+        pages.append(f"<html><body><div><div>{menu}</div></div><table><tr><td class=story><h2>{line(4)} {i}</h2>" + "".join(f"<p>{x}</p>" for x in body) + f"<p>Written by our own staff</p></td><td class=more><p>Latest {line(3)}</p></td></tr></table><div><p>Imprint and terms {line(2)}</p></div></body></html>")
+        want.append(body)
+    got = html.main_texts(pages)
+    for text, body, page in zip(got, want, pages):
+        title = page.split("<h2>")[1].split("</h2>")[0]
+        assert text == " ".join([title, *body])
+    real = html.template
+    try:
+        html.template = lambda pages: set()
+        assert sum(a != b for a, b in zip(html.main_texts(pages), got)) == 12
+    finally:
+        html.template = real
+
+
+def test_html_classes_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(20):
+        pages = [[("a", ""), *rng.choices([("b", ""), ("c", ""), ("/b", ""), ("p", "x y"), ("q", "z w")], k=rng.randrange(4)), ("/a", "")] for _ in range(6)]
+        shared = html.template(pages)
+        vectors = {t: tuple(p.count(t) for p in pages) for p in pages for t in p}
+        for t in shared:
+            assert sum(map(bool, vectors[t])) >= 3  # support
+            mates = {u for u in shared if vectors[u] == vectors[t]}
+            turns = [[u for u in p if u in mates] for p in pages]
+            size = len(mates)
+            assert len({tuple(x[i : i + size]) for x in turns for i in range(0, len(x), size)}) == 1  # one order
+        assert {("a", ""), ("/a", "")} <= shared
+
+
+def test_html_edges(spark):
+    page = "<html><body><article><h1>News</h1><div class='share-price'>Beta rose.</div><div class='share-buttons'>Tweet</div><p>{}</p></article></body></html>"
+    long = " ".join(near_words(60_000, 1))
+    rows = [(None, "http://x/1", page.format("Alpha fell."), 1), (1, "http://x/2", page.format(long), 1), (1, "http://x/2", page.format(long), 1), (2, "http://only/", page.format("One."), 1), (3, "http://e/", "<p></p>", 1), (4, None, "<ul><li><a>Home</a></ul>plain", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(((r["page_id"] or 0, r["text"]) for r in html.extract(df).collect()), key=lambda x: (x[0], len(x[1])))
+    assert got == [(0, "News Beta rose. Alpha fell."), (1, f"News Beta rose. {long}"), (1, f"News Beta rose. {long}"), (2, "News Beta rose. One."), (3, ""), (4, "plain")]
+    assert html.extract(df.where("false")).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 1, 5, 20, 80, 300]) for _ in range(600)]
