@@ -260,6 +260,44 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.filter_urls(pages.where("page_id = 7"), labels.where("false")).collect()} == {"allow"}
 
 
+def test_reputation(spark):
+    """Against the same sums by hand; hosts either side of the threshold; levels of hosts."""
+    n = {"a.b.co.uk": (40, 8), "c.b.co.uk": (40, 10), "d.e.co.uk": (40, 33), "u:p@x.com:80": (60, 12), "x.com": (60, 14), "y.com": (60, 13), "10.0.0.1:9": (20, 3), "new.b.co.uk": (0, 0), "z.org": (0, 0)}
+    pages, labels = [], []
+    for h, (count, bad) in n.items():
+        for j in range(max(count, 2)):
+            pages.append((len(pages), f"http://{h}/p"))
+            if j < count:
+                labels.append((len(pages) - 1, j < bad))
+    df = spark.createDataFrame(pages + [(None, "http://y.com/"), (0, "http://y.com/")], "page_id long, url string")
+    out = spark.createDataFrame(labels + [(0, True), (0, False)], "id long, bad boolean")
+    rows = df.select("page_id", urls.url_parts(df.url)[0].alias("host"))
+    got = {r["host"]: r for r in urls.reputation(rows, out).collect()}
+    assert (got["a.b.co.uk"]["domain"], got["a.b.co.uk"]["suffix"]) == ("b.co.uk", "co.uk") and got["u:p@x.com:80"]["domain"] == "x.com" and got["10.0.0.1:9"]["suffix"] == "10.0.0.1"
+    n["y.com"] = (61, 14)  # page 0 has a second row there
+    level = {h: (got[h]["suffix"], got[h]["domain"], h) for h in n}
+    total, bad = sum(x for x, _ in n.values()), sum(b for _, b in n.values())
+    mean = {(): (bad + 0.5) / (total + 1)}
+    for i in range(3):
+        units = {}
+        for h, (x, b) in n.items():
+            key = level[h][: i + 1]
+            units[key] = tuple(map(sum, zip(units.get(key, (0, 0)), (x, b))))
+        m = {k: mean[k[:i]] for k in units}
+        top = sum(x * (m[k] * (1 - m[k]) - (b / x - m[k]) ** 2) for k, (x, b) in units.items() if x)
+        low = sum(x * (b / x - m[k]) ** 2 - m[k] * (1 - m[k]) for k, (x, b) in units.items() if x)
+        strength = 1000.0 if low <= 0 else min(1000.0, max(1.0, top / low))
+        ab = {k: (strength * m[k] + b, strength * (1 - m[k]) + x - b) for k, (x, b) in units.items()}
+        mean |= {k: a / (a + b) for k, (a, b) in ab.items()}
+    for h in n:
+        a, b = ab[level[h]]
+        assert abs(got[h]["mean"] - a / (a + b)) < 1e-12
+        assert abs(got[h]["bound"] - (a / (a + b) - urls.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)) < 1e-12
+    verdicts = {r["host"]: r["verdict"] for r in urls.filter_urls(df, out).collect()}
+    assert {h for h, v in verdicts.items() if v == "block"} == {h for h in n if got[h]["bound"] > got[h]["overall"]} == {"d.e.co.uk"}
+    assert urls.filter_urls(df, out).count() == len(pages) + 2
+
+
 def test_html(spark):
     page = "<html><head><title>x</title><script>if(a<b)'</p>'</script></head><body><header>Site</header><div class='cookie-notice'>Cookies</div><nav><a href=/>Home</a></nav><article><h1>T{i}</h1><p>Fish &amp; <b>chi</b>ps {i}<p>two<br>lines<aside>side</aside><section class=comments>bad</section></article><footer>&copy; f</footer></body></html>"
     bare = "<html><body><div id=top>Same words on every page here</div><div><p>Own text {i} of the page</p></div></body></html>"
