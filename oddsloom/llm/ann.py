@@ -21,7 +21,8 @@ from ._common import materialize
 K = 20
 CODE_BITS = 256
 SUB = 8  # bits of a substring
-RERANK = 1000  # codes of a block that are ranked by floats; all of a smaller block
+RERANK = 0.08  # of a block's codes, at least, are ranked by floats
+RERANK_LEAST = 200  # of them in a small block
 SAMPLE = 20_000  # vectors that the rotations are learned from, in expectation
 ROUNDS = 20
 BLOCK = 65_536  # vectors of a block, in expectation
@@ -76,8 +77,6 @@ class Index:
     def probe(self, code: np.ndarray, want: int) -> np.ndarray:
         """Rows within the least Hamming radius that has want of them, found by growing it a substring at a time."""
         n = len(self.words)
-        if want >= n:
-            return np.arange(n)
         word = np.pad(code, (0, -len(code) % 8)).view(np.uint64)
         distance = np.full(n, -1, dtype=np.int16)
         within = np.zeros(self.m * SUB + 2, dtype=np.int64)
@@ -106,30 +105,32 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, rerank: float = RERANK) -> DataFrame:
     """The k rows of vectors with the largest inner product for each query: (query_id, rank, vec_id, score), approximate.
 
     score is the inner product in double precision; ranks from 1, ties to the smaller id. A row isn't a candidate for
     a query of its own id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    null ids; rows that repeat an id count once, the greatest vector of them; vectors of another length than most
-    raise an error. Fewer candidates than k: all of them; none, or an empty table: no rows. Other columns are not
-    read. Vectors are dealt into blocks of about BLOCK by hash of the id, and every block of queries meets every
-    block of vectors, so a task holds one block of each; within, the index retrieves rerank codes for the floats.
+    null ids, nor vectors of another length than most of vectors have (the shorter, if two are as frequent). Each row of
+    vectors is a candidate of its own, also if it repeats an id; of queries that repeat an id the greatest vector
+    counts. Fewer candidates than k: all of them; none, or an empty table: no rows. Other columns are not read.
+    Vectors are dealt into blocks of about BLOCK by hash, and every block of queries meets every block of vectors, so
+    a task holds one block of each; within, the index retrieves a share rerank of the codes for the floats.
     """
     spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-        return rows.where(F.col("id").isNotNull() & usable("vec")).groupBy("id").agg(F.max("vec").alias("vec"))
+        return rows.where(F.col("id").isNotNull() & usable("vec"))
 
-    base, asked = materialize(clean(vectors), "vectors"), materialize(clean(queries), "queries")
+    all_ = materialize(clean(vectors), "vectors")
+    length = all_.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if not length:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fits = F.size("vec") == length["size"]
+    base, asked = all_.where(fits), materialize(clean(queries).where(fits).groupBy("id").agg(F.max("vec").alias("vec")), "queries")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    n, most, least_d, most_d = base.agg(F.count("*"), F.max(norm), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    n, most = base.agg(F.count("*"), F.max(norm)).first()
     n_asked = asked.count()
-    if not n or not n_asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if least_d != most_d:
-        raise ValueError(f"vectors of {least_d} to {most_d} components")
     share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     sample = base.where(share * n <= SAMPLE).orderBy("id").toPandas()  # about SAMPLE rows
     if sample.empty:
@@ -146,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         return run
 
     blocks, query_blocks = -(-n // BLOCK), -(-n_asked // QUERY_BLOCK)
-    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    deal = lambda parts: F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     schema = "id long, vec array<double>, code binary"
     right = base.mapInPandas(encode(False), schema).withColumn("block", deal(blocks)).withColumn("part", each(query_blocks))
@@ -159,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             ids, x = v["id"].to_numpy(), np.stack(v["vec"])
             index = Index(np.frombuffer(b"".join(v["code"]), dtype=np.uint8).reshape(len(v), -1))
             for qid, y, code in zip(q["id"], q["vec"], q["code"]):
-                rows = index.probe(np.frombuffer(code, dtype=np.uint8), rerank + 1)
+                rows = index.probe(np.frombuffer(code, dtype=np.uint8), min(len(v), max(RERANK_LEAST, int(np.ceil(rerank * len(v))))))
                 rows = rows[ids[rows] != qid]
                 scores = (x[rows] * y).sum(axis=1)
                 for at in best(ids[rows], scores, k):

@@ -205,9 +205,9 @@ def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, size=(3000, 1))
     x[7] = 0
-    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(5000, None, ""), (5001, [float("nan")] * 24, ""), (5002, [1.0] * 23 + [None], ""), (3, x[3].tolist(), "again"), (None, x[4].tolist(), "")]
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(5000, None, ""), (5001, [float("nan")] * 24, ""), (5002, [1.0] * 23 + [None], ""), (None, x[4].tolist(), ""), (5003, [1.0, 2.0], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = ann.nearest(df, df.where("vec_id % 100 = 0"), rerank=600).toPandas()
+    got = ann.nearest(df, df.where("vec_id % 100 = 0")).toPandas()
     hit = 0
     for q, g in got.groupby("query_id"):
         s = x @ x[q]
@@ -219,7 +219,26 @@ def test_nearest(spark):
     assert got["query_id"].nunique() == 30 and hit / 600 >= 0.9
     few = ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).toPandas()
     assert len(few) == 4
-    assert ann.nearest(df.where("false"), df.where("false")).count() == 0
+    assert ann.nearest(df.where("false"), df.where("false")).count() == 0 and ann.nearest(df, df.where("false")).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [1.0, 0.0]), (1, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(twice, twice.where("vec_id = 1")).orderBy("rank").collect()] == [(1, 2, 9.0), (2, 3, 9.0), (3, 2, 4.5)]
+
+
+def test_recall_of_a_full_block():
+    """Of the test vectors' kind, at the share that is ranked by floats: 0.9 of the true neighbours are among the retrieved codes."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), dtype=float)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([x, *[rng.permuted(x, axis=0) for _ in range(15)]])  # 32,000: the same components, mixed
+    codes = ann.Codes(x[:20_000], float(np.sqrt((x * x).sum(axis=1)).max()))
+    index = ann.Index(codes.encode(x))
+    hits = 0
+    for q in range(0, 2000, 50):
+        rows = index.probe(codes.encode(x[q : q + 1], True)[0], int(ann.RERANK * len(x)))
+        want = np.argsort(-(x @ x[q]))[:21]
+        hits += len(set(want[want != q][:20]) & set(rows))
+    assert hits / 800 >= 0.9, hits / 800
 
 
 def test_index_finds_all_within_the_radius():
@@ -232,7 +251,7 @@ def test_index_finds_all_within_the_radius():
 
 
 def test_licenses(spark):
-    full = dict((a, b) for a, b in reversed(licenses.TEMPLATES))
+    full = dict((a, b) for a, b in reversed(licenses.TEMPLATES))  # the first of each label
     broken = full["bsd"].split()
     broken = " ".join(broken[:6] + ["new", "words"] + broken[6:])
     texts = ODD + [full["mit"], broken, "The MIT license, Apache-License; GNU General\nPublic LICENSE", "general public", full["mpl"][:20], "mit license " * 4, "mit licenseK", "MIT licenſe"]
@@ -247,6 +266,20 @@ def test_licenses(spark):
     assert got[n + 5]["n_base"] == 4 and got[n + 6]["n_base"] == 0 and got[n + 7]["n_base"] == 0
 
 
+def test_license_spans(spark):
+    """Verified spans with some words added and left out, and templates whose words are scattered."""
+    bsd = licenses.TEMPLATES[9][1].split()
+    edited = bsd[:40] + ["an", "added", "word"] + bsd[40:90] + bsd[92:]
+    scattered = " ".join(" ".join(bsd[i : i + 4]) + " " + " ".join(near_words(12, i)) for i in range(0, len(bsd) - 4, 4))
+    texts = [" ".join(["intro"] * 5 + edited + ["end"]), scattered, None, " ".join(bsd), " ".join(bsd)]
+    got = sorted(licenses.scan(frame(spark, texts, [0, 1, 2, 3, 3]).withColumnsRenamed({"words": "labels", "n_chars": "rid"})).collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in got] == [0, 1, 2, 3, 3]
+    assert f"bsd:5-{len(edited) + 4}" in got[0]["spans"].split(",") and got[0]["labels"] == "bsd" and 0.9 < got[0]["score"] <= 1
+    assert got[1]["labels"] == "" and got[1]["spans"] == "" and got[2]["spans"] == "" and got[3]["spans"] == got[4]["spans"] and f"bsd:0-{len(bsd) - 1}" in got[3]["spans"]
+    nulls = frame(spark, ["mit license", "mit license", None], [None, None, None])
+    assert sorted(r["n_base"] for r in licenses.scan(nulls).collect()) == [0, 1, 1] and licenses.scan(nulls.where("false")).count() == 0
+
+
 def test_urls(spark):
     u = [None, "no scheme", "http://A.Example.NET/en/x?y", "http://example.net", "https://example.com/de/1#t", "http://x.org/fr/", "http://good.example.com/en/", "http://bad.example.com/en/", "://h/p://q"]
     pages = spark.createDataFrame([(i, x, "c") for i, x in enumerate(u)] + [(100 + i, "http://bad.example.com/a", "c") for i in range(40)] + [(200 + i, "http://good.example.com/a", "c") for i in range(400)], "page_id long, url string, host string")
