@@ -26,6 +26,7 @@ BUCKET = 32  # indexed members of a bucket that are compared with each that meet
 SEED = 42
 SHINGLE = 5  # words of a shingle in the pipeline's stage
 LEAST = (4, 5)  # least Jaccard similarity there
+CELL = 1.02  # ratio of the sizes that bound a cell of sizes
 COMMON = 32  # different texts that a shingle must be met in to be compared last
 
 
@@ -308,7 +309,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id of the class. Equal sets are one class, so all wordless and null texts are one. A row
     with a null id is in no class. Every such pair is found or joined by a chain: each set is met by its prefix, and what
     meets is compared by whole sets. Of a bucket with over BUCKET sets, all are first compared with four of them, and
-    then pair by pair only those that no chain joins yet, so that a group of near copies costs rows in proportion.
+    then only those that no chain joins yet, by cells of the sizes that they can be similar to.
     """
     num, den = LEAST
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("_text"))
@@ -340,23 +341,43 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = materialize(nodes.join(again, "node", "left_semi").select("id", "h"), "texts_again")
         changed = sets(given.join(texts, ["id", "h"], "left_semi"), context.broadcast(np.sort(hot))).dropDuplicates(["node"])
         one = one.join(again, "node", "left_anti").unionByName(materialize(changed.select("node", "n", "shingles"), "prefixes_again"))
-    heads = one.select("node", "n", F.size("shingles").alias("p"), F.explode("shingles").alias("s"))
+    heads = one.select("node", "n", F.size("shingles").alias("p"), F.posexplode("shingles").alias("pos", "s"))
     met = materialize(heads.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "met")
     heads = materialize(heads.join(met, "s"), "heads")
 
-    def pairs_of(part: DataFrame) -> DataFrame:
+    known = materialize(heads.groupBy("node").agg(F.count("*").alias("t")), "met_by_node")  # t: shingles of the prefix that another prefix has
+    cell = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(CELL)) + 1e-9).cast("int")
+    enough = lambda shared: (num + den) * shared >= num * (F.col("n_u") + F.col("n_v"))
+    alike = (den * F.col("n_v") >= num * F.col("n_u")) & ((F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") < F.col("u"))))
+
+    def small_pairs(part: DataFrame) -> DataFrame:
         """Pairs (u, v) of a bucket in part whose sets can be similar by their sizes and by what their prefixes share.
 
         A shared shingle is in both prefixes, or beyond the one that ends first.
         """
-        known = materialize(heads.groupBy("node").agg(F.count("*").alias("t")).join(part.groupBy("node").agg(F.count("*").alias("k")), "node").select("node", (F.col("t") - F.col("k")).alias("o")), "elsewhere")
-        part = materialize(part.join(known, "node"), "sides")
-        sides = [part.select("s", F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "p", "o", "c")]) for w in "uv"]
-        alike = den * F.least("n_u", "n_v") >= num * F.greatest("n_u", "n_v")
-        both = sides[0].join(sides[1], "s").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & alike)
-        most = F.col("shared") + F.least("o_u", "o_v") + F.greatest(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v"))
-        both = both.groupBy("u", "v", "n_u", "n_v", "p_u", "p_v", "o_u", "o_v").agg(F.count("*").alias("shared"))
-        return both.where((num + den) * most >= num * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+        here = materialize(part.groupBy("node").agg(F.count("*").alias("k")).join(known, "node").select("node", (F.col("t") - F.col("k")).alias("o")), "elsewhere")
+        part = materialize(part.join(here, "node"), "sides")
+        sides = [part.select("s", F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "p", "o")]) for w in "uv"]
+        both = sides[0].join(sides[1], "s").where(alike).groupBy("u", "v", "n_u", "n_v", "p_u", "p_v", "o_u", "o_v").agg(F.count("*").alias("shared"))
+        return both.where(enough(F.col("shared") + F.least("o_u", "o_v") + F.greatest(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")))).select("u", "v")
+
+    def large_pairs(part: DataFrame) -> DataFrame:
+        """Pairs (u, v) of a bucket in part of which its shingle may be the first that both sets have, v's the smaller.
+
+        Then they share at most what comes from it on in either, which leaves each set a range of sizes to be similar to.
+        Common shingles come last, so sets of which much is their own meet few others: the join is by bucket and cells of
+        both sizes.
+        """
+        rest = F.col("n") - F.col("pos")
+        larger = part.withColumns({"low": F.ceil(F.col("n") * num / den), "high": F.least(F.col("n"), F.floor(((num + den) * rest - num * F.col("n")) / num))})
+        smaller = part.withColumns({"low": F.col("n"), "high": F.least(F.floor(F.col("n") * den / num), F.floor(((num + den) * rest - num * F.col("n")) / num))})
+        sides = []
+        for w, side in (("u", larger), ("v", smaller)):
+            side = side.where("low <= high").withColumns({f"own_{w}": cell(F.col("n")), f"other_{w}": F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))})
+            sides.append(side.select(F.col("s").alias(f"s_{w}"), F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "pos", "c")], f"own_{w}", f"other_{w}"))
+        on = (F.col("s_u") == F.col("s_v")) & (F.col("own_u") == F.col("other_v")) & (F.col("other_u") == F.col("own_v"))
+        left = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
+        return sides[0].join(sides[1], on).where((F.col("c_u") != F.col("c_v")) & alike & enough(left)).select("u", "v").distinct()
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of (u, v), those with similar sets."""
@@ -370,13 +391,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     small, large = heads.where(F.col("size") <= BUCKET), heads.where(F.col("size") > BUCKET)
     order = F.struct("n", "node")
-    pivots = large.groupBy("s").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("pivots"))
+    least_own = F.struct(F.col("t") - F.col("p"), "node")  # the set with the fewest shingles that it has alone
+    pivots = large.join(known, "node").groupBy("s").agg(F.array(F.min("node"), F.max_by("node", least_own), F.min_by("node", order), F.max_by("node", order)).alias("pivots"))
     stars = large.join(materialize(pivots, "pivots"), "s").select(F.col("node").alias("v"), F.explode("pivots").alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = close(pairs_of(small.withColumn("c", F.col("node"))).unionByName(stars))
+    found = close(small_pairs(small).unionByName(stars))
     label = materialize(connected_components(found), "labels")
     left = large.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     split = left.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
-    rest = pairs_of(materialize(left.join(materialize(split, "split"), "s", "left_semi"), "not_joined"))
+    rest = large_pairs(materialize(left.join(materialize(split, "split"), "s", "left_semi"), "not_joined"))
     label = materialize(connected_components(found.unionByName(close(rest))), "labels")
     classes = nodes.join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     least = materialize(classes.groupBy("c").agg(F.min("id").alias("component_id")), "least_ids")
