@@ -80,7 +80,7 @@ def ttr_hazard(hours: Column) -> Column:
 def fee_rate(category: Column) -> Column:
     """Rate of a category; unknown ones count as crypto."""
     rates = F.create_map(*[F.lit(x) for kv in FEE_RATES.items() for x in kv])
-    return F.coalesce(F.get(F.array(F.try_element_at(rates, F.lower(category))), F.lit(0)), F.lit(FEE_RATES["crypto"]))
+    return F.coalesce(F.get(F.array(F.try_element_at(rates, F.lower(F.trim(category)))), F.lit(0)), F.lit(FEE_RATES["crypto"]))
 
 
 def parabolic_fee(shares: Column, price: Column, rate: Column) -> Column:
@@ -97,7 +97,8 @@ def maker_fee(shares: Column, price: Column, rate: Column, multiplier: float = 0
 
 
 def relative_fee_rate(price: Column, rate: Column) -> Column:
-    return rate * (1 - price)
+    """Fee as a share of the notional."""
+    return F.greatest(rate, F.lit(0.0)) * (1 - clip(price, 1e-12, 1.0))
 
 
 def fee_regime(ts: Column) -> Column:
@@ -119,7 +120,8 @@ def adverse_fill(signal: Column, printed: Column, side: Column, slip_bps: float)
 
 
 def kelly(win_rate: Column, odds: float = 1.0, fraction: float = 0.25, most: float = 0.05) -> Column:
-    full = (odds * win_rate - (1 - win_rate)) / odds
+    p, b = clip(win_rate, 0.0, 1.0), max(odds, 1e-9)
+    full = (b * p - (1 - p)) / b
     return F.when(full <= 0, 0.0).otherwise(F.least(full * fraction, F.lit(most)))
 
 
@@ -133,28 +135,35 @@ def tp_sl_levels(entry: Column, atr: Column, k: float = 2.0, tp: float = 0.20, s
     return target, F.greatest(F.least(entry - k * atr, entry * (1 - sl)), F.lit(0.01))
 
 
-def queue_fill_probability(ahead: Column, through: Column) -> Column:
-    """Share of the queue that trades reached beyond it; 0 on touch."""
-    return F.when(through <= ahead, 0.0).when(ahead <= 0, 1.0).otherwise(clip((through - ahead) / ahead, 0.0, 1.0))
+def queue_fill_probability(ahead: Column, through: Column, touch_fills: bool = False) -> Column:
+    """Share of the queue that trades reached beyond it; 0 on touch, unless touch_fills."""
+    none = (through <= 0) | (ahead < 0)
+    none = none if touch_fills else none | (through <= ahead)
+    return F.when(none, 0.0).otherwise(clip((through - ahead) / F.greatest(ahead, F.lit(1e-9)), 0.0, 1.0))
 
 
 def maker_fill_bounds(ahead: Column, through: Column, depth: Column) -> tuple[Column, Column, Column]:
-    base = F.when(depth <= 0, 0.0).otherwise(clip((through - ahead) / depth, 0.0, 1.0))
-    return 0.5 * base, base, F.least(F.lit(1.0), 1.25 * base + 0.1)
+    """Lower, base and upper probability that a resting order fills; all 0 if trades don't go beyond the queue."""
+    queue, traded = F.greatest(ahead, F.lit(0.0)), F.greatest(through, F.lit(0.0))
+    base = clip((traded - queue) / F.greatest(depth, F.lit(1e-9)), 0.0, 1.0)
+    beyond = traded > queue
+    return tuple(F.when(beyond, x).otherwise(0.0) for x in (0.5 * base, base, F.least(F.lit(1.0), 1.25 * base + 0.1)))
 
 
-def tp_sl_tick(entry: Column, mark: Column, tp: float, sl: float, prefer: str = "stop_first") -> Column:
-    gain, stop = mark >= entry * (1 + tp), mark <= entry * (1 - sl)
+def tp_sl_tick(entry: Column, mark: Column, tp: float | None, sl: float | None, prefer: str = "stop_first") -> Column:
+    ret = (mark - entry) / F.nullif(entry, F.lit(0.0))
+    gain = ret >= tp if tp is not None else F.lit(False)
+    stop = ret <= -sl if sl is not None else F.lit(False)
     first, second = ((stop, "stop_loss"), (gain, "take_profit")) if prefer == "stop_first" else ((gain, "take_profit"), (stop, "stop_loss"))
-    return F.when(first[0], first[1]).when(second[0], second[1]).otherwise("none")
+    return F.when(entry <= 0, "none").when(first[0], first[1]).when(second[0], second[1]).otherwise("none")
 
 
 def round_to_tick(price: Column, tick: float = 0.01) -> Column:
-    return F.bround(price / tick) * tick
+    return F.bround(price / tick) * tick if tick > 0 else price
 
 
 def round_size(size: Column, least: float = 1.0) -> Column:
-    return F.greatest(F.bround(size / least) * least, F.lit(0.0))
+    return F.greatest(F.bround(size / least) * least, F.lit(0.0)) if least > 0 else size
 
 
 # Order books
@@ -191,32 +200,94 @@ def distance_weighted_imbalance(bids: Column, asks: Column, mid: Column, decay:
 
 
 def book_slope(levels: Column, side: str, depth: int = 5) -> Column:
-    """Least-squares slope of size on price over the first levels, negated for bids; 0 if flat or under two levels."""
+    """Least-squares slope of size on price over the first levels, negated for bids; null if under two levels or one price."""
     x = F.slice(levels, 1, depth)
     n = F.size(x)
-    sx, sy = total(F.transform(x, lambda v: v["price"])), total(F.transform(x, lambda v: v["size"]))
-    sxy, sxx = total(F.transform(x, lambda v: v["price"] * v["size"])), total(F.transform(x, lambda v: v["price"] * v["price"]))
-    low = n * sxx - sx * sx
-    slope = F.when((n < 2) | (F.abs(low) < 1e-12), 0.0).otherwise((n * sxy - sx * sy) / F.nullif(low, F.lit(0.0)))
+    mean = lambda c: total(F.transform(x, lambda v: v[c])) / n
+    top = total(F.transform(x, lambda v: (v["price"] - mean("price")) * (v["size"] - mean("size"))))
+    low = total(F.transform(x, lambda v: (v["price"] - mean("price")) * (v["price"] - mean("price"))))
+    slope = F.when((n >= 2) & (low > 0), top / F.nullif(low, F.lit(0.0)))
     return -slope if side == "bid" else slope
 
 
 def depth_concentration(sizes: Column) -> Column:
-    return F.when(total(sizes) > 0, F.get(sizes, F.lit(0)) / total(sizes)).otherwise(0.0)
+    """Share of the first level; null without depth."""
+    return F.when(total(sizes) > 0, F.get(sizes, F.lit(0)) / total(sizes))
 
 
 def depth_entropy(sizes: Column) -> Column:
-    all_ = total(sizes)
+    """Entropy of the levels' shares in nats; null without depth."""
+    all_ = total(F.filter(sizes, lambda x: x > 0))
     share = lambda x: F.when(x > 0, -(x / all_) * F.log(x / all_)).otherwise(0.0)
-    return F.when(all_ > 0, total(F.transform(sizes, share))).otherwise(0.0)
+    return F.when(all_ > 0, total(F.transform(sizes, share)))
 
 
 def liquidity_wall(sizes: Column) -> Column:
     return F.when(total(sizes) > 0, F.array_max(sizes) * F.size(sizes) / total(sizes)).otherwise(0.0)
 
 
+def deep_divergence(top: Column, deep: Column) -> Column:
+    """Imbalance at the top of the book less that of its depth."""
+    return top - deep
+
+
 def p_variance(p: Column) -> Column:
-    return p * (1 - p)
+    """p (1 - p) of a probability kept half a tick from 0 and 1."""
+    x = clamp_prob(p)
+    return x * (1 - x)
+
+
+def scaled_by_p(x: Column, p: Column) -> Column:
+    """Depth, volatility or imbalance by the variance of the outcome."""
+    return x * p_variance(p)
+
+
+def flow_delta(bid: Column, ask: Column, bid_before: Column, ask_before: Column) -> Column:
+    """Order flow at the top of the book: change of the bid's size less that of the ask's."""
+    return (bid - bid_before) - (ask - ask_before)
+
+
+def multi_level_flow(bids: Column, asks: Column, bids_before: Column | None = None, asks_before: Column | None = None) -> Column:
+    """Order flow over the levels that all books have (arrays of sizes); without a book before, their imbalance."""
+    if bids_before is None or asks_before is None:
+        return multi_level_imbalance(bids, asks)
+    n = F.least(F.size(bids), F.size(asks))
+    m = F.least(n, F.size(bids_before), F.size(asks_before))
+    change = lambda now, before: total(F.slice(now, 1, m)) - total(F.slice(before, 1, m))
+    known = bids_before.isNotNull() & asks_before.isNotNull()
+    return F.when(n <= 0, 0.0).when(known & (m > 0), change(bids, bids_before) - change(asks, asks_before)).when(known, 0.0).otherwise(multi_level_imbalance(bids, asks))
+
+
+def autocorrelation(series: Column, lag: int = 1) -> Column:
+    """Of an array; null if it is no longer than lag, or flat."""
+    n = F.size(series)
+    mean = total(series) / n
+    dev = F.transform(series, lambda x: x - mean)
+    both = F.zip_with(F.slice(dev, lag + 1, F.greatest(n - lag, F.lit(0))), F.slice(dev, 1, F.greatest(n - lag, F.lit(0))), lambda a, b: a * b)
+    low = total(F.transform(dev, lambda x: x * x))
+    return F.when((n > lag) & (low > 0), total(both) / F.nullif(low, F.lit(0.0)))
+
+
+def steps_until(series: Column, start: int, done) -> Column:
+    """Steps from place start (from 0) of an array to the first later value of which done(value) is true; null if none."""
+    after = F.slice(series, start + 2, F.greatest(F.size(series) - start - 1, F.lit(0)))
+    at = F.array_position(F.transform(after, lambda x: F.coalesce(done(x), F.lit(False))), True)
+    return F.when((F.size(series) > start) & (at > 0), at.cast("double"))
+
+
+def spread_recovery(spreads: Column, shock: int, baseline: Column | None = None) -> Column:
+    """Steps until a spread is back within 5 % of the baseline, by default that before the shock."""
+    if shock < 0:
+        return F.lit(None).cast("double")
+    base = F.get(spreads, F.lit(max(0, shock - 1))) if baseline is None else baseline
+    return steps_until(spreads, shock, lambda x: x <= base * 1.05)
+
+
+def imbalance_reversion(series: Column, shock: int) -> Column:
+    """Steps until an imbalance is at most half of the shock."""
+    if shock < 0:
+        return F.lit(None).cast("double")
+    return steps_until(series, shock, lambda x: F.abs(x) <= 0.5 * F.abs(F.get(series, F.lit(shock))))
 
 
 def ratio_or(top: Column, low: Column, otherwise: float = 0.0) -> Column:
@@ -224,19 +295,19 @@ def ratio_or(top: Column, low: Column, otherwise: float = 0.0) -> Column:
 
 
 def signed_trade_imbalance(buy: Column, sell: Column) -> Column:
-    return ratio_or(buy - sell, buy + sell)
+    return F.when(buy + sell > 0, (buy - sell) / (buy + sell)).otherwise(0.0)
 
 
 def vpin(buy: Column, sell: Column, volume: Column) -> Column:
-    return F.when(volume > 0, F.abs(buy - sell) / volume).otherwise(0.0)
+    return F.when(volume > 0, F.abs(buy - sell) / volume)
 
 
 def kyle_lambda(change: Column, volume: Column) -> Column:
-    return ratio_or(change, volume)
+    return F.when(volume != 0, change / volume)
 
 
 def amihud(change: Column, dollars: Column) -> Column:
-    return F.when(dollars > 0, F.abs(change) / dollars).otherwise(0.0)
+    return F.when(dollars > 0, F.abs(change) / dollars)
 
 
 def arrival_intensity(count: Column, seconds: Column) -> Column:
@@ -248,11 +319,11 @@ def cancel_trade_ratio(cancels: Column, trades: Column) -> Column:
 
 
 def refill_rate(before: Column, after: Column, seconds: Column) -> Column:
-    return F.when((before > 0) & (seconds > 0), F.greatest(F.lit(0.0), (after - before) / before) / seconds).otherwise(0.0)
+    return F.when((before > 0) & (seconds > 0), F.greatest(F.lit(0.0), (after - before) / before) / seconds)
 
 
 def depletion_velocity(before: Column, after: Column, seconds: Column) -> Column:
-    return F.when(seconds > 0, (before - after) / seconds).otherwise(0.0)
+    return F.when(seconds > 0, (before - after) / seconds)
 
 
 def complete_set_residual(yes: Column, no: Column) -> Column:
@@ -272,12 +343,18 @@ def resolution_proximity(hours: Column, most: float = 720.0) -> Column:
 
 
 def spread_upside(spread: Column, p: Column, side: str = "buy") -> Column:
-    room = 1 - p if side == "buy" else p
-    return F.when(room > 0, spread / room)
+    x = clamp_prob(p)
+    return spread / (1 - x if side == "buy" else x)
 
 
 def cancel_or_trade(before: Column, after: Column, traded: Column) -> Column:
-    return F.when((after < before) & (traded > 0), "trade").when(after < before, "cancel").when(after > before, "add").otherwise("unchanged")
+    """A fall of a level by at least half of what was traded is a trade."""
+    change = after - before
+    return F.when((traded > 0) & (change <= -0.5 * traded), "trade").when(change < 0, "cancel").when(change > 0, "add").otherwise("unchanged")
+
+
+def logit_stop_distance(p: Column, stop: Column) -> Column:
+    return F.abs(logit(p) - stop)
 
 
 def microprice(bid: Column, bid_size: Column, ask: Column, ask_size: Column) -> Column:
@@ -297,9 +374,29 @@ def return_pct(entry: Column, mark: Column, side: Column) -> Column:
     return F.when(side == "sell", -move).otherwise(move)
 
 
+def fee_confidence(ts: Column, category: Column) -> Column:
+    """How well a fee is known: exact in the free days, strongly_evidenced for known categories, else fallback."""
+    known = F.lower(F.trim(category)).isin(*FEE_RATES)
+    return F.when(F.to_date(ts) <= F.lit(LAST_FREE_DAY).cast("date"), "exact").when(known, "strongly_evidenced").otherwise("fallback")
+
+
 # Text and time
 
 
+def year_bounds(year: int) -> tuple[Column, Column]:
+    """First instant of a year and of the next."""
+    return F.lit(f"{year}-01-01").cast("timestamp"), F.lit(f"{year + 1}-01-01").cast("timestamp")
+
+
+def canonical_json(*columns: str) -> Column:
+    """JSON of some columns by name, without spaces, so that equal contents have equal text."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def content_digest(*columns: str) -> Column:
+    return F.sha2(canonical_json(*columns), 256)
+
+
 def json_list(s: Column) -> Column:
     """Array of a JSON list's strings; null for other text."""
     return F.when(F.startswith(F.trim(s), F.lit("[")), F.from_json(s, "array<string>", {"allowSingleQuotes": "true"}))

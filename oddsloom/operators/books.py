@@ -6,20 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BOOK_SCHEMA = "asset_id string, exchange_time double, seq long, event_type string, best_bid double, best_ask double, mid double, spread double, bid_depth double, ask_depth double, uncertain boolean, crossed boolean"
+from ..functions import expressions as X
 
+BOOK_SCHEMA = "asset_id string, exchange_time double, seq long, event_type string, best_bid double, best_ask double, mid double, spread double, bid_depth double, ask_depth double, microprice double, uncertain boolean, crossed boolean, inversions long, gaps long"
 
-def walk_levels(levels: DataFrame, keys: tuple[str, ...], size: Column, side: str = "buy") -> DataFrame:
-    """Fill of an order of `size` on each group's levels (price, size), best price first: filled, average price, levels used, residual."""
+
+def walk_levels(levels: DataFrame, keys: tuple[str, ...], size: Column, side: str = "buy", partial: bool = True, tick: float = 0.0, lot: float = 0.0) -> DataFrame:
+    """Fill of an order of `size` on each group's levels (price, size), best price first: filled, average price, levels used, residual.
+
+    Without partial, an order that one level can't fill fills nothing. With a tick and a lot, prices and sizes are
+    rounded to them. Where nothing fills, the average price is 0.
+    """
     order = F.asc("price") if side == "buy" else F.desc("price")
+    rounded = levels.withColumns({"size": F.greatest(X.round_size(F.col("size"), lot), F.lit(0.0)), "price": X.round_to_tick(F.col("price"), tick)})
+    want = F.greatest(X.round_size(size, lot), F.lit(0.0))
     w = W.partitionBy(*keys).orderBy(order, "size").rowsBetween(W.unboundedPreceding, -1)
-    take = F.greatest(F.least(F.col("size"), size - F.coalesce(F.sum("size").over(w), F.lit(0.0))), F.lit(0.0))
-    got = levels.withColumn("_take", take)
+    take = F.greatest(F.least(F.col("size"), want - F.coalesce(F.sum("size").over(w), F.lit(0.0))), F.lit(0.0))
+    got = rounded.withColumns({"_take": take, "_want": want, "_asked": size})
     filled = F.sum("_take")
-    return got.groupBy(*keys).agg(
-        filled.alias("filled"), (F.sum(F.col("_take") * F.col("price")) / F.nullif(filled, F.lit(0.0))).alias("avg_price"),
-        F.count_if(F.col("_take") > 0).alias("levels_used"), F.max(size - F.lit(0.0)).alias("_size"),
-    ).withColumn("residual", F.col("_size") - F.col("filled")).drop("_size")
+    out = got.groupBy(*keys).agg(
+        filled.alias("filled"), F.coalesce(F.sum(F.col("_take") * F.col("price")) / F.nullif(filled, F.lit(0.0)), F.lit(0.0)).alias("avg_price"),
+        F.count_if(F.col("_take") > 0).alias("levels_used"), F.max("_want").alias("_want"), F.max("_asked").alias("_asked"), F.first(F.when(F.col("_take") > 0, F.col("_take")), ignorenulls=True).alias("_first"), F.max("_take").alias("_most"),
+    ).withColumn("residual", F.col("_want") - F.col("filled"))
+    if not partial:
+        whole = (F.col("levels_used") <= 1) & (F.col("residual") <= 0)
+        out = out.withColumns({"residual": F.when(whole, F.col("residual")).otherwise(F.col("_asked")), **{c: F.when(whole, F.col(c)).otherwise(F.lit(0)) for c in ("filled", "avg_price", "levels_used")}})
+    return out.drop("_want", "_asked", "_first", "_most")
+
+
+def aggressive_fills(fills: DataFrame, side: Column, category: str = "crypto", mid_after: Column | None = None, role: str = "taker") -> DataFrame:
+    """walk_levels' rows with fee, and markout: how far the mid went against the fill, if a later mid is known. A maker pays no fee."""
+    fee = F.lit(0.0) if role == "maker" else X.taker_fee(F.col("filled"), F.when(F.col("avg_price") > 0, F.col("avg_price")).otherwise(0.5), X.fee_rate(F.lit(category)))
+    out = fills.withColumns({"fee": fee, "role": F.lit(role)})
+    if mid_after is None:
+        return out.withColumn("markout", F.lit(None).cast("double"))
+    move = F.when(side == "buy", F.col("avg_price") - mid_after).otherwise(mid_after - F.col("avg_price"))
+    return out.withColumn("markout", F.when((F.col("filled") > 0) & (F.col("avg_price") > 0), move))
+
+
+def taker_executions(fills: DataFrame, side: Column, mid: Column, mid_after: Column, uncertain: Column, age_ms: Column, category: str = "crypto", latency_ms: float = 250.0, max_age_ms: float = 5_000.0) -> DataFrame:
+    """walk_levels' rows with fee, realized spread and adverse selection; orders on an uncertain or stale book are rejected with zeros."""
+    reject = F.when(uncertain, "uncertain_book").when(age_ms > max_age_ms + latency_ms, "stale_book")
+    done = aggressive_fills(fills, side, category, mid_after)
+    ok = reject.isNull() & (F.col("filled") > 0) & (F.col("avg_price") > 0)
+    out = done.withColumns({"reject": reject, "realized_spread": F.when(ok, 2 * F.abs(F.col("avg_price") - mid)), "adverse_selection": F.when(ok & mid.isNotNull(), F.col("markout"))})
+    return out.withColumns({c: F.when(F.col("reject").isNull(), F.col(c)).otherwise(F.lit(0)) for c in ("filled", "avg_price", "fee", "levels_used", "residual")}).drop("markout", "role")
 
 
 def sequence_gaps(messages: DataFrame) -> DataFrame:
@@ -29,38 +60,60 @@ def sequence_gaps(messages: DataFrame) -> DataFrame:
 
 
 class Book:
-    """State of one asset's book. Snapshots reset it, deltas set or remove a level, gaps make it uncertain until the next snapshot."""
+    """State of one asset's book.
+
+    Snapshots reset it. Deltas set or remove a level, unless it is uncertain: after a gap in the sequence, or a gap or
+    reconnect event, until the next snapshot. Every snapshot with levels and every delta gives a record, other events none.
+    """
 
     def __init__(self) -> None:
         self.bids: dict[float, float] = {}
         self.asks: dict[float, float] = {}
-        self.uncertain, self.seq = True, None
+        self.uncertain, self.seq, self.time = False, None, None
+        self.gaps = self.inversions = 0
+
+    def seen(self, m: dict) -> None:
+        time = m["exchange_time"]
+        if time is not None:
+            self.inversions += self.time is not None and time < self.time
+            self.time = time
 
     def apply(self, m: dict) -> tuple | None:
         kind = m["event_type"]
-        if kind == "reconnect":
-            self.uncertain, self.seq = True, None
-            return self.record(m)
-        if self.seq is not None and m["seq"] is not None and m["seq"] - self.seq > 1:
+        if kind in ("reconnect", "gap"):
             self.uncertain = True
-        self.seq = m["seq"] if m["seq"] is not None else self.seq
-        if kind == "snapshot":
-            self.bids, self.asks = ({float(x["price"]): float(x["size"]) for x in m[s] if x["size"] > 0} if m[s] is not None else {} for s in ("bids", "asks"))
+            return None
+        sides = [list(m[s]) if m[s] is not None else [] for s in ("bids", "asks")]
+        if kind in ("snapshot", "book") or any(sides):
+            if not any(sides):
+                return None
+            self.bids, self.asks = ({float(x["price"]): float(x["size"]) for x in side if x["size"] > 0} for side in sides)
             self.uncertain = False
-        elif kind == "delta":
-            side = self.bids if str(m["side"]).upper() in ("BUY", "BID", "B") else self.asks
-            if m["size"] and m["size"] > 0:
+            self.seq = m["seq"] if m["seq"] is not None else self.seq
+            self.seen(m)
+            return self.record(m, "snapshot")
+        if not m["side"] or m["price"] is None or m["size"] is None:
+            return None
+        if not self.uncertain:
+            side = self.bids if str(m["side"]).lower() in ("bid", "buy", "b") else self.asks
+            if m["size"] > 0:
                 side[float(m["price"])] = float(m["size"])
             else:
                 side.pop(float(m["price"]), None)
-        else:
-            return None
-        return self.record(m)
-
-    def record(self, m: dict) -> tuple:
+            if m["seq"] is not None:
+                if self.seq is not None and m["seq"] - self.seq > 1:
+                    self.gaps += 1
+                    self.uncertain = True
+                self.seq = m["seq"]
+            self.seen(m)
+        return self.record(m, "delta")
+
+    def record(self, m: dict, kind: str) -> tuple:
         bid, ask = max(self.bids, default=None), min(self.asks, default=None)
         both = bid is not None and ask is not None
-        return (m["asset_id"], m["exchange_time"], m["seq"], m["event_type"], bid, ask, (bid + ask) / 2 if both else None, ask - bid if both else None, sum(self.bids.values()), sum(self.asks.values()), self.uncertain, bool(both and bid >= ask))
+        sizes = (self.bids.get(bid, 0.0), self.asks.get(ask, 0.0))
+        micro = (ask * sizes[0] + bid * sizes[1]) / sum(sizes) if bid and ask and sum(sizes) > 0 else None
+        return (m["asset_id"], m["exchange_time"], m["seq"], kind, bid, ask, (bid + ask) / 2 if both else None, ask - bid if both else None, sum(self.bids.values()), sum(self.asks.values()), micro, self.uncertain, bool(both and bid >= ask), self.inversions, self.gaps)
 
 
 def replay(messages: DataFrame) -> DataFrame:
@@ -72,7 +125,8 @@ def replay(messages: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         book = Book()
         pdf = pdf.sort_values(["exchange_time", "seq"], kind="stable")
-        pdf["seq"] = pdf["seq"].astype(object).where(pdf["seq"].notna(), None)
+        for c in ("seq", "price", "size", "exchange_time"):
+            pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
         rows = [book.apply(m) for m in pdf.to_dict("records")]
         return pd.DataFrame([r for r in rows if r], columns=names).astype({"seq": "Int64"})
 

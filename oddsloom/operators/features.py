@@ -130,17 +130,30 @@ def robust_bands(df: DataFrame, window: int = 48, k: float = 2.5) -> DataFrame:
     return df.withColumn("band_mad", F.when(F.col("band_mid").isNotNull(), mad)).withColumns({"band_low": F.col("band_mid") - k * F.col("band_mad"), "band_high": F.col("band_mid") + k * F.col("band_mad")}).drop("_v")
 
 
-def ema(df: DataFrame, spans: tuple[int, ...] = (5, 20), value: str = "price") -> DataFrame:
-    """Exponential averages seeded with the first value, by token in time order. A recursion, so by group in pandas."""
+def ema(df: DataFrame, spans: tuple[int, ...] = (5, 20), value: str = "price", seed: str = "first") -> DataFrame:
+    """Exponential averages by token in time order. A recursion, so by group in pandas.
+
+    seed: first, from the first value on; or mean, from the span-th value on with the mean of the first span, null before.
+    """
+    import numpy as np
     import pandas as pd
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"ema_{s}", T.DoubleType()) for s in spans]])
 
+    def average(x: pd.Series, span: int) -> pd.Series:
+        if seed == "first":
+            return x.ewm(span=span, adjust=False).mean()
+        out = pd.Series(np.nan, index=x.index)
+        if len(x) >= span:
+            start = pd.concat([pd.Series([x.iloc[:span].mean()]), x.iloc[span:]])
+            out.iloc[span - 1 :] = start.ewm(span=span, adjust=False).mean().to_numpy()
+        return out
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["traded_at", "trade_id"])
-        return pdf.assign(**{f"ema_{s}": pdf[value].ewm(span=s, adjust=False).mean() for s in spans})
+        return pdf.assign(**{f"ema_{s}": average(pdf[value], s) for s in spans})
 
     return df.groupBy("token_id").applyInPandas(run, schema)
 
@@ -150,30 +163,36 @@ def ema_cross(df: DataFrame, fast: str = "ema_5", slow: str = "ema_20") -> DataF
     return df.withColumns({"bullish_cross": F.coalesce((F.lag(f).over(w) <= F.lag(s).over(w)) & (f > s), F.lit(False)), "bullish_stack": f > s})
 
 
-def hurst(df: DataFrame, value: str = "price", least: int = 8) -> DataFrame:
-    """(token_id, hurst): slope of log rescaled range on log chunk size over log returns; null if short or degenerate."""
-    import numpy as np
-    import pandas as pd
+def hurst(df: DataFrame, value: str = "price", least: int = 8, most: int = 32) -> DataFrame:
+    """(token_id, hurst): slope of log rescaled range on log chunk size over log returns between positive prices.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["traded_at", "trade_id"])[value].to_numpy(dtype=float)
-        r = np.diff(np.log(x[x > 0]))
-        points = []
-        for n in range(4, min(len(r) // 2, 32) + 1):
-            chunks = r[: len(r) // n * n].reshape(-1, n)
-            dev = np.cumsum(chunks - chunks.mean(axis=1, keepdims=True), axis=1)
-            sd = chunks.std(axis=1)
-            ok = sd > 1e-12
-            if ok.any():
-                points.append((np.log(n), np.log(max(((dev.max(axis=1) - dev.min(axis=1))[ok] / sd[ok]).mean(), 1e-12))))
-        h = float(np.polyfit(*zip(*points), 1)[0]) if len(points) >= least else None
-        return pd.DataFrame({"token_id": [pdf["token_id"].iloc[0]], "hurst": pd.array([h], dtype="Float64")})
-
-    return df.select("token_id", "traded_at", "trade_id", value).groupBy("token_id").applyInPandas(run, f"token_id {dict(df.dtypes)['token_id']}, hurst double")
+    Null with fewer than `least` returns (or least + 2 prices), or fewer than three sizes of chunk with a spread. A return
+    meets each chunk size once, so the work is by chunk and no token is gathered.
+    """
+    w = by_time()
+    before, x = F.lag(value).over(w), F.col(value)
+    step = F.when((before > 0) & (x > 0), F.log(x / before))
+    moves = df.select("token_id", "traded_at", "trade_id", step.alias("r")).where("r is not null")
+    placed = moves.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy("token_id"))})
+    top = F.least(F.floor(F.col("n") / 2), F.lit(most)).cast("int")
+    sized = placed.where((F.col("n") >= least) & (top >= 4)).select("token_id", "i", "n", "r", F.explode(F.sequence(F.lit(4), top)).alias("k"))
+    sized = sized.withColumn("chunk", F.floor(F.col("i") / F.col("k"))).where("(chunk + 1) * k <= n")
+    whole = W.partitionBy("token_id", "k", "chunk")
+    path = F.sum("d").over(whole.orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    walked = sized.withColumn("d", F.col("r") - F.avg("r").over(whole)).withColumn("y", path)
+    chunks = walked.groupBy("token_id", "k", "chunk").agg((F.max("y") - F.min("y")).alias("range"), F.stddev_pop("r").alias("sd")).where("sd > 1e-12")
+    points = chunks.groupBy("token_id", "k").agg(F.avg(F.col("range") / F.col("sd")).alias("rs")).where("rs > 0")
+    slopes = points.groupBy("token_id").agg(F.count("*").alias("points"), F.regr_slope(F.log("rs"), F.log("k")).alias("slope"))
+    fitted = slopes.where("points >= 3").select("token_id", F.col("slope").alias("hurst"))
+    long = df.groupBy("token_id").agg(F.count("*").alias("_n"))
+    return long.join(fitted, "token_id", "left").select("token_id", F.when(F.col("_n") >= least + 2, F.col("hurst")).alias("hurst"))
 
 
 def live_window(trades: DataFrame) -> DataFrame:
-    """What a live feed knows at each trade: momentum and size ratio over [t - 1 h, t] and [t - 24 h, t]."""
+    """What a live feed knows at each trade: momentum and trades of [t - 1 h, t], and its mean size by the median size of [t - 24 h, t].
+
+    Trades of the same instant count as known. The time that a momentum is divided by is at least 1e-6 h, so that of a single trade is 0.
+    """
     df = trades.withColumn("_us", micros(F.col("traded_at")))
     hour, day = (W.partitionBy("token_id").orderBy("_us").rangeBetween(-h * HOUR, 0) for h in (1, 24))
     at = F.struct("_us", "trade_id")
@@ -182,7 +201,25 @@ def live_window(trades: DataFrame) -> DataFrame:
     positive = F.when(F.col("size") > 0, F.col("size"))
     median = F.percentile(positive, F.lit(0.5)).over(day)
     return df.withColumns({
-        "live_momentum_1h": F.when(hours > 0, (p1 - p0) / hours),
+        "live_momentum_1h": (p1 - p0) / F.greatest(hours, F.lit(1e-6)),
         "live_whale_ratio": F.when(median > 0, F.avg(positive).over(hour) / median),
-        "live_trades_24h": F.count("*").over(day),
+        "live_trades_1h": F.count("*").over(hour),
     }).drop("_us")
+
+
+def logit_technicals(df: DataFrame, rsi_period: int = 14, fast: int = 5, slow: int = 20, window: int = 48, k: float = 2.5) -> DataFrame:
+    """arcsine_price, and of log odds by token: logit_rsi, EMAs and their upward cross (null before slow + 1 rows), and bands of median deviation."""
+    x = df.withColumns({"arcsine_price": X.arcsine(F.col("price")), "_x": X.logit(F.col("price"))})
+    x = ema(rsi(x, F.col("_x"), rsi_period, "logit_rsi", flat=50.0), (fast, slow), "_x")
+    x = robust_bands(ema_cross(x, f"ema_{fast}", f"ema_{slow}"), window, k).withColumn("_i", F.row_number().over(by_time()))
+    known = lambda c: F.when(F.col("_i") > slow, F.col(c))
+    out = x.withColumns({"logit_ema_fast": known(f"ema_{fast}"), "logit_ema_slow": known(f"ema_{slow}"), "logit_ema_bullish_cross": known("bullish_cross"), "logit_mad_upper": F.col("band_high"), "logit_mad_lower": F.col("band_low")})
+    return out.drop("_x", "_i", f"ema_{fast}", f"ema_{slow}", "bullish_cross", "bullish_stack", "band_mid", "band_mad", "band_low", "band_high")
+
+
+def book_columns(df: DataFrame) -> DataFrame:
+    """book_imbalance (bid depth by ask depth) and trade_aggression, null and unknown where a column is missing."""
+    has = set(df.columns)
+    ratio = F.when(F.col("ask_depth") > 0, F.col("bid_depth") / F.col("ask_depth")) if {"bid_depth", "ask_depth"} <= has else F.lit(None).cast("double")
+    kind = X.trade_aggression(F.col("price"), F.col("best_bid"), F.col("best_ask")) if {"price", "best_bid", "best_ask"} <= has else F.lit("unknown")
+    return df.withColumns({"book_imbalance": ratio, "trade_aggression": kind})

@@ -46,17 +46,33 @@ def canonical_fills(trades: DataFrame, key: Column | None = None) -> DataFrame:
 def next_prints(signals: DataFrame, prints: DataFrame, latency_s: float = 1.0, timeout_s: float = 300.0) -> DataFrame:
     """Forward as-of join: each signal with the first print of its token after latency, up to timeout later.
 
-    A range join on cells of time as long as the timeout: a signal looks in two cells, so a token with very many
-    prints is met by cell and not as a whole.
+    Signals and prints are sorted together, latest first, by token and cell of time as long as the timeout, and a signal
+    takes the print seen last: no pairs are made, and a token with very many prints is spread over its cells. A print is
+    in its cell and in the one before, so a signal looks in one.
     """
     lat, out = int(latency_s * 1e6), int(timeout_s * 1e6)
-    s = signals.withColumn("_after", micros(F.col("traded_at")) + lat)
-    s = s.withColumn("_cell", F.explode(F.array(F.floor(F.col("_after") / out), F.floor(F.col("_after") / out) + 1)))
-    p = prints.select(F.col("token_id").alias("_token"), F.col("side").alias("_print_side"), F.col("price").alias("_print_price"), micros(F.col("traded_at")).alias("_us"), F.col("trade_id").alias("_print_id"))
-    p = p.where(F.upper("_print_side").isin("BUY", "SELL")).withColumn("_print_cell", F.floor(F.col("_us") / out))
-    hit = s.join(p, (F.col("token_id") == F.col("_token")) & (F.col("_cell") == F.col("_print_cell")) & (F.col("_us") > F.col("_after")) & (F.col("_us") <= F.col("_after") + out))
-    first = hit.groupBy("trade_id").agg(F.min_by(F.struct("_print_price", "_us", "_print_id"), F.struct("_us", "_print_id")).alias("_hit"))
-    return signals.join(first, "trade_id", "left").select(*signals.columns, F.col("_hit._print_price").alias("print_price"), F.col("_hit._print_id").alias("print_id"))
+    key = micros(F.col("traded_at")) + lat
+    s = signals.select(F.struct(*signals.columns).alias("_row"), F.col("token_id").alias("_token"), key.alias("_key"), F.floor(key / out).alias("_cell"), F.lit(0).alias("_kind"), F.lit(None).cast(dict(prints.dtypes)["trade_id"]).alias("_id"), F.lit(None).cast(f"struct<us:bigint,price:double,id:{dict(prints.dtypes)['trade_id']}>").alias("_print"))
+    us = micros(F.col("traded_at"))
+    p = prints.where(F.upper("side").isin("BUY", "SELL"))
+    cells = F.explode(F.array(F.floor(us / out), F.floor(us / out) - 1))
+    p = p.select(F.lit(None).cast(s.schema["_row"].dataType).alias("_row"), F.col("token_id").alias("_token"), us.alias("_key"), cells.alias("_cell"), F.lit(1).alias("_kind"), F.col("trade_id").alias("_id"), F.struct(us.alias("us"), F.col("price").cast("double").alias("price"), F.col("trade_id").alias("id")).alias("_print"))
+    seen = W.partitionBy("_token", "_cell").orderBy(F.desc("_key"), "_kind", F.desc("_id")).rowsBetween(W.unboundedPreceding, 0)
+    hit = s.unionByName(p).withColumn("_hit", F.last("_print", ignorenulls=True).over(seen)).where("_kind = 0")
+    found = F.when(F.col("_hit.us") <= F.col("_key") + out, F.col("_hit"))
+    return hit.select("_row.*", found["price"].alias("print_price"), found["id"].alias("print_id"))
+
+
+def as_of(rows: DataFrame, series: DataFrame, on: str = "key", at: str = "ts", series_at: str = "ts", value: str = "value") -> DataFrame:
+    """Backward as-of join: rows with the last value of their key's series at or before their time, null if none.
+
+    Both are sorted together by key, so no pairs are made. Of equal times in the series the greatest value counts.
+    """
+    kind = series.schema[value].dataType
+    left = rows.select(F.struct(*rows.columns).alias("_row"), F.col(on).alias("_on"), F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_value"))
+    right = series.where(F.col(value).isNotNull()).select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(on).alias("_on"), F.col(series_at).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"))
+    seen = W.partitionBy("_on").orderBy("_at", "_kind", "_value").rowsBetween(W.unboundedPreceding, 0)
+    return left.unionByName(right).withColumn("_last", F.last("_value", ignorenulls=True).over(seen)).where("_kind = 1").select("_row.*", F.col("_last").alias(f"asof_{value}"))
 
 
 def outcome_fills(signals: DataFrame, prints: DataFrame, latency_s: float = 1.0, timeout_s: float = 300.0, slip_bps: float = 50.0, category: str | None = None) -> DataFrame:
@@ -146,7 +162,7 @@ def deflated_sharpe(sharpe: float, n_obs: int, n_trials: int, skew: float = 0.0,
     gamma = 0.5772156649015329
     floor = (1 - gamma) * math.sqrt(math.pi / 6 / n_trials) + gamma * math.sqrt(2 * math.log(max(n_trials, 2)))
     var = (1 + 0.5 * sharpe**2 - skew * sharpe + (kurt - 3) / 4 * sharpe**2) / (n_obs - 1)
-    return 0.5 * (1 + math.erf((sharpe - floor) / math.sqrt(var) / math.sqrt(2))) if var > 0 else None
+    return 0.5 * math.erfc((floor - sharpe) / math.sqrt(2 * var)) if var > 0 else None
 
 
 def bootstrap_ci(pnls: list[float], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict:
@@ -160,12 +176,54 @@ def bootstrap_ci(pnls: list[float], n_boot: int = 1000, seed: int = 42, alpha: f
 
 
 def pbo(in_sample: list[float], out_sample: list[float]) -> float | None:
-    """Share of candidates at or above the median in sample that fall below it out of sample."""
+    """Share of all candidates that are at or above the median in sample and below it out of sample."""
     if len(in_sample) != len(out_sample) or len(in_sample) < 2:
         return None
     a, b = sorted(in_sample)[len(in_sample) // 2], sorted(out_sample)[len(out_sample) // 2]
-    best = [y < b for x, y in zip(in_sample, out_sample) if x >= a]
-    return sum(best) / len(best)
+    return sum(x >= a and y < b for x, y in zip(in_sample, out_sample)) / len(in_sample)
+
+
+def pbo_of_folds(scores: DataFrame, most_folds: int = 8) -> DataFrame:
+    """One row (pbo, n_trials, n_folds, method) from (trial, fold, is_score, oos_score), each trial in each fold.
+
+    With up to most_folds folds a trial counts if more than half of its out-of-sample scores are below the median of
+    the fold in which it did best in sample; with more, if its best score in sample is at or above its median and its
+    worst one out of sample below its median. Medians are the upper ones. Null under two trials.
+    """
+    upper = lambda c: F.get(F.array_sort(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int"))
+    medians = scores.groupBy("fold").agg(upper("oos_score").alias("median"))
+    best = F.max_by(F.struct("median", "fold"), F.struct("is_score", (-F.col("fold")).alias("first")))
+    by = scores.join(medians, "fold").groupBy("trial").agg(best["median"].alias("median"), F.collect_list("oos_score").alias("oos"), F.max("is_score").alias("top"), upper("is_score").alias("mid"), F.min("oos_score").alias("worst"), upper("oos_score").alias("oos_mid"), F.count("*").alias("folds"))
+    below = F.size(F.filter("oos", lambda x: x < F.col("median"))) / F.col("folds")
+    few = F.max("folds") <= most_folds
+    share = F.when(few, F.avg((below > 0.5).cast("double"))).otherwise(F.avg(((F.col("top") >= F.col("mid")) & (F.col("worst") < F.col("oos_mid"))).cast("double")))
+    return by.agg(F.when(F.count("*") >= 2, share).alias("pbo"), F.count("*").alias("n_trials"), F.max("folds").alias("n_folds"), F.when(few, "combinatorial_cscv").otherwise("rank_proxy").alias("method"))
+
+
+def neighbourhood_stability(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(center, stability): of the neighbours that pairs (center, neighbour) give, the share whose score has the center's sign.
+
+    scores: (label, score). Null where the center has no score or scores 0; neighbours without a score count as different.
+    """
+    c = scores.select(F.col("label").alias("center"), F.col("score").alias("_c"))
+    n = scores.select(F.col("label").alias("neighbour"), F.col("score").alias("_n"))
+    joined = pairs.join(c, "center", "left").join(n, "neighbour", "left")
+    same = F.coalesce((F.col("_n") * F.col("_c") > 0).cast("double"), F.lit(0.0))
+    return joined.groupBy("center").agg(F.when(F.coalesce(F.max("_c"), F.lit(0.0)) != 0, F.avg(same)).alias("stability"))
+
+
+def multiple_testing(scores: DataFrame, n_obs: int = 100, alpha: float = 0.05) -> DataFrame:
+    """One row on the candidates of (label, sharpe, oos_sharpe, p): n_trials, best_sharpe, pbo and discoveries at a false discovery rate of alpha, with dsr, the best ratio deflated."""
+    middle = lambda c: F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
+    base = scores.agg(F.count("*").alias("n_trials"), F.coalesce(F.max("sharpe"), F.lit(0.0)).alias("best_sharpe"), middle("sharpe").alias("_a"), middle("oos_sharpe").alias("_b"))
+    bad = scores.crossJoin(F.broadcast(base.select("_a", "_b"))).agg(F.avg(F.coalesce((F.col("sharpe") >= F.col("_a")) & (F.col("oos_sharpe") < F.col("_b")), F.lit(False)).cast("double")).alias("pbo"))
+    found = benjamini_hochberg(scores.where("p is not null"), alpha=alpha).agg(F.count_if("discovery").alias("n_discoveries"))
+    one = base.drop("_a", "_b").crossJoin(bad).crossJoin(found)
+    n = F.greatest(F.col("n_trials"), F.lit(1)).cast("double")
+    gamma, best = 0.5772156649015329, F.col("best_sharpe")
+    floor = (1 - gamma) * F.sqrt(float(math.pi / 6) / n) + gamma * F.sqrt(2 * F.log(F.greatest(n, F.lit(2.0))))
+    z = (best - floor) / F.sqrt((1 + 0.5 * best * best) / max(n_obs - 1, 1))
+    return one.withColumn("z", z).withColumn("alpha", F.lit(alpha))
 
 
 def forward_labels(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...] = (5, 30, 60, 300, 900, 3600, 14400), tp: float = 0.05, sl: float = 0.03) -> DataFrame:
@@ -187,13 +245,62 @@ def forward_labels(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...
     )
 
 
-def gate(features: DataFrame, train_end: str, min_events: int = 100, min_train: int = 50, min_test: int = 20) -> DataFrame:
-    """One row of evidence on a dataset, and PASS-BOUNDED or BLOCKED with reasons."""
+def label_paths(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...] = (5, 30, 60, 300, 900, 3600, 14400), tp: float = 0.05, sl: float = 0.03) -> DataFrame:
+    """Forward labels in full: a row for each entry and horizon, with skip_reason where there is none.
+
+    entries: trade_id, token_id, price, traded_at, and if they have them direction (long or short), taker_price, maker_low,
+    maker_high, and gaps and invalid, arrays of (start, end) in seconds. A horizon is skipped if it meets a gap (gap), if
+    it begins or ends in an invalid interval (invalid_book), or if there is no mid in it (no_data). Returns are of the
+    entry's direction; those of a maker are the mid's, scaled by the bounds. first_hit: tp or sl, whichever came first.
+    """
+    has = set(entries.columns)
+    column = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
+    spans = "array<struct<start:double,end:double>>"
+    t = micros(F.col("traded_at")) / 1e6
+    e = entries.select("trade_id", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"), F.col("price").alias("entry"), F.coalesce(column("direction", "string"), F.lit("long")).alias("direction"), column("taker_price", "double").alias("taker_price"), column("maker_low", "double").alias("maker_low"), column("maker_high", "double").alias("maker_high"), t.alias("_t"), column("gaps", spans).alias("gaps"), column("invalid", spans).alias("invalid"))
+    end = F.col("_t") + F.col("horizon")
+    gap = F.exists("gaps", lambda g: (g["start"] <= end) & (g["end"] >= F.col("_t")))
+    bad = F.exists("invalid", lambda g: F.col("_t").between(g["start"], g["end"]) | end.between(g["start"], g["end"]))
+    sign = F.when(F.col("direction") == "short", -1.0).otherwise(1.0)
+    labels = forward_labels(entries, mids, horizons, tp, sl).select("trade_id", "horizon", F.col("exit_mid"), F.col("mfe").alias("_high"), F.col("mae").alias("_low"))
+    shorted = forward_labels(entries, mids, horizons, sl, tp).select("trade_id", "horizon", F.col("tp_seconds").alias("_down"), F.col("sl_seconds").alias("_up"))
+    longed = forward_labels(entries, mids, horizons, tp, sl).select("trade_id", "horizon", "tp_seconds", "sl_seconds")
+    out = e.join(labels, ["trade_id", "horizon"], "left").join(longed, ["trade_id", "horizon"], "left").join(shorted, ["trade_id", "horizon"], "left")
+    reason = F.when(F.coalesce(gap, F.lit(False)), "gap").when(F.coalesce(bad, F.lit(False)), "invalid_book").when(F.col("exit_mid").isNull(), "no_data")
+    ok, short = reason.isNull(), F.col("direction") == "short"
+    mid = sign * (F.col("exit_mid") - F.col("entry")) / F.nullif(F.col("entry"), F.lit(0.0))
+    taker = sign * (F.col("exit_mid") - F.col("taker_price")) / F.nullif(F.col("taker_price"), F.lit(0.0))
+    hit_tp, hit_sl = F.when(short, F.col("_up")).otherwise(F.col("tp_seconds")), F.when(short, F.col("_down")).otherwise(F.col("sl_seconds"))
+    when = lambda c: F.when(ok, c)
+    return out.select(
+        "trade_id", "horizon", reason.alias("skip_reason"), when(F.col("exit_mid")).alias("exit_mid"), when(mid).alias("mid_return"), when(X.logit(F.col("exit_mid")) - X.logit(F.col("entry"))).alias("logit_return"),
+        when(F.when(short, -F.col("_low")).otherwise(F.col("_high"))).alias("mfe"), when(F.when(short, -F.col("_high")).otherwise(F.col("_low"))).alias("mae"), when(taker).alias("taker_return"), when(taker - mid).alias("adverse_selection"),
+        when(mid * F.col("maker_low")).alias("maker_low_return"), when(mid * F.col("maker_high")).alias("maker_high_return"), when(hit_tp).alias("tp_seconds"), when(hit_sl).alias("sl_seconds"),
+        when(F.when(hit_tp.isNotNull() & (hit_sl.isNull() | (hit_tp <= hit_sl)), "tp").when(hit_sl.isNotNull(), "sl")).alias("first_hit"),
+    )
+
+
+def gate(features: DataFrame, train_end: str = "2025-01-01", min_events: int = 100, min_train: int = 50, min_test: int = 20, baseline_rows: int | None = None, fallback: bool = False) -> DataFrame:
+    """One row of evidence on a dataset, and PASS-BOUNDED or BLOCKED with reasons. Events are event_id alone; a market never stands for one."""
+    if "event_id" not in features.columns:
+        return features.sparkSession.range(1).select(F.lit("event_id missing").alias("reasons"), F.lit("BLOCKED").alias("verdict"))
+    has = set(features.columns)
     early = F.col("traded_at") < F.lit(train_end).cast("timestamp")
-    spans = features.where("condition_id is not null").groupBy("condition_id").agg(F.max(early).alias("train"), F.max(~early).alias("test"))
-    events = spans.agg(F.count("*").alias("events"), F.count_if("train").alias("train_events"), F.count_if(F.col("test") & ~F.col("train")).alias("test_events"))
-    rows = features.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("condition_id").isNotNull().cast("double")), F.lit(0.0)).alias("event_share"), F.coalesce(F.avg(F.col("token_won").isNotNull().cast("double")), F.lit(0.0)).alias("label_share"))
-    checks = [(F.col("event_share") < 0.95, "event ids"), (F.col("label_share") < 0.95, "labels"), (F.col("events") < min_events, "events"), (F.col("train_events") < min_train, "train events"), (F.col("test_events") < min_test, "test events")]
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    spans = features.where("event_id is not null").groupBy("event_id").agg(F.max(early).alias("train"), F.max(~early).alias("test"), F.count_if(~early).alias("late"))
+    fresh = F.col("test") & ~F.col("train")
+    events = spans.agg(F.count("*").alias("events"), F.count_if("train").alias("train_events"), F.count_if(fresh).alias("test_events"), F.coalesce(F.sum(F.when(fresh, F.col("late"))), F.lit(0)).alias("test_rows"))
+    key = "trade_id" if "trade_id" in has else "fill_id" if "fill_id" in has else None
+    rows = features.agg(
+        F.count("*").alias("n"), share(F.col("event_id").isNotNull()).alias("event_share"), (share(F.col("token_won").isNotNull()) if "token_won" in has else F.lit(0.0)).alias("label_share"),
+        (share(F.coalesce(F.col("fee_confidence").isin("exact", "strongly_evidenced"), F.lit(False))) if "fee_confidence" in has else F.lit(0.0)).alias("fee_share"),
+        (F.countDistinct(key) if key else F.lit(-1)).alias("ids"), F.max(F.year("traded_at")).alias("last_year"),
+    )
+    checks = [
+        (F.lit(fallback), "baseline fallback"), (F.col("n") == 0, "empty"), (F.col("event_share") < 0.95, "event ids"), (F.col("label_share") < 0.95, "labels"), (F.col("fee_share") < 0.5, "fee evidence"), (F.col("ids") != F.col("n"), "ids"),
+        (F.coalesce(F.col("last_year"), F.lit(0)) < 2024, "years"), (F.lit(baseline_rows is not None) & (F.col("n") <= (baseline_rows or 0)), "no expansion"), (F.col("events") < min_events, "events"), (F.col("train_events") < min_train, "train events"),
+        (F.col("test_events") < min_test, "test events"), (F.col("test_rows") == 0, "test rows"),
+    ]
     df = rows.crossJoin(events).withColumn("reasons", F.concat_ws(",", *[F.when(c, r) for c, r in checks]))
     return df.withColumn("verdict", F.when(F.col("reasons") == "", "PASS-BOUNDED").otherwise("BLOCKED"))
 

@@ -275,11 +275,11 @@ def w15(spark, sf):
 
 
 @query("w10_live_window", """+ u AS (SELECT *, epoch_us(traded_at) AS us, CASE WHEN size > 0 THEN size END AS s FROM tape)
-  SELECT trade_id, round(CASE WHEN max(us) OVER h > min(us) OVER h THEN (arg_max(price, us::HUGEINT * 1000000 + trade_id) OVER h - arg_min(price, us::HUGEINT * 1000000 + trade_id) OVER h) / ((max(us) OVER h - min(us) OVER h) / 3600000000.0) END, 6) AS live_momentum_1h,
-  round(avg(s) OVER h / median(s) OVER d, 6) AS live_whale_ratio, count(*) OVER d AS live_trades_24h FROM u
+  SELECT trade_id, round((arg_max(price, us::HUGEINT * 1000000 + trade_id) OVER h - arg_min(price, us::HUGEINT * 1000000 + trade_id) OVER h) / greatest((max(us) OVER h - min(us) OVER h) / 3600000000.0, 1e-6), 6) AS live_momentum_1h,
+  round(avg(s) OVER h / median(s) OVER d, 6) AS live_whale_ratio, count(*) OVER h AS live_trades_1h FROM u
   WINDOW h AS (PARTITION BY token_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), d AS (PARTITION BY token_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
 def w10(spark, sf):
-    return features.live_window(tape(spark, sf)).select("trade_id", *r6("live_momentum_1h", "live_whale_ratio"), "live_trades_24h")
+    return features.live_window(tape(spark, sf)).select("trade_id", *r6("live_momentum_1h", "live_whale_ratio"), "live_trades_1h")
 
 
 @query("w25_forward_labels", """+ h(h) AS (VALUES (900), (3600), (14400)), j AS (SELECT e.trade_id, h AS horizon, epoch_us(m.traded_at) - epoch_us(e.traded_at) AS dt, m.price AS mid, m.price / e.price - 1 AS mv FROM tape e, h, tape m

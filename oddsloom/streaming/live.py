@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from ..functions import expressions as X
 
 DAY, HOUR = 86_400.0, 3_600.0
 EVENT = "event_type string, asset_id string, market string, price string, size string, side string, timestamp string, bids array<struct<price:string,size:string>>, asks array<struct<price:string,size:string>>, price_changes array<struct<asset_id:string,price:string,size:string,side:string,best_bid:string,best_ask:string>>, winning_asset_id string"
-FEATURES = "token_id string, ts double, price double, size double, momentum_1h double, whale_ratio double, trades_24h long, best_bid double, best_ask double, kind string, condition_id string, winner string"
+FEATURES = "token_id string, ts double, price double, size double, momentum_1h double, whale_ratio double, trades_1h long, best_bid double, best_ask double, kind string, condition_id string, winner string"
 FILLS = "profile string, token_id string, ts double, action string, price double, shares double, fee double, pnl double, cash double"
 
 
@@ -48,15 +50,18 @@ class TokenWindow:
     ask: float | None = None
 
     def add(self, ts: float, price: float, size: float) -> tuple[float | None, float | None, int]:
-        """Momentum over the last hour, mean size of the hour by median size of the day, and trades of the day."""
-        self.trades = [t for t in self.trades if t[0] >= ts - DAY] + [(ts, price, size)]
-        hour = [t for t in self.trades if t[0] >= ts - HOUR]
-        span = (hour[-1][0] - hour[0][0]) / HOUR
-        sizes = sorted(t[2] for t in self.trades if t[2] > 0)
-        mine = [t[2] for t in hour if t[2] > 0]
-        n = len(sizes)
-        median = (sizes[(n - 1) // 2] + sizes[n // 2]) / 2 if n else None
-        return (hour[-1][1] - hour[0][1]) / span if span > 0 else None, sum(mine) / len(mine) / median if mine and median else None, len(self.trades)
+        """Momentum over the last hour, its mean size by the median size of the day, and its trades.
+
+        Trades are kept by time, and a trade sees those up to its own time. One that comes late counts for those after it,
+        but doesn't change what was said of them.
+        """
+        insort(self.trades, (ts, price, size), key=lambda t: t[0])
+        self.trades = [t for t in self.trades if t[0] >= self.trades[-1][0] - DAY or t[0] >= ts - DAY]
+        day = [t for t in self.trades if ts - DAY <= t[0] <= ts]
+        hour = [t for t in day if t[0] >= ts - HOUR]
+        sizes, mine = [t[2] for t in day if t[2] > 0], [t[2] for t in hour if t[2] > 0]
+        mid = median(sizes) if sizes else 0.0
+        return (hour[-1][1] - hour[0][1]) / max((hour[-1][0] - hour[0][0]) / HOUR, 1e-6), sum(mine) / len(mine) / mid if mine and mid else None, len(hour)
 
 
 def live_features(events: DataFrame, expire: bool = True) -> DataFrame:
@@ -87,7 +92,7 @@ def live_features(events: DataFrame, expire: bool = True) -> DataFrame:
         state.update((*cols, w.bid, w.ask))
         if expire:
             state.setTimeoutDuration(int(DAY * 1000))
-        yield pd.DataFrame(out, columns=names).astype({"trades_24h": "Int64"})
+        yield pd.DataFrame(out, columns=names).astype({"trades_1h": "Int64"})
 
     return events.groupBy("token_id").applyInPandasWithState(run, FEATURES, "ts array<double>, prices array<double>, sizes array<double>, bid double, ask double", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 

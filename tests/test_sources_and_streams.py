@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pandas as pd
 
@@ -48,9 +49,11 @@ def test_empty_strategy_and_unknown_momentum(spark):
 def test_book_replay_marks_gaps(spark):
     schema = "asset_id string, exchange_time double, seq long, event_type string, side string, price double, size double, bids array<struct<price:double,size:double>>, asks array<struct<price:double,size:double>>"
     m = [("a", 1.0, 1, "snapshot", None, None, None, [(0.4, 5.0)], [(0.6, 5.0)]), ("a", 2.0, 5, "delta", "BUY", 0.45, 2.0, None, None), ("a", 3.0, 6, "snapshot", None, None, None, [(0.4, 1.0)], [(0.5, 1.0)])]
+    m += [("a", 4.0, None, "reconnect", None, None, None, None, None), ("a", 5.0, 7, "delta", "SELL", 0.5, 0.0, None, None), ("a", 6.0, 8, "book", None, None, None, [], []), ("a", 7.0, 9, "book", None, None, None, [(0.6, 3.0)], [(0.5, 1.0)])]
     got = books.replay(spark.createDataFrame(m, schema)).orderBy("exchange_time").collect()
-    assert [r["uncertain"] for r in got] == [False, True, False]
-    assert got[1]["best_bid"] == 0.45 and abs(got[2]["spread"] - 0.1) < 1e-12
+    assert [(r["exchange_time"], r["uncertain"]) for r in got] == [(1.0, False), (2.0, True), (3.0, False), (5.0, True), (7.0, False)]
+    assert got[1]["best_bid"] == 0.45 and got[1]["gaps"] == 1 and abs(got[2]["spread"] - 0.1) < 1e-12
+    assert got[3]["best_ask"] == 0.5 and got[4]["crossed"]  # a delta on an uncertain book changes nothing
 
 
 def test_scalars(spark):
@@ -69,19 +72,23 @@ def test_research_helpers():
     folds = research.purged_folds("2023-01-01", "2023-06-01")
     assert len(folds) == 3 and folds[1]["train_start"] == "2023-01-08"
     assert research.bootstrap_ci([1.0] * 5)["p_positive"] == 1.0
-    assert 0 < research.deflated_sharpe(0.2, 500, 10) < 1
-    assert research.pbo([1, 2, 3], [3, 2, 1]) == 0.5
+    assert 0 < research.deflated_sharpe(0.2, 500, 10) < 1e-100 and 0.4 < research.deflated_sharpe(1.3, 50, 10) < 0.6
+    assert research.pbo([1, 2, 3], [3, 2, 1]) == 1 / 3
     assert research.classify(40, 1.0, 2.0, 0.9, 1.0) == "robust_candidate"
 
 
 def test_streamed_features_equal_the_window(spark, tmp_path):
     raw = [json.dumps({"event_type": "last_trade_price", "asset_id": t, "price": str(0.40 + 0.01 * i), "size": str(10 + i), "timestamp": str(1_700_000_000_000 + i * 600_000), "side": "BUY"}) for i in range(12) for t in ("x", "y")]
     raw.append(json.dumps([{"event_type": "book", "asset_id": "x", "timestamp": "1699999999000", "bids": [{"price": "0.3", "size": "1"}], "asks": [{"price": "0.6", "size": "1"}]}]))
-    for k in range(3):  # three files, three micro-batches
-        (tmp_path / f"{k}.txt").write_text("\n".join(raw[-1:] + raw[k * 8 : k * 8 + 8]))
+    for k in range(3):  # three files, three micro-batches, in order of time
+        f = tmp_path / f"{k}.txt"
+        f.write_text("\n".join(raw[-1:] + raw[k * 8 : k * 8 + 8]))
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
     stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path))
-    q = live.live_features(live.parse_events(stream)).writeStream.format("memory").queryName("live_f").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = live.live_features(live.parse_events(stream), expire=False).writeStream.format("memory").queryName("live_f").outputMode("append").trigger(availableNow=True).start()
+    ended = q.awaitTermination(120)
+    q.stop()
+    assert ended
     got = spark.table("live_f").toPandas().sort_values(["token_id", "ts"])
     assert len(got) == 24 and got[got.token_id == "x"]["best_bid"].eq(0.3).all()
     batch = live.parse_events(spark.createDataFrame([(x,) for x in raw], "value string")).where("kind = 'trade'")
