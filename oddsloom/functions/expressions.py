@@ -130,9 +130,9 @@ def normal_side(raw: Column, default: str = "buy") -> Column:
     return F.when(s.isin("BUY", "B", "BID"), "buy").when(s.isin("SELL", "S", "ASK"), "sell").otherwise(default)
 
 
-def tp_sl_levels(entry: Column, atr: Column, k: float = 2.0, tp: float = 0.20, sl: float = 0.10) -> tuple[Column, Column]:
-    target = F.least(F.greatest(entry + k * atr, entry * (1 + tp)), F.lit(0.99))
-    return target, F.greatest(F.least(entry - k * atr, entry * (1 - sl)), F.lit(0.01))
+def tp_sl_levels(entry: Column, atr: Column, tp_atr: float = 2.0, sl_atr: float = 1.0, tp: float = 0.20, sl: float = 0.10) -> tuple[Column, Column]:
+    target = F.least(F.greatest(entry + tp_atr * atr, entry * (1 + tp)), F.lit(0.99))
+    return target, F.greatest(F.least(entry - sl_atr * atr, entry * (1 - sl)), F.lit(0.01))
 
 
 def queue_fill_probability(ahead: Column, through: Column, touch_fills: bool = False) -> Column:

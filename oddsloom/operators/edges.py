@@ -164,10 +164,28 @@ def equity_summary(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def simulate(df: DataFrame, strategies: list[Strategy], slip_bps: float = 0.0, category: str | None = None) -> DataFrame:
-    """Summary of every strategy's equity curve, all in one plan."""
-    curve = equity_curve(with_pnl(on_grid(df, strategies), slip_bps, category), ("label",))
-    return equity_summary(curve, ("label",))
+    """Summary of every strategy's equity curve, all in one plan. Rows meet the grid with what the curve needs alone."""
+    paid = with_pnl(df, slip_bps, category)
+    needed = [c for c in ("price_bucket", "volume_spike_1h_24h", "whale_ratio", "time_to_resolution_hours", "momentum_1h", "momentum_6h", "price_volume_divergence", "side") if c in df.columns]
+    matched = on_grid(paid.select("trade_id", "traded_at", "token_won", "pnl", "roi", *needed), strategies).select("label", "trade_id", "traded_at", "token_won", "pnl", "roi")
+    return equity_summary(equity_curve(matched, ("label",)), ("label",))
+
+
+def strategy_of(label: str) -> Strategy:
+    """The strategy that a label names."""
+    names = {"bucket=": "price_bucket", "spike>": "spike", "whale>": "whale", "ttr<": "ttr", "mom1h=": "momentum_1h", "mom6h=": "momentum_6h", "side=": "side"}
+    given: dict = {"side": None}
+    for part in [] if label == "all" else label.split(" AND "):
+        start = next((n for n in names if part.startswith(n)), None)
+        given |= {"divergence": True} if start is None else {names[start]: float(part[len(start) :]) if start[-1] in "<>" else part[len(start) :]}
+    return Strategy(**given)
+
+
+def persisting(oos: DataFrame, min_ev_pct: float = 0.0) -> list[Strategy]:
+    """Strategies of oos_edges' rows (a few) that persist with at least that expected value out of sample, best first."""
+    rows = oos.where(F.col("persists") & (F.col("test_ev_pct") >= min_ev_pct)).orderBy(F.desc("test_ev_pct"), "label").select("label").collect()
+    return [strategy_of(r["label"]) for r in rows]
 
 
 def coarse_grid() -> list[Strategy]:
-    return grid(buckets=X.PRICE_LABELS[3:8], spikes=(None, 1.5, 2.0), whales=(None, 2.0, 3.0), ttrs=(None, 24.0, 72.0), momentum_1h=("any", "pos"))
+    return grid(buckets=X.PRICE_LABELS[3:8], spikes=(None, 1.5, 2.0), whales=(None, 2.0, 3.0), ttrs=(None, 48.0, 72.0), momentum_1h=("any", "pos"))
