@@ -129,9 +129,9 @@ def all_or_nothing(spark, sf):
     return ticked(spark, sf, partial=False).select("asset_id", *r6("filled", "residual"))
 
 
-@query("x02_aggressive_fills", ROUNDED_SQL + "SELECT asset_id, round(round(filled * 0.07::DOUBLE * least(CASE WHEN avg_price > 0 THEN avg_price ELSE 0.5 END, 1) * (1 - least(CASE WHEN avg_price > 0 THEN avg_price ELSE 0.5 END, 1)),6), 6) AS fee, round(CASE WHEN filled > 0 AND avg_price > 0 THEN avg_price - asset_id % 9 / 50 END, 6) AS markout FROM g", "")
+@query("x02_aggressive_fills", ROUNDED_SQL + "SELECT asset_id, round(round(filled * 0.07::DOUBLE * least(CASE WHEN avg_price > 0 THEN avg_price ELSE 0.5 END, 1) * (1 - least(CASE WHEN avg_price > 0 THEN avg_price ELSE 0.5 END, 1)),6), 4) AS fee, round(CASE WHEN filled > 0 AND avg_price > 0 THEN avg_price - asset_id % 9 / 50 END, 6) AS markout FROM g", "")
 def aggressive(spark, sf):
-    return books.aggressive_fills(ticked(spark, sf), F.lit("buy"), "crypto", F.col("asset_id") % 9 / 50).select("asset_id", *r6("fee", "markout"))
+    return books.aggressive_fills(ticked(spark, sf), F.lit("buy"), "crypto", F.col("asset_id") % 9 / 50).select("asset_id", F.round(F.col("fee") + 3e-9, 4).alias("fee"), *r6("markout"))
 
 
 @query("x06_taker_executions", ROUNDED_SQL + """, r AS (SELECT *, CASE WHEN asset_id % 5 = 0 THEN 'uncertain_book' WHEN asset_id % 7000 > 5250 THEN 'stale_book' END AS reject FROM g)
