@@ -53,17 +53,23 @@ def names_other(name: str) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "parts", "other", "article", "linked", "_text")
+    __slots__ = ("path", "parts", "other", "article", "linked", "_text", "_words")
 
     def __init__(self, path: str, other: bool, article: bool):
         self.path, self.parts, self.other, self.article, self.linked, self._text = path, [], other, article, True, None
+        self._words: list[str] | None = None
 
     def text(self) -> str:
         """Of a block that is complete."""
         if self._text is None:
-            self._text = " ".join(unescape("".join(self.parts)).split())
+            self._words = unescape("".join(self.parts)).split()
+            self._text = " ".join(self._words)
         return self._text
 
+    def words(self) -> list[str]:
+        self.text()
+        return self._words
+
 
 def is_other(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OTHER_TAGS or tag == "header" and not in_article:
@@ -159,7 +165,7 @@ def tokens(events: list[tuple[str, Block | None]]) -> list[tuple[str, str]]:
         if block is None:
             out.append((tag, ""))
         else:
-            words = block.text().split()
+            words = block.words()
             if len(words) > 1:
                 out.append((f"{block.path} ", block.text()))
             out.extend((block.path, w) for w in words)
@@ -246,41 +252,43 @@ class Slots:
                     del within[within.index(f"{path}<{name}") :]
 
 
-def article_of(pages: list[list[tuple[str, Block | None]]], shared: set[tuple[str, str]]) -> tuple[set[str], str | None]:
-    """(skeleton, element): the template's tags that no page has twice, and the innermost container of it around the slot with the most words.
+def article_of(pages: list[list[tuple[str, Block | None]]], shared: set[tuple[str, str]]) -> tuple[list[Slots], str | None]:
+    """(slots of each page, element): of the template's tags that no page has twice, the innermost container around the slot with the most words.
 
     Words of links and of template text don't count; equal slots go to one in an article, then to the first by name.
     """
-    counts = [Counter(tag for tag, block in events if block is None) for events in pages]
-    skeleton = {t for t, text in shared if not text and not t.endswith(" ") and all(c.get(t, 0) <= 1 for c in counts)}
+    skeleton = {t for t, text in shared if not text}
+    for events in pages:
+        skeleton -= {t for t, n in Counter([tag for tag, block in events if block is None and tag in skeleton]).items() if n > 1}
+    slots = [Slots(events, skeleton) for events in pages]
     words: Counter[str] = Counter()
     around: dict[str, tuple[str, ...]] = {}
-    for events in pages:
-        for block, last, within in Slots(events, skeleton).found:
+    for page in slots:
+        for block, last, within in page.found:
             if not block.linked and not fixed(block, shared):
-                words[last] += len(block.text().split())
+                words[last] += len(block.words())
             around.setdefault(last, within)
     for slot, _ in sorted(words.items(), key=lambda x: (-x[1], not any(plain(t) in ARTICLE for t in around[x[0]]), x[0])):
         for tag in reversed(around[slot]):
             if plain(tag) in CONTAINERS:
-                return skeleton, tag
-    return skeleton, None
+                return slots, tag
+    return slots, None
 
 
 def fixed(b: Block, shared: set[tuple[str, str]]) -> bool:
     """Whether a block is template text, as a whole or word by word."""
     t = b.text()
-    return bool(t) and ((f"{b.path} ", t) in shared or all((b.path, w) in shared for w in t.split()))
+    return bool(t) and ((f"{b.path} ", t) in shared or all((b.path, w) in shared for w in b.words()))
 
 
 def main_texts(pages: list[str]) -> list[str]:
     """Text of each of some pages of one host. Equal pages count once for the template."""
     parsed = {p: parse(p) for p in pages}
     shared = template([tokens(events) for _, events in parsed.values()])
-    skeleton, element = article_of([events for _, events in parsed.values()], shared)
+    slots, element = article_of([events for _, events in parsed.values()], shared)
     texts = {}
-    for html, (blocks, events) in parsed.items():
-        own = [b for b, _, within in Slots(events, skeleton).found if element in within] if element else []
+    for (html, (blocks, _)), page in zip(parsed.items(), slots):
+        own = [b for b, _, within in page.found if element in within] if element else []
         some = [b for b in own if b.text() and not b.other]
         if not any(not fixed(b, shared) for b in some):  # no template, or a page without its slots: by tags alone
             free = [b for b in blocks if b.text() and not b.other]
