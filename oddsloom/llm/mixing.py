@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize
+from ._common import documents, fresh, materialize
 
 WEIGHTS = (3, 1, 2)  # of the sources by code point, null last, repeating
 SHARE = 1.5  # of all tokens
 MOST = 2  # copies
-STEPS = 60
+STEPS = 200
 TOLERANCE = 1e-7
 BUCKET = 1_000  # documents of a source that are rounded together
 
@@ -69,7 +69,9 @@ def multipliers(counts: DataFrame, most: int = MOST) -> DataFrame:
         state = materialize(bounded.select("source", moved.alias("lam"), "lo", "hi", "gap"), "dual")
         if (state.agg(F.max("gap")).first()[0] or 0.0) < TOLERANCE:
             break
-    return state.select("source", "lam")
+    else:
+        raise ArithmeticError(f"a source's rates are not within {TOLERANCE} of its target after {STEPS} steps")
+    return state.select("source", F.round("lam", 9).alias("lam"))  # so that the order of sums decides nothing
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -118,7 +120,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix has copies of it. An id's rows have the most copies of any of them."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Each document as often as the mix has copies of it. An id's rows have the most copies of any of them; null ids are one id."""
+    key, copies, copy = (fresh(docs.columns, c) for c in ("_id", "_copies", "_copy"))
+    mixed = mix(docs).groupBy("doc_id").agg(F.max("copies").alias(copies)).withColumnRenamed("doc_id", key)
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

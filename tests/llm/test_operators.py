@@ -574,3 +574,39 @@ def test_pipeline(spark):
         if name == "byte_bpe":
             assert n == before
         docs, before = out, n
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows and ids, empty tables and clashing columns in every stage."""
+    import corpus_pipeline
+
+    texts = [*ODD, " ".join(near_words(40, 1)), " ".join(near_words(40, 1)), "other text of its own"]
+    ids = [*range(len(ODD)), 50, 50, None]
+    names = ["_copies", "_copy", "_id", "id", "h", "_cut", "_span_h", "node"]
+    docs = frame(spark, texts, ids)
+    docs = docs.withColumnsRenamed({"fingerprint": names[0], "words": names[1]}).selectExpr("*", *[f"7 as {n}" for n in names[2:]])
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, SF)
+        rows = out.collect()
+        assert f(spark, docs.where("false"), SF).count() == 0, name
+        if name == "byte_bpe":
+            assert len(rows) == len(texts)
+            continue
+        assert out.columns == docs.columns and {r["_copies"] for r in rows} <= {"clash"} and {r["id"] for r in rows} <= {7}, name
+        got = [r["doc_id"] for r in rows]
+        if name == "language_id":
+            assert sorted(x for x in got if x is not None) == [x for x in ids if x is not None and any(map(str.isalpha, texts[ids.index(x)] or ""))]
+        if name == "line_dedup":
+            assert None in got and 3 in got and 0 in got
+        if name == "simhash_near_dedup":
+            assert got.count(50) == 2 and None in got and got.count(4) == 1 and 5 not in got
+        if name == "source_mixing":
+            assert set(got) <= set(ids) and len(rows) <= 2 * len(texts) + 4
+
+
+def test_simhash_and_others_on_empty_tables(spark):
+    empty = frame(spark, [], [])
+    assert quality.quality(empty).count() == bpe.digests(empty).count() == licenses.scan(empty).count() == simhash.fingerprints(empty).count() == 0
+    twice = frame(spark, ["one two", "one two", None], [1, 1, None])
+    assert sorted((r["doc_id"] or 0, r["n_words"]) for r in quality.quality(twice).collect()) == [(0, 0), (1, 2), (1, 2)]
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.digests(twice).collect()) == [(0, 0), (1, 2), (1, 2)]
