@@ -8,9 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import edges, research
-from .plans import operations
-from .sources import lake
+from .operators import edges, outcome, research, swing
+from .plans import operations, reports
+from .sources import lake, sessions
+from .streaming import live
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,9 +51,62 @@ def parser() -> argparse.ArgumentParser:
     ready.add_argument("--coverage", required=True, help="JSON file")
     watch = command("watchdog-check", "exit code 0 only if collection is healthy")
     watch.add_argument("--runs", required=True, help="JSON file, a list of runs")
+    for name, about in {"build-outcome-lake": "canonical trades and features from Parquet trades and markets", "merge-expanded": "the same from a lake and further years, with fees"}.items():
+        x = command(name, about)
+        x.add_argument("--trades", nargs="+", required=True, help="Parquet; the first is the lake's")
+        x.add_argument("--markets", required=True)
+        x.add_argument("--out", required=True)
+    s = command("sweep-outcomes", "walk-forward sweep of the coarse grid over features with events")
+    s.add_argument("--features", required=True)
+    s.add_argument("--train-end", required=True)
+    s.add_argument("--out", required=True)
+    for name, about in {"paper-trade": "price-band profiles on a folder of captured frames", "swing-trade": "indicator profiles on a folder of Parquet bars"}.items():
+        x = command(name, about)
+        x.add_argument("--input", required=True)
+        x.add_argument("--out", required=True)
+    c = command("compact-day", "archive of a day's sessions; exit code 0 only if all are valid")
+    c.add_argument("--sessions", required=True)
+    c.add_argument("--date", required=True)
+    c.add_argument("--out", required=True)
+    command("diagnostics", "checks of one session; exit code 0 only if they pass").add_argument("--session", required=True)
     return out
 
 
+def finish(rows: DataFrame, out: str) -> None:
+    """Run a finite stream to its end, with its state beside its output."""
+    query = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}_state").start(out, format="parquet")
+    query.awaitTermination()
+
+
+def research_command(spark: SparkSession, a: argparse.Namespace) -> int:
+    read = spark.read.parquet
+    if a.command in ("build-outcome-lake", "merge-expanded"):
+        first, *years = map(read, a.trades)
+        trades, made = outcome.merge_lakes(first, years, read(a.markets)) if a.command == "merge-expanded" else outcome.canonical(first, read(a.markets))
+        trades.write.mode("overwrite").parquet(f"{a.out}/trades")
+        made.write.mode("overwrite").parquet(f"{a.out}/features")
+        print(json.dumps({"trades": read(f"{a.out}/trades").count(), "features": read(f"{a.out}/features").count()}))
+    elif a.command == "sweep-outcomes":
+        got = outcome.sweep(read(a.features), a.train_end)
+        for name in ("attempts", "folds", "final"):
+            if name in got:
+                got[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
+        print(json.dumps({"status": got["status"], "reason": got.get("reason")}))
+        return 0 if got["status"] == "ok" else 1
+    elif a.command == "swing-trade":
+        finish(swing.swing_trade(spark.readStream.schema(read(a.input).schema).parquet(a.input)), a.out)
+        print(reports.dashboard([r.asDict() for r in reports.journal(read(a.out)).collect()]))  # a row a profile
+    elif a.command == "paper-trade":
+        finish(live.live_features(live.parse_events(spark.readStream.text(a.input)), expire=False), f"{a.out}_features")
+        finish(live.paper_trade(spark.readStream.schema(live.FEATURES).parquet(f"{a.out}_features")), a.out)
+        print(reports.dashboard([r.asDict() for r in reports.journal(read(a.out)).collect()]))  # a row a profile
+    else:
+        report = sessions.diagnostics(spark, a.session)
+        print(json.dumps(report, default=str))
+        return 0 if report["ok"] else 1
+    return 0
+
+
 def show(df: DataFrame) -> None:
     for row in df.toJSON().toLocalIterator():  # reports of a few rows
         print(row)
@@ -93,6 +147,12 @@ def main(argv: list[str] | None = None) -> int:
         verdict = operations.watchdog(json.loads(Path(a.runs).read_text()))
         print(json.dumps(verdict))
         return 0 if verdict["healthy"] else 1
+    if a.command == "compact-day":
+        done = sessions.bundle_day(a.sessions, a.date, a.out)
+        print(json.dumps(done))
+        return 0 if done["ok"] else 1
+    if a.command in ("build-outcome-lake", "merge-expanded", "sweep-outcomes", "swing-trade", "paper-trade", "diagnostics"):
+        return research_command(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), a)
     run(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), a)
     return 0
 

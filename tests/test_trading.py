@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from oddsloom import cli
 from oddsloom.operators import edges, outcome, research, swing
 from oddsloom.plans import catalog, reports
 from oddsloom.sources import sessions
@@ -138,3 +139,24 @@ def test_catalogue_and_settings(spark):
     assert reports.oos_table([{"label": "l", "train_n": 3, "train_ev_pct": 1.0, "test_n": None, "test_ev_pct": 2.0, "ev_decay": 0.5, "persists": True}]).count("|") == 12
     s = edges.Strategy("0.40-0.50", 2.0, None, 48.0, "pos", side="BUY")
     assert edges.strategy_of(s.label()) == s and edges.strategy_of("all") == edges.Strategy(side=None)
+
+
+def test_commands(spark, tmp_path, capsys):
+    t = [(f"t{i}", "c1" if i % 2 else "c2", str(11 + i % 2), "h", "BUY", 0.4, 2.0, 0.8, 1_700_000_000 + 60 * i) for i in range(30)]
+    df = spark.createDataFrame(t, "trade_id string, condition_id string, token_id string, tx_hash string, side string, price double, size double, notional double, s long").withColumn("traded_at", F.timestamp_seconds("s")).drop("s")
+    df.write.parquet(str(tmp_path / "trades"))
+    m = [("c1", "e1", '["12","13"]', '["1","0"]', "2023-12-01"), ("c2", "e2", '["11","14"]', '["0.5","0.5"]', "2023-12-01")]
+    spark.createDataFrame(m, "condition_id string, event_id string, clob_token_ids string, outcome_prices string, end_date string").write.parquet(str(tmp_path / "markets"))
+    where = ["--trades", str(tmp_path / "trades"), "--markets", str(tmp_path / "markets")]
+    assert cli.main(["build-outcome-lake", *where, "--out", str(tmp_path / "lake")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"trades": 15, "features": 15}
+    assert cli.main(["merge-expanded", *where[:2], str(tmp_path / "trades"), *where[2:], "--out", str(tmp_path / "merged")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"trades": 30, "features": 30}
+    assert spark.read.parquet(str(tmp_path / "merged" / "features")).where("event_id is null").count() == 0
+    assert cli.main(["sweep-outcomes", "--features", str(tmp_path / "lake" / "features"), "--train-end", "2023-11-14", "--out", str(tmp_path / "sweep")]) == 1
+    (tmp_path / "in").mkdir()
+    frames = [{"event_type": "last_trade_price", "asset_id": "a", "market": "m", "price": str(p), "size": "10", "timestamp": str(1_700_000_000 + i * 100)} for i, p in enumerate((0.30, 0.35, 0.5))]
+    (tmp_path / "in" / "e.txt").write_text("\n".join(map(json.dumps, frames)))
+    assert cli.main(["paper-trade", "--input", str(tmp_path / "in"), "--out", str(tmp_path / "paper")]) == 0
+    assert "profiles" in capsys.readouterr().out
+    assert cli.main(["compact-day", "--sessions", str(tmp_path / "none"), "--date", "2024-01-10", "--out", str(tmp_path / "o")]) == 1
