@@ -30,9 +30,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 KEPT = 64 << 20  # bytes of the matches and their ids that a worker keeps
-BLOCK = 1 << 21  # characters of the texts that are encoded together
-WORDS = 30_000  # matches of a recursive query
-DATABASE = "250MB"  # most memory of a worker's DuckDB
+BLOCK = 1 << 20  # characters of the texts that are encoded together
+WORDS = 10_000  # matches of a recursive query
+DATABASE = "150MB"  # most memory of a worker's DuckDB
 
 # nxt: the place of the next token in the word, or -1. Rows are sorted by word and place, so the next row is the next token; an error says if it is not.
 # c: places of the word's least pair; follows: it begins where the one before ends. k: every other place of a run of these, from its first.

@@ -22,7 +22,7 @@ from ._common import documents
 
 SAMPLE_TEXTS = 24  # labelled texts that an automaton is made of, in expectation; whole ones
 PIECE = 512  # characters that are parsed in step with other pieces
-BLOCK = 1 << 22  # characters of the texts that are parsed together
+BLOCK = 1 << 20  # characters of the texts that are parsed together, at some 50 bytes each
 HELD_OUT = 2
 
 
