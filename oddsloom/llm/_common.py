@@ -28,6 +28,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts that go to Python workers and back, in the session; what it has set itself stays."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with as many underscores before it as it takes to clash with none of columns, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's White_Space, which the pattern's \s stands for.
@@ -200,6 +200,7 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, finis
                     gc.enable()
                 yield out.astype({"_id": "Int64"})
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, f"_id long, {schema}").withColumnRenamed("_id", id_col)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, text_batches
 
 SAMPLE_TEXTS = 24  # labelled texts that an automaton is made of, in expectation; whole ones
 PIECE = 512  # characters that are parsed in step with other pieces
@@ -268,6 +268,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     isn't held out; repeated rows each keep their row; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     given = spark.sparkContext.broadcast(train(spark, sample_of(docs, id_col, text_col, lang_col) if sample is None else sample))  # some 50 bytes a sampled character
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,6 +289,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (und: null, empty or letterless texts) go; all others stay as they are. Where no language was learned, all stay."""
+    text_batches(spark)
     parser = train(spark, sample_of(docs, "doc_id", "text", "lang"))
     if not parser.languages:
         return docs

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, fresh, join_hot, materialize
+from ._common import documents, fresh, join_hot, materialize, text_batches
 
 MIN_WORDS = 3  # of a repeated run; shorter ones, such as a closing bracket or a single word, stay unless they are part of a longer one
 
@@ -79,6 +79,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = rows.pop("n").to_numpy(dtype=np.int64)
                 yield pd.concat([block[["id", "h"]].iloc[n].reset_index(drop=True), rows], axis=1)
 
+    text_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("_text")).where("_text is not null")
     lines = materialize(given.mapInPandas(run, "id long, h long, i int, a long, b long, ahead int, back int"), "lines")
     first = materialize(placed(materialize(lines.dropDuplicates(["id", "h", "i"]), "different_lines"), ["a", "b"], 0), "suffixes0")

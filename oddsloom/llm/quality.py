@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, text_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -164,6 +164,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 
     schema = "_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
     names = [x.split()[0] for x in schema.split(", ")]
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, schema).withColumnRenamed("_id", id_col)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, documents, materialize
+from ._common import connected_components, documents, materialize, text_batches
 
 BITS = 64
 CHUNK = 11  # bits of a histogram; 2 ** CHUNK counts each
@@ -329,6 +329,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>")
 
+    text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = materialize(sets(given, context.broadcast(np.zeros(0, np.uint64))), "shingle_prefixes")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first")).select("node", "first.*"), "shingle_nodes")
