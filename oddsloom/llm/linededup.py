@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = later_copies(docs, id_col, text_col, min_words).groupBy("id", "h").agg(F.collect_list("start").alias(starts), F.collect_list("size").alias(sizes))
     spans = spans.withColumnsRenamed({"id": sid, "h": sh})
     joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(sid)) & (F.xxhash64(F.col(text_col)) == F.col(sh)), "left")
-    out = joined.withColumn(cut, F.pandas_udf(cut_text, "text string, n_lines long, n_deleted long")(F.col(text_col), F.col(starts), F.col(sizes)))
+    once = F.pandas_udf(cut_text, "text string, n_lines long, n_deleted long").asNondeterministic()  # so that a filter of what it gives doesn't run it again
+    out = joined.withColumn(cut, once(F.col(text_col), F.col(starts), F.col(sizes)))
     others = [F.col(f"{cut}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("_n_lines", "_n_deleted")]
     return out.select(*others, F.col(f"{cut}.n_lines").alias("_n_lines"), F.col(f"{cut}.n_deleted").alias("_n_deleted"))
 
