@@ -10,7 +10,9 @@ groups: what is left of tau is allocated over these, down to whole fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ SEED = 42
 SHINGLE = 5  # words of a shingle in the pipeline's stage
 LEAST = (4, 5)  # least Jaccard similarity there
 CELL = 1.02  # ratio of the sizes that bound a cell of sizes
+WORDS = 16  # 64-bit words of a set's parities
 COMMON = 32  # different texts that a shingle must be met in to be compared last
 
 
@@ -293,6 +296,15 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[-n:] - 1).tolist())], dtype=np.uint64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of 64 * WORDS cells that a set's shingles are dealt into, whether each holds an odd number, as bits.
+
+    A shingle that one of two sets lacks changes one bit, so two sets differ in as many shingles as bits, or more.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set, those in common last: of two sets with a Jaccard similarity of LEAST or more, these share one."""
     num, den = LEAST
@@ -309,7 +321,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id of the class. Equal sets are one class, so all wordless and null texts are one. A row
     with a null id is in no class. Every such pair is found or joined by a chain: each set is met by its prefix, and what
     meets is compared by whole sets. Of a bucket with over BUCKET sets, all are first compared with four of them, and
-    then only those that no chain joins yet, by cells of the sizes that they can be similar to.
+    then only those that no chain joins yet, by cells of the sizes that they can be similar to, and by their parities, which
+    tell apart those that surely differ in too many shingles.
     """
     num, den = LEAST
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("_text"))
@@ -325,15 +338,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out["node"] = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in whole], dtype=np.uint64).view(np.int64)
                 out["n"] = [len(x) for x in whole]
                 out["shingles"] = [(prefix(x, common) if known else x).view(np.int64) for x in whole]
+                if known:
+                    out["bits"] = [parities(x) for x in whole]
                 yield out
 
-        return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>")
+        return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>" + ", bits array<long>" * bool(known))
 
     text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = materialize(sets(given, context.broadcast(np.zeros(0, np.uint64))), "shingle_prefixes")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first")).select("node", "first.*"), "shingle_nodes")
-    one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles"), "prefixes")
+    one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles", "bits"), "prefixes")
     listed = one.select("node", F.explode("shingles").alias("s"))
     common = materialize(listed.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")
     hot = np.array([r["s"] for r in common.collect()], dtype=np.int64).view(np.uint64)  # a COMMON-th of the shingles in prefixes at most
@@ -341,7 +356,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         again = materialize(listed.join(common, "s", "left_semi").select("node").distinct(), "met_common")
         texts = materialize(nodes.join(again, "node", "left_semi").select("id", "h"), "texts_again")
         changed = sets(given.join(texts, ["id", "h"], "left_semi"), context.broadcast(np.sort(hot))).dropDuplicates(["node"])
-        one = one.join(again, "node", "left_anti").unionByName(materialize(changed.select("node", "n", "shingles"), "prefixes_again"))
+        one = one.join(again, "node", "left_anti").unionByName(materialize(changed.select("node", "n", "shingles", "bits"), "prefixes_again"))
     heads = one.select("node", "n", F.size("shingles").alias("p"), F.posexplode("shingles").alias("pos", "s"))
     met = materialize(heads.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "met")
     heads = materialize(heads.join(met, "s"), "heads")
@@ -369,16 +384,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         Common shingles come last, so sets of which much is their own meet few others: the join is by bucket and cells of
         both sizes.
         """
+        part = part.join(one.select("node", "bits"), "node")
         rest = F.col("n") - F.col("pos")
         larger = part.withColumns({"low": F.ceil(F.col("n") * num / den), "high": F.least(F.col("n"), F.floor(((num + den) * rest - num * F.col("n")) / num))})
         smaller = part.withColumns({"low": F.col("n"), "high": F.least(F.floor(F.col("n") * den / num), F.floor(((num + den) * rest - num * F.col("n")) / num))})
         sides = []
         for w, side in (("u", larger), ("v", smaller)):
             side = side.where("low <= high").withColumns({f"own_{w}": cell(F.col("n")), f"other_{w}": F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))})
-            sides.append(side.select(F.col("s").alias(f"s_{w}"), F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "pos", "c")], f"own_{w}", f"other_{w}"))
+            sides.append(side.select(F.col("s").alias(f"s_{w}"), F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "pos", "c", "bits")], f"own_{w}", f"other_{w}"))
         on = (F.col("s_u") == F.col("s_v")) & (F.col("own_u") == F.col("other_v")) & (F.col("other_u") == F.col("own_v"))
         left = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
-        return sides[0].join(sides[1], on).where((F.col("c_u") != F.col("c_v")) & alike & enough(left)).select("u", "v").distinct()
+        differ = reduce(add, [F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)])
+        near = (num + den) * differ <= (den - num) * (F.col("n_u") + F.col("n_v"))
+        return sides[0].join(sides[1], on).where((F.col("c_u") != F.col("c_v")) & alike & enough(left) & near).select("u", "v").distinct()
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of (u, v), those with similar sets."""
