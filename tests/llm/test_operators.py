@@ -610,3 +610,13 @@ def test_simhash_and_others_on_empty_tables(spark):
     twice = frame(spark, ["one two", "one two", None], [1, 1, None])
     assert sorted((r["doc_id"] or 0, r["n_words"]) for r in quality.quality(twice).collect()) == [(0, 0), (1, 2), (1, 2)]
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.digests(twice).collect()) == [(0, 0), (1, 2), (1, 2)]
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 40, 900, 5000):
+        base = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(base[rng.random(n) < 0.9]), np.unique(base[rng.random(n) < 0.9])
+        bits = sum(int(x).bit_count() for x in (simhash.parities(a) ^ simhash.parities(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+        assert not (simhash.parities(a) ^ simhash.parities(a)).any()
