@@ -306,11 +306,13 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, those in common last: of two sets with a Jaccard similarity of LEAST or more, these share one."""
+    """The first shingles of a set, those in common (ascending) last: of two sets with a Jaccard similarity of LEAST or more, these share one."""
     num, den = LEAST
     size = len(hashes) - -(-num * len(hashes) // den) + 1 if len(hashes) else 0
     if len(common):
-        hashes = hashes[np.argsort(np.isin(hashes, common), kind="stable")]
+        at = np.searchsorted(common, hashes)  # not np.isin, which sorts all of common anew for each set
+        last = common[np.minimum(at, len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
     return hashes[:size]
 
 

@@ -620,3 +620,17 @@ def test_parities_never_exceed_the_difference():
         bits = sum(int(x).bit_count() for x in (simhash.parities(a) ^ simhash.parities(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b))
         assert not (simhash.parities(a) ^ simhash.parities(a)).any()
+
+
+def test_prefix_with_very_many_common_shingles():
+    import time
+
+    rng = np.random.default_rng(2)
+    common = np.unique(rng.integers(0, 2**63, 300_000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 400).astype(np.uint64), rng.choice(common, 40)])) for _ in range(100)]
+    began = time.process_time()
+    got = [simhash.prefix(x, common) for x in sets]
+    assert time.process_time() - began < 2  # 9 s where each set sorts all of common
+    for x, p in list(zip(sets, got))[:3]:
+        assert p.tolist() == sorted(x.tolist(), key=lambda s: (s in set(common[np.searchsorted(common, x) % len(common)].tolist()), s))[: len(p)]
+    assert simhash.prefix(sets[0][:0], common).size == 0 and simhash.prefix(common[-3:], common[:5]).tolist() == common[-3:-2].tolist()
