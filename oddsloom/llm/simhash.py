@@ -31,6 +31,7 @@ LEAST = (4, 5)  # least Jaccard similarity there
 CELL = 1.02  # ratio of the sizes that bound a cell of sizes
 WORDS = 16  # 64-bit words of a set's parities
 COMMON = 32  # different texts that a shingle must be met in to be compared last
+MARKS = 1 << 24  # bits of the map that tells which texts to read again
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -316,6 +317,15 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[:size]
 
 
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of rows (id, h, ...) those whose (id, h) is in keys, and a few others, by a map of MARKS bits: whole texts aren't shuffled for it."""
+    mark = F.pmod(F.xxhash64("id", "h"), F.lit(MARKS))
+    place = [F.shiftright("mark", 6).alias("place"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit")]
+    marks = keys.select(mark.alias("mark")).select(*place).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    marks = F.broadcast(materialize(marks, "marks"))  # MARKS / 64 rows at most
+    return rows.select("*", mark.alias("mark")).select(*rows.columns, *place).join(marks, "place").where("bits & bit <> 0").select(*rows.columns)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, h, component_id), a row for each different id and h, the hash of a text: its class under chains of texts whose
     sets of word shingles have a Jaccard similarity of LEAST or more.
@@ -351,14 +361,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(sets(given, context.broadcast(np.zeros(0, np.uint64))), "shingle_prefixes")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first")).select("node", "first.*"), "shingle_nodes")
     one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles", "bits"), "prefixes")
+    known_bits = one.select("node", "n", "bits")
     listed = one.select("node", F.explode("shingles").alias("s"))
     common = materialize(listed.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")
     hot = np.array([r["s"] for r in common.collect()], dtype=np.int64).view(np.uint64)  # a COMMON-th of the shingles in prefixes at most
     if len(hot):
         again = materialize(listed.join(common, "s", "left_semi").select("node").distinct(), "met_common")
         texts = materialize(nodes.join(again, "node", "left_semi").select("id", "h"), "texts_again")
-        changed = sets(given.join(texts, ["id", "h"], "left_semi"), context.broadcast(np.sort(hot))).dropDuplicates(["node"])
-        one = one.join(again, "node", "left_anti").unionByName(materialize(changed.select("node", "n", "shingles", "bits"), "prefixes_again"))
+        changed = sets(marked(given, texts), context.broadcast(np.sort(hot))).dropDuplicates(["node"])
+        changed = materialize(changed.select("node", "n", "shingles"), "prefixes_again")  # where nothing common was met, as before
+        one = one.select("node", "n", "shingles").join(changed.select("node"), "node", "left_anti").unionByName(changed)
     heads = one.select("node", "n", F.size("shingles").alias("p"), F.posexplode("shingles").alias("pos", "s"))
     met = materialize(heads.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "met")
     heads = materialize(heads.join(met, "s"), "heads")
@@ -366,6 +378,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = materialize(heads.groupBy("node").agg(F.count("*").alias("t")), "met_by_node")  # t: shingles of the prefix that another prefix has
     cell = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(CELL)) + 1e-9).cast("int")
     enough = lambda shared: (num + den) * shared >= num * (F.col("n_u") + F.col("n_v"))
+    differ = reduce(add, [F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)])
+    near = (num + den) * differ <= (den - num) * (F.col("n_u") + F.col("n_v"))
     alike = (den * F.col("n_v") >= num * F.col("n_u")) & ((F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") < F.col("u"))))
 
     def small_pairs(part: DataFrame) -> DataFrame:
@@ -386,7 +400,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         Common shingles come last, so sets of which much is their own meet few others: the join is by bucket and cells of
         both sizes.
         """
-        part = part.join(one.select("node", "bits"), "node")
+        part = part.join(known_bits.select("node", "bits"), "node")
         rest = F.col("n") - F.col("pos")
         larger = part.withColumns({"low": F.ceil(F.col("n") * num / den), "high": F.least(F.col("n"), F.floor(((num + den) * rest - num * F.col("n")) / num))})
         smaller = part.withColumns({"low": F.col("n"), "high": F.least(F.floor(F.col("n") * den / num), F.floor(((num + den) * rest - num * F.col("n")) / num))})
@@ -396,15 +410,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sides.append(side.select(F.col("s").alias(f"s_{w}"), F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "pos", "c", "bits")], f"own_{w}", f"other_{w}"))
         on = (F.col("s_u") == F.col("s_v")) & (F.col("own_u") == F.col("other_v")) & (F.col("other_u") == F.col("own_v"))
         left = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
-        differ = reduce(add, [F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)])
-        near = (num + den) * differ <= (den - num) * (F.col("n_u") + F.col("n_v"))
         return sides[0].join(sides[1], on).where((F.col("c_u") != F.col("c_v")) & alike & enough(left) & near).select("u", "v").distinct()
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Of (u, v), those with similar sets."""
-        pairs = materialize(pairs.distinct(), "candidates")
+        """Of (u, v), those with similar sets. Parities tell most others apart before texts are read again for whole sets."""
+        ends = [known_bits.select(F.col("node").alias(w), F.col("n").alias(f"n_{w}"), F.col("bits").alias(f"bits_{w}")) for w in "uv"]
+        pairs = materialize(pairs.distinct().join(ends[0], "u").join(ends[1], "v").where(near).select("u", "v"), "candidates")
         texts = materialize(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("id", "h"), "texts")
-        whole = materialize(sets(given.join(texts, ["id", "h"], "left_semi")).dropDuplicates(["node"]).select("node", "n", "shingles"), "shingle_sets")
+        whole = materialize(sets(marked(given, texts).join(texts, ["id", "h"], "left_semi")).dropDuplicates(["node"]).select("node", "n", "shingles"), "shingle_sets")
         a = whole.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("shingles").alias("x"))
         b = whole.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))

@@ -634,3 +634,34 @@ def test_prefix_with_very_many_common_shingles():
     for x, p in list(zip(sets, got))[:3]:
         assert p.tolist() == sorted(x.tolist(), key=lambda s: (s in set(common[np.searchsorted(common, x) % len(common)].tolist()), s))[: len(p)]
     assert simhash.prefix(sets[0][:0], common).size == 0 and simhash.prefix(common[-3:], common[:5]).tolist() == common[-3:-2].tolist()
+
+
+def test_similar_texts_shuffle_no_texts(spark, monkeypatch):
+    """Where tables are too large to be broadcast, only marked texts are read again; parities tell sets apart before."""
+    plans, sizes, keep = [], {}, simhash.materialize
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        out = keep(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    texts = [" ".join(near_words(200, s)) for s in range(40)]
+    texts += [" ".join([*t.split()[:100], "edit", *t.split()[101:]]) for t in texts[:3]]
+    texts += [" ".join(near_words(150, 900) + near_words(200, 950 + s)) for s in range(30)]  # alike in much, but not enough
+    df = frame(spark, texts)
+    rows = df.selectExpr("doc_id as id", "xxhash64(text) as h", "text")
+    assert {r["id"] for r in simhash.marked(rows, rows.where("id % 7 = 3").select("id", "h")).collect()} == {i for i in range(len(texts)) if i % 7 == 3}
+    monkeypatch.setattr(simhash, "COMMON", 3)
+    monkeypatch.setattr(simhash, "materialize", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i - 40 if 40 <= i < 43 else i for i in range(len(texts))}
+    again = [p for name, p in plans if name in ("prefixes_again", "shingle_sets")]
+    assert len(again) > 1 and all("BroadcastHashJoin" in p for p in again)
+    assert all("SortMergeJoin" not in p for name, p in plans if name == "prefixes_again")
+    assert sizes["candidates"] < 10
