@@ -28,6 +28,7 @@ BUCKET = 32  # indexed members of a bucket that are compared with each that meet
 SEED = 42
 SHINGLE = 5  # words of a shingle in the pipeline's stage
 LEAST = (4, 5)  # least Jaccard similarity there
+RADIUS = 3  # bits that fingerprints differ in at most, where the bit groups search for similar sets there
 CELL = 1.02  # ratio of the sizes that bound a cell of sizes
 WORDS = 16  # 64-bit words of a set's parities
 COMMON = 32  # different texts that a shingle must be met in to be compared last
@@ -40,17 +41,24 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer words than a shingle: the whole
     sequence is the one shingle. No words, or null: 0.
     """
+    return majority(shingle_hashes(text, shingle))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles in their order, by the rules of fingerprint; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    stops = np.cumsum(sizes)
-    starts = (stops - sizes)[:n].tolist()
-    stops = (stops[-n:] - 1).tolist()
+        return np.zeros(0, np.uint64)
+    n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], stops[: n - 1]]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[-n:] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    n = len(hashes)
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 1 << 15):
         block = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -287,14 +295,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Hashes of a text's different word shingles, ascending, by the rules of fingerprint; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], stops[: n - 1]]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[-n:] - 1).tolist())], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -326,13 +327,28 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("*", mark.alias("mark")).select(*rows.columns, *place).join(marks, "place").where("bits & bit <> 0").select(*rows.columns)
 
 
+def fingerprint_pairs(sets: DataFrame, tau: int = RADIUS) -> DataFrame:
+    """(u, v): nodes of sets (node, fp) whose fingerprints differ in tau bits or fewer, by the index of bit groups.
+
+    Of nodes with one fingerprint, the least stands for all: it is in a pair with each of them, and in those with others.
+    """
+    least = materialize(sets.groupBy("fp").agg(F.min("node").alias("node")), "distinct_fingerprints")
+    same = sets.join(least.withColumnRenamed("node", "u"), "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    near = close_pairs(least.select("fp"), make_plan(least, tau))
+    for w in "uv":
+        near = near.join(least.select(F.col("fp").alias(w), F.col("node").alias(f"node_{w}")), w)
+    return same.unionByName(near.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct())
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, h, component_id), a row for each different id and h, the hash of a text: its class under chains of texts whose
     sets of word shingles have a Jaccard similarity of LEAST or more.
 
     component_id is the smallest id of the class. Equal sets are one class, so all wordless and null texts are one. A row
-    with a null id is in no class. Every such pair is found or joined by a chain: each set is met by its prefix, and what
-    meets is compared by whole sets. Of a bucket with over BUCKET sets, all are first compared with four of them, and
+    with a null id is in no class. SimHash comes first: sets whose fingerprints (of different shingles, each once) are
+    within RADIUS bits are compared by whole sets, which makes classes. Similar sets can be further apart, and the rest is
+    exact: every such pair is found or joined by a chain, as each set is met by its prefix, and what meets and is in no
+    class yet is compared by whole sets. Of a bucket with over BUCKET sets, all are first compared with four of them, and
     then only those that no chain joins yet, by cells of the sizes that they can be similar to, and by their parities, which
     tell apart those that surely differ in too many shingles.
     """
@@ -352,16 +368,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out["shingles"] = [(prefix(x, common) if known else x).view(np.int64) for x in whole]
                 if known:
                     out["bits"] = [parities(x) for x in whole]
+                    out["fp"] = np.array([majority(x) for x in whole], dtype=np.uint64).view(np.int64)
                 yield out
 
-        return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>" + ", bits array<long>" * bool(known))
+        return rows.mapInPandas(run, "id long, h long, node long, n int, shingles array<long>" + ", bits array<long>, fp long" * bool(known))
 
     text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = materialize(sets(given, context.broadcast(np.zeros(0, np.uint64))), "shingle_prefixes")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first")).select("node", "first.*"), "shingle_nodes")
-    one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles", "bits"), "prefixes")
-    known_bits = one.select("node", "n", "bits")
+    one = materialize(rows.dropDuplicates(["node"]).select("node", "n", "shingles", "bits", "fp"), "prefixes")
+    known_bits = one.select("node", "n", "bits", "fp")
     listed = one.select("node", F.explode("shingles").alias("s"))
     common = materialize(listed.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")
     hot = np.array([r["s"] for r in common.collect()], dtype=np.int64).view(np.uint64)  # a COMMON-th of the shingles in prefixes at most
@@ -383,14 +400,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = (den * F.col("n_v") >= num * F.col("n_u")) & ((F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") < F.col("u"))))
 
     def small_pairs(part: DataFrame) -> DataFrame:
-        """Pairs (u, v) of a bucket in part whose sets can be similar by their sizes and by what their prefixes share.
+        """Pairs (u, v) of a bucket in part, of two classes, whose sets can be similar by their sizes and by what their prefixes share.
 
         A shared shingle is in both prefixes, or beyond the one that ends first.
         """
-        here = materialize(part.groupBy("node").agg(F.count("*").alias("k")).join(known, "node").select("node", (F.col("t") - F.col("k")).alias("o")), "elsewhere")
+        here = part.groupBy("node").agg(F.count("*").alias("k")).join(known, "node").join(label, "node", "left")
+        here = materialize(here.select("node", (F.col("t") - F.col("k")).alias("o"), F.coalesce("component", "node").alias("c")), "elsewhere")
         part = materialize(part.join(here, "node"), "sides")
-        sides = [part.select("s", F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "p", "o")]) for w in "uv"]
-        both = sides[0].join(sides[1], "s").where(alike).groupBy("u", "v", "n_u", "n_v", "p_u", "p_v", "o_u", "o_v").agg(F.count("*").alias("shared"))
+        sides = [part.select("s", F.col("node").alias(w), *[F.col(c).alias(f"{c}_{w}") for c in ("n", "p", "o", "c")]) for w in "uv"]
+        both = sides[0].join(sides[1], "s").where((F.col("c_u") != F.col("c_v")) & alike).groupBy("u", "v", "n_u", "n_v", "p_u", "p_v", "o_u", "o_v").agg(F.count("*").alias("shared"))
         return both.where(enough(F.col("shared") + F.least("o_u", "o_v") + F.greatest(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")))).select("u", "v")
 
     def large_pairs(part: DataFrame) -> DataFrame:
@@ -428,7 +446,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_own = F.struct(F.col("t") - F.col("p"), "node")  # the set with the fewest shingles that it has alone
     pivots = large.join(known, "node").groupBy("s").agg(F.array(F.min("node"), F.max_by("node", least_own), F.min_by("node", order), F.max_by("node", order)).alias("pivots"))
     stars = large.join(materialize(pivots, "pivots"), "s").select(F.col("node").alias("v"), F.explode("pivots").alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = close(small_pairs(small).unionByName(stars))
+    found = close(fingerprint_pairs(known_bits.select("node", "fp")))
+    label = materialize(connected_components(found), "labels")
+    found = found.unionByName(close(small_pairs(small).unionByName(stars)))
     label = materialize(connected_components(found), "labels")
     left = large.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     split = left.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
