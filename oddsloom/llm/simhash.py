@@ -28,7 +28,7 @@ BUCKET = 32  # indexed members of a bucket that are compared with each that meet
 SEED = 42
 SHINGLE = 5  # words of a shingle in the pipeline's stage
 LEAST = (4, 5)  # least Jaccard similarity there
-RADIUS = 3  # bits that fingerprints differ in at most, where the bit groups search for similar sets there
+RADIUS = 2  # bits that fingerprints differ in at most, where the bit groups search for similar sets there
 CELL = 1.02  # ratio of the sizes that bound a cell of sizes
 WORDS = 16  # 64-bit words of a set's parities
 COMMON = 32  # different texts that a shingle must be met in to be compared last

@@ -668,27 +668,27 @@ def test_similar_texts_shuffle_no_texts(spark, monkeypatch):
 
 
 def test_similar_texts_by_fingerprints_first(spark, monkeypatch):
-    """The bit groups find all sets within RADIUS bits; what lies further apart is found all the same."""
-    rng = np.random.default_rng(5)
+    """The bit groups find all sets within a radius; what lies further apart is found all the same."""
+    rng, radius = np.random.default_rng(5), 3
     fps = [int(x) for x in rng.integers(0, 1 << 62, 60)]
     fps += [f ^ sum(1 << int(b) for b in rng.choice(62, k % 6, replace=False)) for k, f in enumerate(fps)]  # 0 to 5 bits apart
     least = {}
     for node, f in enumerate(fps):
         least.setdefault(f, node)
     want = {(least[f], node) for node, f in enumerate(fps) if least[f] != node}
-    want |= {(least[a], least[b]) for a in least for b in least if least[a] < least[b] and (a ^ b).bit_count() <= simhash.RADIUS}
+    want |= {(least[a], least[b]) for a in least for b in least if least[a] < least[b] and (a ^ b).bit_count() <= radius}
     sets = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
-    assert {tuple(r) for r in simhash.fingerprint_pairs(sets).collect()} == want and len(want) >= 40
+    assert {tuple(r) for r in simhash.fingerprint_pairs(sets, radius).collect()} == want and len(want) >= 40
 
     texts = [" ".join(near_words(300, s)) for s in range(12)]
     texts += [" ".join([*t.split()[:-k], *["edit"] * k]) for t in texts for k in (1, 30)]
     sets = [simhash.shingle_set(t, 5) for t in texts]
     bits = [(simhash.majority(sets[i]) ^ simhash.majority(sets[12 + 2 * i + j])).bit_count() for i in range(12) for j in (0, 1)]
-    assert sum(b <= simhash.RADIUS for b in bits) > 8 and sum(b > simhash.RADIUS for b in bits) > 8
+    assert sum(b <= radius for b in bits) > 8 and sum(b > radius for b in bits) > 8
     found, keep, pairs = [], simhash.connected_components, simhash.fingerprint_pairs
     monkeypatch.setattr(simhash, "connected_components", lambda edges: found.append(edges.count()) or keep(edges))
     label = {i: i if i < 12 else (i - 12) // 2 for i in range(len(texts))}
-    for each, n in ((pairs, sum(b <= simhash.RADIUS for b in bits)), (lambda *a: pairs(*a).where("false"), 0)):
+    for each, n in ((lambda x: pairs(x, radius), sum(b <= radius for b in bits)), (lambda *a: pairs(*a).where("false"), 0)):
         monkeypatch.setattr(simhash, "fingerprint_pairs", each)
         found.clear()
         assert {r["id"]: r["component_id"] for r in simhash.similar_texts(frame(spark, texts)).collect()} == label
