@@ -1,24 +1,26 @@
 """Byte-level BPE encoding and decoding with DuckDB's recursive queries, one database in each Python worker.
 
-Text is cut into units (white space, then what follows it), which no token crosses, and units into the pattern's
-matches. New matches go into a token-position table: each round joins neighbours with the merge table and contracts,
-in every word, the pair of least rank from its leftmost place on, until no pair is left. All of a word's places of
-that pair that don't overlap go in one round: a merge makes only pairs of higher ranks, as each token of the
-vocabulary is its own encoding, so the next rounds would take them anyhow. Decoding aggregates token bytes in order.
+A block of whole texts is cut into the pattern's matches by arrays of its characters' kinds, and matches are told
+apart by Arrow's dictionary encoding, so that no text is taken apart into Python strings. New matches go into a
+token-position table: each round joins neighbours with the merge table and contracts, in every word, the pair of least
+rank from its leftmost place on, until no pair is left. All of a word's places of that pair that don't overlap go in one
+round: a merge makes only pairs of higher ranks, as each token of the vocabulary is its own encoding, so the next
+rounds would take them anyhow. Decoding aggregates token bytes in order; a block's ids are decoded by rows of the
+vocabulary and must give its bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,12 @@ from ._common import documents, text_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Unicode's White_Space, which the pattern's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
-UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: What cuts() follows, and what it has after an apostrophe.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+LETTER, NUMBER, WHITE = 1, 2, 3  # kinds of characters; others have 0
 KEPT = 64 << 20  # bytes of the matches and their ids that a worker keeps
-BLOCK = 1 << 20  # characters of the texts that are encoded together
+BLOCK = 1 << 20  # bytes of the texts that are encoded together
 WORDS = 10_000  # matches of a recursive query
 DATABASE = "150MB"  # most memory of a worker's DuckDB
 
@@ -63,6 +68,25 @@ FROM tokens JOIN vocabulary ON tok = id GROUP BY w ORDER BY w
 """
 
 
+class Encoded(NamedTuple):
+    """Of several texts: where each one's tokens begin in the others, and the end; ids; ids in decimals with a space after each; bytes of each."""
+
+    at: np.ndarray
+    ids: np.ndarray
+    decimal: pa.Array
+    raw: pa.Array
+
+
+def places(strings: pa.Array) -> np.ndarray:
+    """Where large strings begin in flat(), and the end."""
+    return np.frombuffer(strings.buffers()[1], np.int64)[: len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+
+
+def flat(strings: pa.Array) -> pa.Buffer:
+    """The bytes of large strings, one after the other."""
+    return (strings.buffers()[2] or pa.py_buffer(b""))[: int(places(strings)[-1])]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -77,9 +101,13 @@ class Tokenizer:
         import regex
 
         self.ranks = read_ranks(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        ascii_ = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-        self.ascii_pattern = re.compile(ascii_.replace(r"\S", rf"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))  # the same for ASCII text, where it is faster
+        if public_tokenizers.PATTERN != PATTERN:
+            raise ValueError("cuts() follows another pattern")
+        every = "".join(map(chr, range(0x110000)))
+        self.kinds = np.zeros(len(every), np.uint8)
+        for kind, of in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, f"[{SPACE}]+")):
+            for m in regex.finditer(of, every):
+                self.kinds[m.start() : m.end()] = kind
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DATABASE, "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([left * 65536 + right for left, right, _ in pairs], pa.int64()), "id": pa.array([r for *_, r in pairs], pa.int32())})  # noqa: F841
@@ -88,7 +116,9 @@ class Tokenizer:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
         self.size = max(self.ranks.values()) + 1
         self.forget()
-        self.decimal = list(map(str, range(self.size)))
+        by_id = {r: t for t, r in self.ranks.items()}
+        self.vocabulary = pa.array([by_id.get(i, b"") for i in range(self.size)], pa.large_binary())
+        self.decimal = pa.array([b"%d " % i for i in range(self.size)], pa.large_binary())
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def tokens(self, words: list[bytes]) -> pa.Table:
@@ -136,25 +166,48 @@ class Tokenizer:
         self.low, self.starts, self.counts, self.high = (np.insert(x, at[order], y[order]) for x, y in ((self.low, names[:, 1]), (self.starts, starts), (self.counts, counts), (self.high, names[:, 0])))
         return starts, counts
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """Number of tokens, ids joined by spaces, and the bytes that they decode to, for each text."""
-        cut = [UNIT.findall(t) for t in texts]
-        split = {u: (self.ascii_pattern if u.isascii() else self.pattern).findall(u) for u in set().union(*cut)}
-        words = list({w for ws in split.values() for w in ws})
-        raws = [w.encode("utf-8", "replace") for w in words]
-        starts, counts = self.learn(raws)
-        decimal, ids = self.decimal, self.ids[np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)].tolist()
-        strings, at = [], 0
-        for n in counts.tolist():
-            strings.append(decimal[ids[at]] if n == 1 else " ".join([decimal[i] for i in ids[at : at + n]]))
-            at += n
-        ids_of, raw_of = dict(zip(words, strings)), dict(zip(words, raws))
-        for u, ws in split.items():
-            if len(ws) > 1:
-                ids_of[u], raw_of[u] = " ".join([ids_of[w] for w in ws]), b"".join([raw_of[w] for w in ws])
-        for us in cut:
-            joined = " ".join(map(ids_of.__getitem__, us))
-            yield (joined.count(" ") + 1 if joined else 0), joined, b"".join(map(raw_of.__getitem__, us))
+    def cuts(self, data: pa.Buffer, starts: np.ndarray) -> np.ndarray:
+        """Bytes of data at which the pattern's matches begin; starts: those at which texts begin."""
+        lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # a character's first byte
+        marks = np.zeros(len(lead) + 1, bool)
+        marks[starts] = True
+        first = marks[:-1][lead]
+        chars = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32)
+        last = np.append(first[1:], True)
+        kind = self.kinds[chars]
+        space = kind == WHITE
+        change = kind[1:] != kind[:-1]
+        begins = first.copy()
+        begins[1:] |= change & (space[1:] | (chars[:-1] != ord(" ")))  # a blank goes with what follows it
+        begins[1:-1] |= space[:-2] & space[1:-1] & ~space[2:] & ~last[1:-1]  # the last of several spaces stands alone, or goes with what follows
+        quote = np.flatnonzero((chars == ord("'")) & begins & ~last)
+        for ending in ENDINGS:
+            end = quote + len(ending)
+            fits = end < len(chars)
+            for k, c in enumerate(ending):
+                fits[fits] = (chars[quote[fits] + k + 1] == ord(c)) & ~first[quote[fits] + k + 1]
+            begins[quote[fits] + 1] = False
+            begins[end[fits & (end + 1 < len(chars))] + 1] = True
+        out = np.zeros(len(lead), bool)
+        out[lead] = begins
+        return np.flatnonzero(out)
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        """Tokens of strings, of which null ones count as empty."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = (texts.buffers()[2] or pa.py_buffer(b""))[int(at[0]) : int(at[-1])]
+        at = at - at[0]
+        cuts = np.append(self.cuts(data, at), len(data)) if len(data) else np.zeros(1, np.int64)
+        matches = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        starts, counts = self.learn(matches.dictionary.to_pylist())
+        word = matches.indices.to_numpy()
+        ends = np.append(0, np.cumsum(counts[word]))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], counts[word])]
+        raw = self.vocabulary.take(pa.array(ids))
+        if not flat(raw).equals(data):
+            raise ValueError("ids do not decode to their text")
+        return Encoded(ends[np.searchsorted(cuts, at)], ids, self.decimal.take(pa.array(ids)), raw)
 
 
 @lru_cache(1)
@@ -170,8 +223,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     columns are not read.
     """
 
-    def finish(n: int, ids: str, raw: bytes) -> tuple:
-        return n, [int(i) for i in ids.split()], raw
+    def finish(got: Encoded) -> list[pa.Array]:
+        decoded = pa.Array.from_buffers(pa.large_binary(), len(got.at) - 1, [None, pa.py_buffer(places(got.raw)[got.at]), flat(got.raw)])
+        return [pa.ListArray.from_arrays(got.at.astype(np.int32), got.ids.astype(np.int32)), decoded.cast(pa.binary())]
 
     return per_text(docs, id_col, text_col, vocabulary, finish, "n_tokens long, ids array<int>, decoded binary")
 
@@ -179,8 +233,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): as encode(), with SHA-256 of the decimal ids joined by spaces and of the decoded bytes."""
 
-    def finish(n: int, ids: str, raw: bytes) -> tuple:
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+    def sha256(strings: pa.Array, at: np.ndarray, after: int) -> pa.Array:
+        data, ends = memoryview(flat(strings)), places(strings)[at].tolist()
+        return pa.array([hashlib.sha256(data[a : max(a, b - after)]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
+
+    def finish(got: Encoded) -> list[pa.Array]:
+        return [sha256(got.decimal, got.at, 1), sha256(got.raw, got.at, 0)]
 
     return per_text(docs, id_col, text_col, vocabulary, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -188,21 +246,19 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 def per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, finish, schema: str) -> DataFrame:
     names = ["_id", *(x.split()[0] for x in schema.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(vocabulary)
-        for pdf in batches:
-            sizes = pdf["_text"].str.len().fillna(0).cumsum() // BLOCK
-            for _, block in pdf.groupby(sizes.to_numpy(dtype="int64"), sort=False):
-                gc.disable()  # the many kept strings form no cycles; passing over them costs a quarter of the time
-                try:
-                    out = pd.DataFrame([(i, *finish(*x)) for i, x in zip(block["_id"], model.encode(block["_text"].fillna("").tolist()))], columns=names)
-                finally:
-                    gc.enable()
-                yield out.astype({"_id": "Int64"})
+        for rows in batches:
+            block = np.cumsum(pc.binary_length(rows["_text"]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), rows.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    got = model.encode(rows["_text"][a:b])
+                    yield pa.RecordBatch.from_arrays([rows["_id"][a:b], pa.array(np.diff(got.at), pa.int64()), *finish(got)], names)
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id long, {schema}").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id long, {schema}").withColumnRenamed("_id", id_col)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:

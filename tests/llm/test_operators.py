@@ -446,6 +446,47 @@ def test_bpe_round_trip(spark):
     assert d[9]["n_tokens"] == len(ids) and d[9]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_cuts_as_the_pattern():
+    import public_tokenizers as P
+    import pyarrow as pa
+    import regex
+
+    pattern = regex.compile(P.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{bpe.SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{bpe.SPACE}]").replace(r"\s", f"[{bpe.SPACE}]"))
+    pieces = [*"'  \n\t\x1c\x85\u3000strevmldSx1½é日😀!-", "'s", "'re", "'ll", " '", "''", "  ", "\u0301", "\0"]
+    rng, model = random.Random(5), bpe.Tokenizer()
+    for n in (1, 2, 3, 9, 60):
+        texts = ["".join(rng.choices(pieces, k=rng.randint(0, n))) for _ in range(4000)]
+        raws = [t.encode() for t in texts]
+        data, ends = b"".join(raws), np.cumsum([0, *map(len, raws)])
+        if data:
+            cuts = [*model.cuts(pa.py_buffer(data), ends).tolist(), len(data)]
+            assert [data[a:b].decode() for a, b in zip(cuts, cuts[1:])] == [w for t in texts for w in pattern.findall(t)]
+
+
+def test_bpe_known_matches_cost_less_than_a_regex():
+    """CPU time of texts all of whose matches are kept, against the pattern's own over the same texts."""
+    import time
+
+    import public_tokenizers as P
+    import pyarrow as pa
+    import regex
+
+    rng = random.Random(6)
+    known = ["".join(rng.choices("aeinorstü", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = ["".join(w + rng.choice([" ", " ", ", ", ".\n"]) for w in rng.choices(known, k=1500)) for _ in range(100)]
+    model, pattern = bpe.Tokenizer(), regex.compile(P.PATTERN)
+
+    def least(f) -> float:
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: list(model.encode(pa.array(texts)))) < 0.8 * least(lambda: [pattern.findall(t) for t in texts])
+
+
 def test_language(spark):
     df = queries.language.documents(spark, SF)
     got = language.identify(df).toPandas().merge(df.select("doc_id", "lang").toPandas(), on="doc_id")
