@@ -255,6 +255,7 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, finis
                 if a < b:
                     got = model.encode(rows["_text"][a:b])
                     yield pa.RecordBatch.from_arrays([rows["_id"][a:b], pa.array(np.diff(got.at), pa.int64()), *finish(got)], names)
+        pa.default_memory_pool().release_unused()  # else the worker holds it during other queries and stages
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
