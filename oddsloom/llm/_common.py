@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +29,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/oddsloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """What the driver's JVM says of returning the native memory that it has freed to the system; None where it can't.
+
+    Its compiler threads free much of that after each plan, which the C library would keep.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    call = gateway.new_array(jvm.java.lang.Object, 4)  # the bean, the command, and no arguments
+    try:
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:
+        return None
+
+
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
@@ -65,15 +85,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+SMALL = 1 << 17  # different edges of a graph that one task takes as a whole, at 16 bytes each
+
+
+def roots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of the nodes of all edges (u, v) of batches, by union and find."""
+    parts = [pdf[["u", "v"]].to_numpy(dtype=np.int64) for pdf in batches]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate(parts), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in ends.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": nodes, "component": nodes[[find(x) for x in range(len(nodes))]]})
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as edges (u, v) of longs.
 
-    Alternates large-star and small-star steps; every step is an aggregation by node and a join, so a node
-    with very many neighbours is pre-aggregated before the shuffle and its join can be split. Returns (node,
-    component), one row per node with an edge; component is the smallest node of its component. No edges:
-    no rows.
+    A graph of up to SMALL different edges is solved by one task on an executor, as rounds would cost the driver a few
+    plans and stages each. A larger one alternates large-star and small-star steps; every step is an aggregation by node
+    and a join, so a node with very many neighbours is pre-aggregated before the shuffle and its join can be split.
+    Returns (node, component), one row per node with an edge; component is the smallest node of its component. No
+    edges: no rows.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if edges.count() <= SMALL:
+        return materialize(edges.coalesce(1).mapInPandas(roots_of, "node long, component long"), "roots")
+    return star_rounds(edges)
+
+
+def star_rounds(edges: DataFrame) -> DataFrame:
+    """connected_components of different edges (u, v), v the smaller, however many."""
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from oddsloom.llm import ann, bpe, html, language, licenses, linededup, mixing, quality, queries, simhash, urls
+from oddsloom.llm import _common, ann, bpe, html, language, licenses, linededup, mixing, quality, queries, simhash, urls
 from oddsloom.llm._common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +160,34 @@ def test_connected_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and got[339] == 300 and 200 not in got
 
 
+def test_components_of_small_graphs_take_few_plans(spark, monkeypatch):
+    """A chain, for which rounds grow with its length, is two tables; rounds, for larger graphs, find the same."""
+    rng, keep, written = random.Random(8), _common.materialize, []
+    edges = [(i, i + 1) for i in range(-40, 60)] + [(i + 1, i) for i in range(5)] + [(100, 100)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)] + [(1 << 62, -(1 << 62))]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    monkeypatch.setattr(_common, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    for small in (_common.SMALL, 0):
+        monkeypatch.setattr(_common, "SMALL", small)
+        written.clear()
+        assert sorted(map(tuple, connected_components(df).collect())) == sorted(label.items())
+        assert (len(written) == 2) == bool(small)
+        assert connected_components(df.where("u = v")).count() == 0
+
+
+def test_driver_returns_freed_memory(spark, monkeypatch):
+    """After each table, as the JVM says."""
+    said, keep = [], _common.trim_driver
+    monkeypatch.setattr(_common, "trim_driver", lambda s: said.append(keep(s)))
+    assert _common.materialize(spark.range(5), "five").count() == 5
+    assert len(said) == 1 and said[0].startswith("Trim native heap")
+
+
 def brute_quality(text):
     import re
 
