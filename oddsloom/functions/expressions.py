@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,8 +84,19 @@ def fee_rate(category: Column) -> Column:
     return F.coalesce(F.get(F.array(F.try_element_at(rates, F.lower(F.trim(category)))), F.lit(0)), F.lit(FEE_RATES["crypto"]))
 
 
-def parabolic_fee(shares: Column, price: Column, rate: Column) -> Column:
-    p = clip(price, 0.0, 1.0)
+def round_scaled(x: Column, decimals: int) -> Column:
+    """The scaled value rounded to a whole number, half away from 0, as databases round doubles; F.round rounds the shortest decimal that x prints as."""
+    return F.round(x * float(10**decimals)) / float(10**decimals)
+
+
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754: infinite for b = 0, NaN for 0 / 0; null only for nulls."""
+    return F.when(b == 0, F.when(a == 0, float("nan")).otherwise(F.signum(a) * float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
+def parabolic_fee(shares: Column, price: Column, rate: Column, bounded: bool = True) -> Column:
+    """bounded: prices count as 0 to 1; otherwise a price above 1 has a negative fee."""
+    p = clip(price, 0.0, 1.0) if bounded else price
     return F.greatest(shares, F.lit(0.0)) * F.greatest(rate, F.lit(0.0)) * p * (1 - p)
 
 
@@ -92,8 +104,8 @@ def taker_fee(shares: Column, price: Column, rate: Column, decimals: int = 6) ->
     return F.round(parabolic_fee(shares, price, rate), decimals)
 
 
-def maker_fee(shares: Column, price: Column, rate: Column, multiplier: float = 0.0, decimals: int = 6) -> Column:
-    return F.round(parabolic_fee(shares, price, rate) * multiplier, decimals)
+def maker_fee(shares: Column, price: Column, rate: Column, multiplier: float = 0.0, decimals: int = 6, bounded: bool = True, rounding: Callable[[Column, int], Column] = F.round) -> Column:
+    return rounding(parabolic_fee(shares, price, rate, bounded) * multiplier, decimals)
 
 
 def relative_fee_rate(price: Column, rate: Column) -> Column:
