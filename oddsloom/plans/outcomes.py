@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edges, outcome, research
@@ -67,10 +67,15 @@ def pbo_folds(spark, sf):
     return research.pbo_of_folds(rows).select(*r6("pbo"), "n_trials")
 
 
+def exact_mean(column: str) -> Column:
+    """Mean of decimals of twelve places, which no order of rows changes; sums of doubles would decide the sign of a mean of exactly 0.1."""
+    return F.avg(F.col(column).cast("decimal(28,12)")).cast("double")
+
+
 @query("a24_neighbourhood", "+ s AS (SELECT token_id AS label, 0.1 - avg(price) AS score FROM tape WHERE token_id % 9 > 0 GROUP BY 1), p AS (SELECT DISTINCT token_id AS center, token_id + d AS neighbour FROM tape, (VALUES (1), (2), (-1)) x(d)) SELECT center, round(CASE WHEN any_value(c.score) <> 0 THEN avg(coalesce((n.score * c.score > 0)::INT, 0)) END, 6) AS stability FROM p LEFT JOIN s c ON c.label = center LEFT JOIN s n ON n.label = neighbour GROUP BY 1")
 def neighbourhood(spark, sf):
     t = tape(spark, sf)
-    scores = t.where("token_id % 9 > 0").groupBy(F.col("token_id").alias("label")).agg((0.1 - F.avg("price")).alias("score"))
+    scores = t.where("token_id % 9 > 0").groupBy(F.col("token_id").alias("label")).agg((0.1 - exact_mean("price")).alias("score"))
     pairs = t.select(F.col("token_id").alias("center")).distinct().select("center", F.explode(F.array(F.col("center") + 1, F.col("center") + 2, F.col("center") - 1)).alias("neighbour"))
     return research.neighbourhood_stability(scores, pairs).select("center", *r6("stability"))
 
