@@ -229,15 +229,20 @@ def multiple_testing(scores: DataFrame, n_obs: int = 100, alpha: float = 0.05) -
 def forward_labels(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...] = (5, 30, 60, 300, 900, 3600, 14400), tp: float = 0.05, sl: float = 0.03) -> DataFrame:
     """For each entry and horizon h: the last mid in (t, t + h], its return, extreme returns and first times of take profit and stop.
 
-    A range join by cells of time as long as the longest horizon.
+    A range join by cells of time as long as the longest horizon. Returns of an entry at 0 are infinite, or NaN to a mid of 0.
     """
+    return _signed_labels(entries, mids, horizons, tp, sl, F.lit(1.0))
+
+
+def _signed_labels(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...], tp: float, sl: float, sign: Column) -> DataFrame:
+    """forward_labels of returns times sign, a column of entries: -1 for short ones."""
     cell = max(horizons) * 1_000_000
-    e = entries.select("trade_id", "token_id", F.col("price").alias("entry"), micros(F.col("traded_at")).alias("_t"))
+    e = entries.select("trade_id", "token_id", F.col("price").alias("entry"), sign.alias("_sign"), micros(F.col("traded_at")).alias("_t"))
     e = e.withColumn("_cell", F.explode(F.array(F.floor(F.col("_t") / cell), F.floor(F.col("_t") / cell) + 1)))
     m = mids.select(F.col("token_id").alias("_token"), F.col("price").alias("_mid"), micros(F.col("traded_at")).alias("_u"), F.floor(micros(F.col("traded_at")) / cell).alias("_c"))
     hit = e.join(m, (F.col("token_id") == F.col("_token")) & (F.col("_cell") == F.col("_c")) & (F.col("_u") > F.col("_t")) & (F.col("_u") <= F.col("_t") + cell))
     hit = hit.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).where(F.col("_u") <= F.col("_t") + F.col("horizon").cast("long") * 1_000_000)
-    move = F.col("_mid") / F.nullif(F.col("entry"), F.lit(0.0)) - 1
+    move = F.col("_sign") * (X.ieee_ratio(F.col("_mid"), F.col("entry")) - 1)
     after = (F.col("_u") - F.col("_t")) / 1e6
     return hit.groupBy("trade_id", "horizon").agg(
         F.max_by("_mid", "_u").alias("exit_mid"), F.max_by(move, F.col("_u")).alias("mid_return"), F.max(move).alias("mfe"), F.min(move).alias("mae"),
@@ -262,19 +267,17 @@ def label_paths(entries: DataFrame, mids: DataFrame, horizons: tuple[int, ...] =
     gap = F.exists("gaps", lambda g: (g["start"] <= end) & (g["end"] >= F.col("_t")))
     bad = F.exists("invalid", lambda g: F.col("_t").between(g["start"], g["end"]) | end.between(g["start"], g["end"]))
     sign = F.when(F.col("direction") == "short", -1.0).otherwise(1.0)
-    labels = forward_labels(entries, mids, horizons, tp, sl).select("trade_id", "horizon", F.col("exit_mid"), F.col("mfe").alias("_high"), F.col("mae").alias("_low"))
-    shorted = forward_labels(entries, mids, horizons, sl, tp).select("trade_id", "horizon", F.col("tp_seconds").alias("_down"), F.col("sl_seconds").alias("_up"))
-    longed = forward_labels(entries, mids, horizons, tp, sl).select("trade_id", "horizon", "tp_seconds", "sl_seconds")
-    out = e.join(labels, ["trade_id", "horizon"], "left").join(longed, ["trade_id", "horizon"], "left").join(shorted, ["trade_id", "horizon"], "left")
+    side = F.when(column("direction", "string") == "short", -1.0).otherwise(1.0)
+    out = e.join(_signed_labels(entries, mids, horizons, tp, sl, side).drop("mid_return"), ["trade_id", "horizon"], "left")
     reason = F.when(F.coalesce(gap, F.lit(False)), "gap").when(F.coalesce(bad, F.lit(False)), "invalid_book").when(F.col("exit_mid").isNull(), "no_data")
-    ok, short = reason.isNull(), F.col("direction") == "short"
-    mid = sign * (F.col("exit_mid") - F.col("entry")) / F.nullif(F.col("entry"), F.lit(0.0))
-    taker = sign * (F.col("exit_mid") - F.col("taker_price")) / F.nullif(F.col("taker_price"), F.lit(0.0))
-    hit_tp, hit_sl = F.when(short, F.col("_up")).otherwise(F.col("tp_seconds")), F.when(short, F.col("_down")).otherwise(F.col("sl_seconds"))
+    ok = reason.isNull()
+    mid = X.ieee_ratio(sign * (F.col("exit_mid") - F.col("entry")), F.col("entry"))
+    taker = X.ieee_ratio(sign * (F.col("exit_mid") - F.col("taker_price")), F.col("taker_price"))
+    hit_tp, hit_sl = F.col("tp_seconds"), F.col("sl_seconds")
     when = lambda c: F.when(ok, c)
     return out.select(
         "trade_id", "horizon", reason.alias("skip_reason"), when(F.col("exit_mid")).alias("exit_mid"), when(mid).alias("mid_return"), when(X.logit(F.col("exit_mid")) - X.logit(F.col("entry"))).alias("logit_return"),
-        when(F.when(short, -F.col("_low")).otherwise(F.col("_high"))).alias("mfe"), when(F.when(short, -F.col("_high")).otherwise(F.col("_low"))).alias("mae"), when(taker).alias("taker_return"), when(taker - mid).alias("adverse_selection"),
+        when(F.col("mfe")).alias("mfe"), when(F.col("mae")).alias("mae"), when(taker).alias("taker_return"), when(taker - mid).alias("adverse_selection"),
         when(mid * F.col("maker_low")).alias("maker_low_return"), when(mid * F.col("maker_high")).alias("maker_high_return"), when(hit_tp).alias("tp_seconds"), when(hit_sl).alias("sl_seconds"),
         when(F.when(hit_tp.isNotNull() & (hit_sl.isNull() | (hit_tp <= hit_sl)), "tp").when(hit_sl.isNotNull(), "sl")).alias("first_hit"),
     )
