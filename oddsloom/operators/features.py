@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,37 +132,89 @@ def robust_bands(df: DataFrame, window: int = 48, k: float = 2.5) -> DataFrame:
     return df.withColumn("band_mad", F.when(F.col("band_mid").isNotNull(), mad)).withColumns({"band_low": F.col("band_mid") - k * F.col("band_mad"), "band_high": F.col("band_mid") + k * F.col("band_mad")}).drop("_v")
 
 
-def ema(df: DataFrame, spans: tuple[int, ...] = (5, 20), value: str = "price", seed: str = "first") -> DataFrame:
-    """Exponential averages by token in time order. A recursion, so by group in pandas.
+def numbered(df: DataFrame) -> DataFrame:
+    """df by token in time order, with _row from 1, for functions that walk a token's rows from batch to batch (starts)."""
+    return df.withColumn("_row", F.row_number().over(by_time()))
 
-    seed: first, from the first value on; or mean, from the span-th value on with the mean of the first span, null before.
-    """
+
+def starts() -> Callable:
+    """A function of a batch of numbered rows and the last number before it: where a token starts; an error if rows aren't in order. Made here, so that workers need not import this module."""
     import numpy as np
-    import pandas as pd
 
-    from pyspark.sql import types as T
+    def started(row: np.ndarray, last: int) -> np.ndarray:
+        first = row == 1
+        if not np.all(first | (row == np.concatenate(([last], row[:-1])) + 1)):
+            raise ValueError("rows of a token are not in order")
+        return first
+
+    return started
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f"ema_{s}", T.DoubleType()) for s in spans]])
 
-    def average(x: pd.Series, span: int) -> pd.Series:
-        if seed == "first":
-            return x.ewm(span=span, adjust=False).mean()
-        out = pd.Series(np.nan, index=x.index)
-        if len(x) >= span:
-            start = pd.concat([pd.Series([x.iloc[:span].mean()]), x.iloc[span:]])
-            out.iloc[span - 1 :] = start.ewm(span=span, adjust=False).mean().to_numpy()
-        return out
+def ema(df: DataFrame, spans: tuple[int, ...] = (5, 20), value: str = "price", seed: str = "first", before: bool = False) -> DataFrame:
+    """Exponential averages by token in time order. A recursion, so by walking sorted rows in batches; no token is gathered.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["traded_at", "trade_id"])
-        return pdf.assign(**{f"ema_{s}": average(pdf[value], s) for s in spans})
+    seed: first, from the first value on; or mean, from the span-th value on with the mean of the first span, null before.
+    Each step is a + (x - a) * 2 / (span + 1); a null keeps the average, and weighs down what was before it. before: also
+    the averages of the row before, as ema_<span>_before.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from pyspark.sql import types as T
 
-    return df.groupBy("token_id").applyInPandas(run, schema)
+    started = starts()
+    names = [n for s in spans for n in ([f"ema_{s}", f"ema_{s}_before"] if before else [f"ema_{s}"])]
+    kept = [n for n in df.columns if n not in names]
+    schema = T.StructType([*[df.schema[n] for n in kept], *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def walk(row: list[int], values: list[float | None], span: int, state: tuple) -> tuple[list, list, tuple]:
+        average, total, known, missed = state
+        now, was = [], []
+        decay, seeding = 1 - 2 / (span + 1), span if seed == "mean" else 0
+        for i, x in zip(row, values):
+            if i == 1:
+                average, total, known, missed = None, 0.0, 0, 0
+            was.append(average)
+            if x is not None and x != x:
+                x = None
+            if i <= seeding:
+                if x is not None:
+                    total, known = total + x, known + 1
+                if i == seeding and known:
+                    average = total / known
+            elif x is None:
+                missed += average is not None
+            elif average is None:
+                average = x
+            elif missed:
+                average += (x - average) * (1 - decay) / (decay ** (missed + 1) + 1 - decay)
+                missed = 0
+            else:
+                average = average + (x - average) * 2 / (span + 1)
+            now.append(average)
+        return now, was, (average, total, known, missed)
+
+    def run(batches):
+        last, states = 0, [(None, 0.0, 0, 0)] * len(spans)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = np.asarray(b.column("_row"))
+            started(row, last)
+            last, out = row[-1], []
+            steps, values = row.tolist(), b.column(value).cast(pa.float64()).to_pylist()
+            for k, span in enumerate(spans):
+                now, was, states[k] = walk(steps, values, span, states[k])
+                out += [now, was] if before else [now]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], *[pa.array(x, pa.float64()) for x in out]], names=[*kept, *names])
+
+    return numbered(df).mapInArrow(run, schema)
 
 
 def ema_cross(df: DataFrame, fast: str = "ema_5", slow: str = "ema_20") -> DataFrame:
     f, s, w = F.col(fast), F.col(slow), by_time()
-    return df.withColumns({"bullish_cross": F.coalesce((F.lag(f).over(w) <= F.lag(s).over(w)) & (f > s), F.lit(False)), "bullish_stack": f > s})
+    was = lambda c: F.col(f"{c}_before") if f"{c}_before" in df.columns else F.lag(c).over(w)
+    return df.withColumns({"bullish_cross": F.coalesce((was(fast) <= was(slow)) & (f > s), F.lit(False)), "bullish_stack": f > s})
 
 
 def hurst(df: DataFrame, value: str = "price", least: int = 8, most: int = 32) -> DataFrame:
