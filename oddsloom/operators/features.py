@@ -217,29 +217,82 @@ def ema_cross(df: DataFrame, fast: str = "ema_5", slow: str = "ema_20") -> DataF
     return df.withColumns({"bullish_cross": F.coalesce((was(fast) <= was(slow)) & (f > s), F.lit(False)), "bullish_stack": f > s})
 
 
-def hurst(df: DataFrame, value: str = "price", least: int = 8, most: int = 32) -> DataFrame:
+def hurst(df: DataFrame, value: str = "price", least: int = 8, most: int = 32, skip_zeros: bool = True) -> DataFrame:
     """(token_id, hurst): slope of log rescaled range on log chunk size over log returns between positive prices.
 
-    Null with fewer than `least` returns (or least + 2 prices), or fewer than three sizes of chunk with a spread. A return
-    meets each chunk size once, so the work is by chunk and no token is gathered.
+    Null with fewer than `least` returns (or least + 2 prices), or fewer than three sizes of chunk with a spread. Without
+    skip_zeros, returns from or to a price of 0 are infinite, or NaN between two, and so is what they are part of. Sorted
+    rows are walked in batches, with less than a chunk of each size kept for the next, so no token is gathered.
     """
-    w = by_time()
-    before, x = F.lag(value).over(w), F.col(value)
-    step = F.when((before > 0) & (x > 0), F.log(x / before))
-    moves = df.select("token_id", "traded_at", "trade_id", step.alias("r")).where("r is not null")
-    placed = moves.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy("token_id"))})
-    top = F.least(F.floor(F.col("n") / 2), F.lit(most)).cast("int")
-    sized = placed.where((F.col("n") >= least) & (top >= 4)).select("token_id", "i", "n", "r", F.explode(F.sequence(F.lit(4), top)).alias("k"))
-    sized = sized.withColumn("chunk", F.floor(F.col("i") / F.col("k"))).where("(chunk + 1) * k <= n")
-    whole = W.partitionBy("token_id", "k", "chunk")
-    path = F.sum("d").over(whole.orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    walked = sized.withColumn("d", F.col("r") - F.avg("r").over(whole)).withColumn("y", path)
-    chunks = walked.groupBy("token_id", "k", "chunk").agg((F.max("y") - F.min("y")).alias("range"), F.stddev_pop("r").alias("sd")).where("sd > 1e-12")
-    points = chunks.groupBy("token_id", "k").agg(F.avg(F.col("range") / F.col("sd")).alias("rs")).where("rs > 0")
-    slopes = points.groupBy("token_id").agg(F.count("*").alias("points"), F.regr_slope(F.log("rs"), F.log("k")).alias("slope"))
-    fitted = slopes.where("points >= 3").select("token_id", F.col("slope").alias("hurst"))
-    long = df.groupBy("token_id").agg(F.count("*").alias("_n"))
-    return long.join(fitted, "token_id", "left").select("token_id", F.when(F.col("_n") >= least + 2, F.col("hurst")).alias("hurst"))
+    import numpy as np
+    import pyarrow as pa
+
+    from pyspark.sql import types as T
+
+    sizes, started = list(range(4, most + 1)), starts()
+    schema = T.StructType([df.schema["token_id"], T.StructField("hurst", T.DoubleType())])
+
+    def slopes(rows, n, sums, counts):
+        k = np.array(sizes, float)
+        rs = sums / counts
+        used = (counts > 0) & (k <= (n // 2)[:, None]) & ~(rs <= 0)
+        points = used.sum(1)
+        x, y = np.where(used, np.log(k), 0.0), np.where(used, np.log(np.where(used, rs, 1.0)), 0.0)
+        dx, dy = np.where(used, x - (x.sum(1) / points)[:, None], 0.0), np.where(used, y - (y.sum(1) / points)[:, None], 0.0)
+        known = (rows >= least + 2) & (n >= least) & (points >= 3)
+        return pa.array((dx * dy).sum(1) / (dx * dx).sum(1), pa.float64(), mask=~known)
+
+    def run(batches):
+        # Of the token whose rows may go on: its name, last number and price, rows, returns, and by size ratios' sums and counts and the returns of an open chunk.
+        token, last, price, seen, moves = None, 0, np.nan, 0, 0
+        sums, counts, tails = np.zeros(len(sizes)), np.zeros(len(sizes)), [np.empty(0)] * len(sizes)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = np.asarray(b.column("_row"))
+            first = started(row, last)
+            x = np.array(b.column("_x").to_numpy(zero_copy_only=False), float)
+            was = np.concatenate(([price], x[:-1]))
+            at = np.cumsum(first)  # 0: the token of the batch before
+            keep = ~first & ~np.isnan(x) & ~np.isnan(was)
+            keep &= (x > 0) & (was > 0) if skip_zeros else True
+            tokens = at[-1] + 1
+            r, t = np.log(x[keep] / was[keep]), at[keep]
+            new = np.bincount(t, minlength=tokens)
+            n, rows = new.copy(), np.bincount(at, minlength=tokens)
+            n[0], rows[0] = n[0] + moves, rows[0] + seen
+            place = np.arange(len(r)) - (np.cumsum(new) - new)[t] + np.where(t == 0, moves, 0)
+            total, number = np.zeros((tokens, len(sizes))), np.zeros((tokens, len(sizes)))
+            total[0], number[0] = sums, counts
+            for i, k in enumerate(sizes):
+                tail = tails[i]
+                rr, tt = np.concatenate((tail, r)), np.concatenate((np.zeros(len(tail), int), t))
+                start = np.flatnonzero(np.concatenate((moves - len(tail) + np.arange(len(tail)), place)) % k == 0)
+                start = start[start + k <= len(rr)]
+                start = start[tt[start + k - 1] == tt[start]]
+                part = rr[start[:, None] + np.arange(k)]
+                d = part - np.cumsum(part, 1)[:, -1:] / k
+                path, sd = np.cumsum(d, 1), np.sqrt(np.cumsum(d * d, 1)[:, -1] / k)
+                wide = ~(sd <= 1e-12)
+                ratio, of = ((path.max(1) - path.min(1)) / sd)[wide], tt[start[wide]]
+                total[:, i] += np.bincount(of, ratio, tokens)
+                number[:, i] += np.bincount(of, minlength=tokens)
+                tails[i] = rr[len(rr) - n[-1] % k :]
+            names = b.column("token_id").filter(pa.array(first))
+            done = [*([token] if last else []), names.slice(0, max(0, len(names) - 1))] if len(names) else []
+            skip = 0 if last else 1
+            if tokens - 1 > skip:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(done), slopes(rows[skip:-1], n[skip:-1], total[skip:-1], number[skip:-1])], names=["token_id", "hurst"])
+            token = names.slice(len(names) - 1) if len(names) else token
+            last, price, seen, moves, sums, counts = row[-1], x[-1], rows[-1], n[-1], total[-1], number[-1]
+        if last:
+            yield pa.RecordBatch.from_arrays([token, slopes(np.array([seen]), np.array([moves]), sums[None], counts[None])], names=["token_id", "hurst"])
+
+    def quiet(batches):
+        with np.errstate(all="ignore"):
+            yield from run(batches)
+
+    return numbered(df.select("token_id", "traded_at", "trade_id", F.col(value).cast("double").alias("_x"))).select("token_id", "_x", "_row").mapInArrow(quiet, schema)
 
 
 def live_window(trades: DataFrame) -> DataFrame:
