@@ -70,8 +70,9 @@ def indicators(bars: DataFrame, cfg: Swing | None = None) -> DataFrame:
     w = features.by_time()
     x = features.rsi(bars, F.col("price"), cfg.rsi_period)
     x = features.atr(features.bollinger(x, F.col("price"), cfg.band_period, cfg.band_width), cfg.atr_period)
-    x = features.ema(x, (cfg.fast, cfg.slow), seed="mean").withColumnsRenamed({f"ema_{cfg.fast}": "ema_fast", f"ema_{cfg.slow}": "ema_slow"})
-    return x.withColumns({"n_bars": F.row_number().over(w), "prev_fast": F.lag("ema_fast").over(w), "prev_slow": F.lag("ema_slow").over(w), "move": F.col("price") - F.lag("price", cfg.slow - 1).over(w)})
+    x = x.withColumns({"n_bars": F.row_number().over(w), "move": F.col("price") - F.lag("price", cfg.slow - 1).over(w)})
+    x = features.ema(x, (cfg.fast, cfg.slow), seed="mean", before=True)
+    return x.withColumnsRenamed({f"ema_{cfg.fast}": "ema_fast", f"ema_{cfg.slow}": "ema_slow", f"ema_{cfg.fast}_before": "prev_fast", f"ema_{cfg.slow}_before": "prev_slow"})
 
 
 def levels(cfg: Swing) -> tuple[Column, Column]:
