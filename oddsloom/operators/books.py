@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .features import starts
 
 BOOK_SCHEMA = "asset_id string, exchange_time double, seq long, event_type string, best_bid double, best_ask double, mid double, spread double, bid_depth double, ask_depth double, microprice double, uncertain boolean, crossed boolean, inversions long, gaps long"
 
@@ -59,6 +64,45 @@ def sequence_gaps(messages: DataFrame) -> DataFrame:
     return messages.withColumn("gap", F.coalesce(F.col("seq") - F.lag("seq").over(w) > 1, F.lit(False)))
 
 
+class Side:
+    """Levels of one side of a book: sizes by price, the best price by a heap, and the depth by whole numbers of 2**-1074, exact in any order. A change costs no walk over the levels."""
+
+    UNIT = 1 << 1074
+
+    def __init__(self, levels: Iterable[tuple[float, float]] = (), highest: bool = True) -> None:
+        self.levels: dict[float, float] = {}
+        self.sign = -1 if highest else 1
+        self.heap: list[float] = []
+        self.units = self.endless = 0
+        for price, size in levels:
+            self.put(price, size)
+
+    def count(self, size: float, times: int) -> None:
+        if math.isinf(size):
+            self.endless += times
+        else:
+            n, d = size.as_integer_ratio()
+            self.units += times * n * (self.UNIT // d)
+
+    def put(self, price: float, size: float) -> None:
+        old = self.levels.pop(price, None)
+        if old is not None:
+            self.count(old, -1)
+        if size > 0:
+            self.levels[price] = size
+            self.count(size, 1)
+            if old is None:
+                heapq.heappush(self.heap, self.sign * price)
+
+    def best(self) -> float | None:
+        while self.heap and self.sign * self.heap[0] not in self.levels:
+            heapq.heappop(self.heap)
+        return self.sign * self.heap[0] if self.heap else None
+
+    def depth(self) -> float:
+        return math.inf if self.endless else self.units / self.UNIT
+
+
 class Book:
     """State of one asset's book.
 
@@ -67,8 +111,7 @@ class Book:
     """
 
     def __init__(self) -> None:
-        self.bids: dict[float, float] = {}
-        self.asks: dict[float, float] = {}
+        self.bids, self.asks = Side(), Side(highest=False)
         self.uncertain, self.seq, self.time = False, None, None
         self.gaps = self.inversions = 0
 
@@ -87,7 +130,7 @@ class Book:
         if kind in ("snapshot", "book") or any(sides):
             if not any(sides):
                 return None
-            self.bids, self.asks = ({float(x["price"]): float(x["size"]) for x in side if x["size"] > 0} for side in sides)
+            self.bids, self.asks = (Side(((float(x["price"]), float(x["size"])) for x in side if x["size"] > 0), high) for side, high in zip(sides, (True, False)))
             self.uncertain = False
             self.seq = m["seq"] if m["seq"] is not None else self.seq
             self.seen(m)
@@ -96,10 +139,7 @@ class Book:
             return None
         if not self.uncertain:
             side = self.bids if str(m["side"]).lower() in ("bid", "buy", "b") else self.asks
-            if m["size"] > 0:
-                side[float(m["price"])] = float(m["size"])
-            else:
-                side.pop(float(m["price"]), None)
+            side.put(float(m["price"]), float(m["size"]))
             if m["seq"] is not None:
                 if self.seq is not None and m["seq"] - self.seq > 1:
                     self.gaps += 1
@@ -109,25 +149,41 @@ class Book:
         return self.record(m, "delta")
 
     def record(self, m: dict, kind: str) -> tuple:
-        bid, ask = max(self.bids, default=None), min(self.asks, default=None)
+        bid, ask = self.bids.best(), self.asks.best()
         both = bid is not None and ask is not None
-        sizes = (self.bids.get(bid, 0.0), self.asks.get(ask, 0.0))
+        sizes = (self.bids.levels.get(bid, 0.0), self.asks.levels.get(ask, 0.0))
         micro = (ask * sizes[0] + bid * sizes[1]) / sum(sizes) if bid and ask and sum(sizes) > 0 else None
-        return (m["asset_id"], m["exchange_time"], m["seq"], kind, bid, ask, (bid + ask) / 2 if both else None, ask - bid if both else None, sum(self.bids.values()), sum(self.asks.values()), micro, self.uncertain, bool(both and bid >= ask), self.inversions, self.gaps)
+        return (m["asset_id"], m["exchange_time"], m["seq"], kind, bid, ask, (bid + ask) / 2 if both else None, ask - bid if both else None, self.bids.depth(), self.asks.depth(), micro, self.uncertain, bool(both and bid >= ask), self.inversions, self.gaps)
 
 
 def replay(messages: DataFrame) -> DataFrame:
-    """The book after each message of an asset, in order of exchange time and sequence. Sequential by asset, so by group in pandas."""
-    import pandas as pd
-
-    names = [x.split()[0] for x in BOOK_SCHEMA.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book()
-        pdf = pdf.sort_values(["exchange_time", "seq"], kind="stable")
-        for c in ("seq", "price", "size", "exchange_time"):
-            pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
-        rows = [book.apply(m) for m in pdf.to_dict("records")]
-        return pd.DataFrame([r for r in rows if r], columns=names).astype({"seq": "Int64"})
-
-    return messages.groupBy("asset_id").applyInPandas(run, BOOK_SCHEMA)
+    """The book after each message of an asset, in order of exchange time and sequence. Sequential by asset, so sorted messages are walked in batches with one book, and no asset is gathered."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in BOOK_SCHEMA.split(", "))])
+    started = starts()
+    used = ["asset_id", "exchange_time", "seq", "event_type", "side", "price", "size", "bids", "asks"]
+    number = F.row_number().over(W.partitionBy("asset_id").orderBy(F.asc_nulls_last("exchange_time"), F.asc_nulls_last("seq")))
+    typed = {"asset_id": "string", "exchange_time": "double", "seq": "bigint", "price": "double", "size": "double"}
+    known = lambda c: F.when(~F.isnan(c), c)
+    ready = messages.select(*[F.col(c).cast(typed[c]).alias(c) if c in typed else c for c in used], number.alias("_row"))
+    ready = ready.withColumns({c: known(F.col(c)) for c in ("price", "size", "exchange_time")})
+
+    def run(batches):
+        last, book = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = np.asarray(b.column("_row"))
+            first, last, out = started(row, last).tolist(), row[-1], []
+            for new, *values in zip(first, *[b.column(c).to_pylist() for c in used]):
+                book = Book() if new else book
+                record = book.apply(dict(zip(used, values)))
+                if record:
+                    out.append(record)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return ready.mapInArrow(run, BOOK_SCHEMA)
