@@ -185,6 +185,11 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once a row; inside another lambda it would be once an element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def abs_spread(bid: Column, ask: Column) -> Column:
     return ask - bid
 
@@ -215,10 +220,11 @@ def book_slope(levels: Column, side: str, depth: int = 5) -> Column:
     """Least-squares slope of size on price over the first levels, negated for bids; null if under two levels or one price."""
     x = F.slice(levels, 1, depth)
     n = F.size(x)
-    mean = lambda c: total(F.transform(x, lambda v: v[c])) / n
-    top = total(F.transform(x, lambda v: (v["price"] - mean("price")) * (v["size"] - mean("size"))))
-    low = total(F.transform(x, lambda v: (v["price"] - mean("price")) * (v["price"] - mean("price"))))
-    slope = F.when((n >= 2) & (low > 0), top / F.nullif(low, F.lit(0.0)))
+    mean = lambda c: total(F.transform(x, lambda v: v[c])) / F.nullif(n, F.lit(0))
+    top = lambda m: total(F.transform(x, lambda v: (v["price"] - m["price"]) * (v["size"] - m["size"])))
+    low = lambda m: total(F.transform(x, lambda v: (v["price"] - m["price"]) * (v["price"] - m["price"])))
+    sums = let(F.struct(mean("price").alias("price"), mean("size").alias("size")), lambda m: F.struct(top(m).alias("top"), low(m).alias("low")))
+    slope = F.when(n >= 2, let(sums, lambda s: F.when(s["low"] > 0, s["top"] / F.nullif(s["low"], F.lit(0.0)))))
     return -slope if side == "bid" else slope
 
 
@@ -229,9 +235,8 @@ def depth_concentration(sizes: Column) -> Column:
 
 def depth_entropy(sizes: Column) -> Column:
     """Entropy of the levels' shares in nats; null without depth."""
-    all_ = total(F.filter(sizes, lambda x: x > 0))
-    share = lambda x: F.when(x > 0, -(x / all_) * F.log(x / all_)).otherwise(0.0)
-    return F.when(all_ > 0, total(F.transform(sizes, share)))
+    share = lambda x, all_: F.when(x > 0, -(x / all_) * F.log(x / all_)).otherwise(0.0)
+    return let(total(F.filter(sizes, lambda x: x > 0)), lambda all_: F.when(all_ > 0, total(F.transform(sizes, lambda x: share(x, all_)))))
 
 
 def liquidity_wall(sizes: Column) -> Column:
@@ -273,11 +278,10 @@ def multi_level_flow(bids: Column, asks: Column, bids_before: Column | None = No
 def autocorrelation(series: Column, lag: int = 1) -> Column:
     """Of an array; null if it is no longer than lag, or flat."""
     n = F.size(series)
-    mean = total(series) / n
-    dev = F.transform(series, lambda x: x - mean)
-    both = F.zip_with(F.slice(dev, lag + 1, F.greatest(n - lag, F.lit(0))), F.slice(dev, 1, F.greatest(n - lag, F.lit(0))), lambda a, b: a * b)
-    low = total(F.transform(dev, lambda x: x * x))
-    return F.when((n > lag) & (low > 0), total(both) / F.nullif(low, F.lit(0.0)))
+    rest = F.greatest(n - lag, F.lit(0))
+    both = lambda dev: total(F.zip_with(F.slice(dev, lag + 1, rest), F.slice(dev, 1, rest), lambda a, b: a * b))
+    ratio = lambda dev: let(total(F.transform(dev, lambda x: x * x)), lambda low: F.when(low > 0, both(dev) / F.nullif(low, F.lit(0.0))))
+    return F.when(n > lag, let(let(total(series) / F.nullif(n, F.lit(0)), lambda mean: F.transform(series, lambda x: x - mean)), ratio))
 
 
 def steps_until(series: Column, start: int, done) -> Column:
